@@ -5,7 +5,7 @@ trigram that is frequent inside sentences but (almost) never ends one shows a cu
 word that is unknown after the two words before it, but a beginning of words that are frequent there,
 shows a cut inside a word. Where the final trigram is too rare, its last two words decide.
 
-Numbers are one symbol, line breaks end sentences, footers and ellipses behind the text are taken off,
+Trigrams don't cross sentences. Numbers are one symbol, line breaks end sentences, footers and ellipses behind the text are taken off,
 and the very end of a text is never counted as the end of a sentence, so that cut texts don't vouch for
 each other.
 """
@@ -15,46 +15,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: What is added behind texts: page numbers, rows of stars, record ends, translation marks; then an
 #: ellipsis in its usual forms. Patterns are parameters of cut_texts().
 FOOTERS = r"(?:\s*(?:\n[ \t]*(?:- ?\d+ ?-|\d+ ?/ ?\d+|(?:\* ?){3,}|-- [^\n]{3,30} --)|\[untranslated\]))*\s*$"
 ELLIPSES = r"\s*(?:\.\.\.|…|\[\.\.\.\]|\(cont\.\))\s*$"
 #: Footers are looked for in so many characters at the end.
 TAIL = 400
-#: Ends of sentences, as a word of its own.
+#: Stands for the words before a sentence.
 END = "¶"
 #: Longer words are compared by so many characters in the search for word beginnings.
 WORD = 64
 
 
-def words(text, footers: str = FOOTERS, ellipses: str = ELLIPSES):
-    """Column of the normalised words of a text, sentence ends marked, without its final stop."""
+def sentences(text, footers: str = FOOTERS, ellipses: str = ELLIPSES):
+    """Column of the sentences of a text, numbers as one symbol, without what was added behind it; the
+    last one is what the text ends with, and all before it ended properly."""
     t = F.coalesce(text, F.lit(""))
     tail = F.regexp_replace(F.regexp_replace(F.right(t, F.lit(TAIL)), footers, ""), ellipses, "")
     x = F.concat(F.left(t, F.greatest(F.length(t) - TAIL, F.lit(0))), tail)
-    x = F.regexp_replace(x, r"[0-9]+", "#")
-    x = F.regexp_replace(x, r"[.!?]?[ \t\r]*\n\s*", f" {END} ")
-    x = F.regexp_replace(x, r"[.!?]\s+(\p{Lu})", f" {END} $1")
-    x = F.regexp_replace(F.lower(F.rtrim(x)), r"[.!?]$", "")
-    return F.split(F.trim(x), r"\s+")
+    return F.split(F.regexp_replace(x, r"[0-9]+", "#"), r"\n|[.!?]\s+(?=\p{Lu})")
+
+
+def words(sentence):
+    """Column of a sentence's words behind two marks of its beginning, without its final stop."""
+    x = F.regexp_replace(F.trim(F.lower(sentence)), r"[.!?]$", "")
+    return F.split(F.concat(F.lit(f"{END} {END} "), F.trim(x)), r"\s+")
 
 
 def trigram_counts(docs: DataFrame) -> DataFrame:
-    """(w1, w2, w3, inside, ends) over all texts; docs: (w array<string>). The last word of a text is in
-    no counted trigram's third place."""
-    key = F.expr(
-        f"""filter(transform(sequence(2, size(w) - 2), i ->
-        case when w[i] = '{END}' then null else concat_ws(' ', w[i - 2], w[i - 1], w[i], if(w[i + 1] = '{END}', '1', '0')) end), k -> k is not null)"""
+    """(w1, w2, w3, inside, ends) over all texts; docs: (s array<string>), as of sentences().
+
+    Equal sentences are counted together first, which leaves few of the formulaic ones to be taken
+    apart. The last word of a text is in no counted trigram's third place.
+    """
+    s = docs.select(F.posexplode("s").alias("k", "sentence"), (F.size("s") - 1).alias("last"))
+    s = s.select("sentence", (F.col("k") == F.col("last")).alias("open")).groupBy("sentence", "open").agg(F.count("*").alias("n"))
+    w = s.select(words(F.col("sentence")).alias("w"), "open", "n").where(F.size("w") > 2)
+    grams = F.expr(
+        """transform(sequence(2, size(w) - 1), i ->
+        named_struct('w1', w[i - 2], 'w2', w[i - 1], 'w3', w[i], 'end', i = size(w) - 1))"""
     )
-    k = docs.where(F.size("w") > 3).select(F.explode(key).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
-    p = F.split("k", " ")
-    return (
-        k.select(p[0].alias("w1"), p[1].alias("w2"), p[2].alias("w3"), (p[3] == "1").alias("end"), "n")
-        .groupBy("w1", "w2", "w3")
-        .agg(F.sum(F.when(F.col("end"), 0).otherwise(F.col("n"))).alias("inside"), F.sum(F.when(F.col("end"), F.col("n")).otherwise(0)).alias("ends"))
+    g = w.select(F.explode(grams).alias("g"), "open", "n").where("not (open and g.end) and g.w3 <> ''")
+    return g.groupBy("g.w1", "g.w2", "g.w3").agg(
+        F.sum(F.when(F.col("g.end"), 0).otherwise(F.col("n"))).alias("inside"), F.sum(F.when(F.col("g.end"), F.col("n")).otherwise(0)).alias("ends")
     )
 
 
+def final_trigram(text, footers: str, ellipses: str):
+    """The last three words of sentences(), as one string. The last 4000 characters hold them unless the
+    words there are extraordinarily long; then the whole text is taken."""
+    t = F.coalesce(text, F.lit(""))
+    end = F.right(t, F.lit(4000))
+    enough = (F.length(t) <= 4000) | (F.size(F.split(F.left(end, F.lit(3400)), r"\s+")) > 8)
+    s = F.element_at(sentences(F.when(enough, end).otherwise(t), footers, ellipses), -1)
+    return F.concat_ws(" ", F.slice(words(s), -3, 3))
+
+
 def _beginnings(counts: DataFrame, by: list[str]) -> DataFrame:
     """(by..., w3, longer): how often words that begin with w3 and go on follow the words `by`."""
     lengths = F.sequence(F.lit(1), F.least(F.length("w3") - 1, F.lit(WORD)))
@@ -76,17 +94,13 @@ def cut_texts(
 
     `final` is the final trigram, `inside`, `ends` and `longer` its counts; `cut` is true if
     inside + longer >= least and ends <= most_ends * (inside + longer), for the trigram or, where the
-    trigram was seen fewer than `least` times, for its last two words. Null, empty and very short texts
-    (under three words) are not cut. Repeated rows are judged each; texts are read whole.
+    trigram was seen fewer than `least` times, for its last two words. Null and empty texts are not
+    cut; a sentence of fewer than three words is judged with marks of its beginning before it. Repeated rows are judged each; texts are read whole.
     """
-    d = docs.select(id_col, *keep, words(F.col(text), footers, ellipses).alias("w"))
-    counts = trigram_counts(d)
-    n = F.size("w")
-    fin = d.select(
-        id_col, *keep,
-        *(F.when(n >= 3, F.element_at("w", -(3 - k))).alias(f"w{k + 1}") for k in range(3)),
-    )
-    keys = fin.where("w3 is not null").select("w1", "w2", "w3").distinct()
+    counts = cut(trigram_counts(docs.select(sentences(F.col(text), footers, ellipses).alias("s"))))
+    fin = cut(docs.select(id_col, *keep, final_trigram(F.col(text), footers, ellipses).alias("final")))
+    part = F.split("final", " ")
+    keys = fin.select("final").distinct().select("final", *(part[k].alias(f"w{k + 1}") for k in range(3))).where("w3 <> ''")
     pairs = counts.groupBy("w2", "w3").agg(F.sum("inside").alias("inside"), F.sum("ends").alias("ends"))
     near3 = counts.join(keys.select("w1", "w2").distinct(), ["w1", "w2"], "left_semi")
     near2 = pairs.join(keys.select("w2").distinct(), "w2", "left_semi")
@@ -102,12 +116,10 @@ def cut_texts(
     by2 = (go2 >= least) & (F.col("ends2") <= most_ends * go2)
     rare = go3 + F.col("ends") < 50
     # a rare trigram alone proves little: its last two words must not be usual at ends of sentences
-    cut = F.when(go3 + F.col("ends") < least, by2).when(rare, by3 & (F.col("ends2") <= 0.1 * go2)).otherwise(by3)
-    seen = seen.withColumn("cut", cut & (F.col("w3") != END))
-    out = fin.join(seen, ["w1", "w2", "w3"], "left")
-    return out.select(
-        id_col, *keep, F.concat_ws(" ", "w1", "w2", "w3").alias("final"), "inside", "ends", "longer", F.coalesce("cut", F.lit(False)).alias("cut")
-    )
+    is_cut = F.when(go3 + F.col("ends") < least, by2).when(rare, by3 & (F.col("ends2") <= 0.1 * go2)).otherwise(by3)
+    seen = seen.withColumn("cut", is_cut & (F.col("w3") != END))
+    out = fin.join(seen.select("final", "inside", "ends", "longer", "cut"), "final", "left")
+    return out.select(id_col, *keep, "final", "inside", "ends", "longer", F.coalesce("cut", F.lit(False)).alias("cut"))
 
 
 def cut_report(judged: DataFrame, by: str) -> DataFrame:
