@@ -43,8 +43,7 @@ def regular_grid(readings: DataFrame, max_gap_ms=None, block_slots: int = 2048)
 
     `missing` marks a slot without readings that lies strictly between two successive readings more
     than heartbeat_ms apart. A slot without readings between readings that are closer is known and
-    gets the value carried forward. The last reading of a slot is the one with the greatest time,
-    among equals the greatest value. Rows with a null key, step or heartbeat, or a step below 1, are
+    gets the value of the last slot with readings carried forward. Rows with a null key, step or heartbeat, or a step below 1, are
     left out; repeated rows change nothing but n. Empty input gives an empty result.
     """
     r = readings.where(
@@ -54,20 +53,24 @@ def regular_grid(readings: DataFrame, max_gap_ms=None, block_slots: int = 2048)
     carry = F.col(max_gap_ms) if isinstance(max_gap_ms, str) else F.lit(max_gap_ms).cast("bigint")
     gap = F.coalesce(carry, F.col("heartbeat_ms")) if max_gap_ms is not None else F.col("heartbeat_ms")
     cells = r.groupBy("key", "block", "slot", "step_ms", "heartbeat_ms", gap.alias("carry_ms")).agg(
-        F.count("*").alias("n"),
-        F.avg("value").alias("value"),
-        F.min("ms").alias("first_ms"),
-        F.max(F.struct("ms", "value")).alias("last"),
+        F.count("*").alias("n"), F.avg("value").alias("value"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms")
     )
+    # both readers of the cells keep n, so that they have one shuffle in common
+    cells = cells.where("n > 0")
 
     # the neighbours of each block
     fixed = ["step_ms", "heartbeat_ms", "carry_ms"]
     blocks = cells.groupBy("key", "block", *fixed).agg(
-        F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.min("first_ms").alias("first_ms"), F.max("last").alias("last")
+        F.min("slot").alias("lo"),
+        F.max("slot").alias("hi"),
+        F.min("first_ms").alias("first_ms"),
+        F.max("last_ms").alias("last_ms"),
+        F.max_by("value", "slot").alias("last_value"),
     )
     w = Window.partitionBy("key").orderBy("block")
     blocks = (
-        blocks.withColumn("before", F.lag("last").over(w))
+        blocks.withColumn("before_ms", F.lag("last_ms").over(w))
+        .withColumn("before_value", F.lag("last_value").over(w))
         .withColumn("prev_block", F.lag("block").over(w))
         .withColumn("next_block", F.lead("block").over(w))
         .withColumn("after_ms", F.lead("first_ms").over(w))
@@ -81,7 +84,8 @@ def regular_grid(readings: DataFrame, max_gap_ms=None, block_slots: int = 2048)
         F.when(F.col("next_block").isNull(), F.col("hi"))
         .otherwise(((F.col("block") + 1) * block_slots - 1) * F.col("step_ms"))
         .alias("hi"),
-        "before",
+        "before_ms",
+        "before_value",
         "after_ms",
     )
     empty = (
@@ -93,43 +97,38 @@ def regular_grid(readings: DataFrame, max_gap_ms=None, block_slots: int = 2048)
             *fixed,
             (F.col("block") * block_slots * F.col("step_ms")).alias("lo"),
             (((F.col("block") + 1) * block_slots - 1) * F.col("step_ms")).alias("hi"),
-            F.col("last").alias("before"),
+            F.col("last_ms").alias("before_ms"),
+            F.col("last_value").alias("before_value"),
             "after_ms",
         )
     )
-    none = F.lit(None)
+    null = lambda kind: F.lit(None).cast(kind)
     both = own.unionByName(empty).select(
-        "key", "block", *fixed, "lo", "hi", "before", "after_ms",
-        F.lit(0).cast("bigint").alias("n"), none.cast("double").alias("value"), none.cast("bigint").alias("first_ms"),
-        none.cast("struct<ms:bigint,value:double>").alias("last"),
+        "key", "block", *fixed, "lo", "hi", "before_ms", "before_value", "after_ms",
+        F.lit(0).cast("bigint").alias("n"), null("double").alias("value"), null("bigint").alias("first_ms"), null("bigint").alias("last_ms"),
     ).unionByName(
         cells.select(
             "key", "block", *fixed, F.col("slot").alias("lo"), F.col("slot").alias("hi"),
-            none.cast("struct<ms:bigint,value:double>").alias("before"), none.cast("bigint").alias("after_ms"),
-            "n", "value", "first_ms", "last",
+            null("bigint").alias("before_ms"), null("double").alias("before_value"), null("bigint").alias("after_ms"),
+            "n", "value", "first_ms", "last_ms",
         )
     )
     grid = (
         both.repartition("key", "block")
         .withColumn("slot_ms", F.explode(F.sequence("lo", "hi", "step_ms")))
         .groupBy("key", "block", "slot_ms", *fixed)
-        .agg(
-            F.sum("n").alias("n"),
-            F.max("value").alias("value"),
-            F.max("first_ms").alias("first_ms"),
-            F.max("last").alias("last"),
-            F.max("before").alias("before"),
-            F.max("after_ms").alias("after_ms"),
-        )
+        .agg(F.sum("n").alias("n"), *(F.max(c).alias(c) for c in ("value", "first_ms", "last_ms", "before_ms", "before_value", "after_ms")))
     )
     back = Window.partitionBy("key", "block").orderBy("slot_ms").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("key", "block").orderBy("slot_ms").rowsBetween(0, Window.unboundedFollowing)
-    grid = grid.withColumn("prev", F.coalesce(F.last("last", True).over(back), F.col("before"))).withColumn(
-        "next_ms", F.coalesce(F.first("first_ms", True).over(ahead), F.col("after_ms"))
+    ahead = Window.partitionBy("key", "block").orderBy(F.desc("slot_ms")).rowsBetween(Window.unboundedPreceding, 0)
+    grid = (
+        grid.withColumn("prev_ms", F.coalesce(F.last("last_ms", True).over(back), F.col("before_ms")))
+        .withColumn("prev_value", F.coalesce(F.last("value", True).over(back), F.col("before_value")))
+        .withColumn("next_ms", F.coalesce(F.last("first_ms", True).over(ahead), F.col("after_ms")))
     )
     empty_slot = F.col("n") == 0
-    missing = empty_slot & (F.col("next_ms") - F.col("prev.ms") > F.col("heartbeat_ms"))
-    carried = F.when(~missing & (F.col("slot_ms") - F.col("prev.ms") <= F.col("carry_ms")), F.col("prev.value"))
+    missing = empty_slot & (F.col("next_ms") - F.col("prev_ms") > F.col("heartbeat_ms"))
+    carried = F.when(~missing & (F.col("slot_ms") - F.col("prev_ms") <= F.col("carry_ms")), F.col("prev_value"))
     return grid.select(
         "key", "slot_ms", "n", "value", F.when(empty_slot, carried).otherwise(F.col("value")).alias("filled"), missing.alias("missing")
     )

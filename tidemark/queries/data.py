@@ -187,13 +187,13 @@ ORACLES = {
 select name, unnest(range(slot + step_ms, next_slot, step_ms)) as slot_ms from n where next_ms - ms > heartbeat_ms""",
     "p2_grid": _P2_BASE
     + """, c as (select id, slot, step_ms, heartbeat_ms, count(*) as n, avg(value) as value, min(ms) as first_ms,
-       max({'ms': ms, 'v': value}) as last from u group by 1, 2, 3, 4),
+       max(ms) as last_ms from u group by 1, 2, 3, 4),
 s as (select *, lead(slot) over w as next_slot, lead(first_ms) over w as next_ms from c window w as (partition by id order by slot)),
 g as (select *, unnest(range(slot, coalesce(next_slot, slot + step_ms), step_ms)) as slot_ms from s)
 select id as ds_id, slot_ms, case when slot = slot_ms then n else 0 end as n,
        cast(printf('%.12e', case when slot = slot_ms then value end) as double) as value,
-       cast(printf('%.12e', case when slot = slot_ms then value when next_ms - last.ms <= heartbeat_ms and slot_ms - last.ms <= heartbeat_ms then last.v end) as double) as filled,
-       slot <> slot_ms and next_ms - last.ms > heartbeat_ms as missing from g""",
+       cast(printf('%.12e', case when slot = slot_ms then value when next_ms - last_ms <= heartbeat_ms and slot_ms - last_ms <= heartbeat_ms then value end) as double) as filled,
+       slot <> slot_ms and next_ms - last_ms > heartbeat_ms as missing from g""",
     "p4_found": _P4_DAYS + "select ds_id, strftime(day, '%Y-%m-%d') as calendar_day from g where n = 0",
     "p4_rolling": _P4_DAYS
     + """, w as (select ds_id, day, sum(n) over a as n_7, sum(n) over b as n_30, cast(printf('%.12e', sum(total) over a) as double) as s7, cast(printf('%.12e', sum(total) over b) as double) as s30

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +31,25 @@ def get_spark(app: str = "tidemark", master: str | None = None, **conf: str) ->
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per session, unless PYTHONPATH has it: it is
+    zipped and handed to Spark's own file distribution."""
+    home = Path(__file__).resolve().parent
+    known = {str(Path(p).resolve()) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    sc = spark.sparkContext
+    if str(home.parent) in known or getattr(sc, "_tidemark_shipped", False):
+        return
+    at = Path(tempfile.mkdtemp(prefix="tidemark-code-")) / "tidemark_code.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    sc.addPyFile(str(at))
+    sc._tidemark_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables; column pruning and filters reach the Parquet scan."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
