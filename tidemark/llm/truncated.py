@@ -5,9 +5,9 @@ trigram that is frequent inside sentences but (almost) never ends one shows a cu
 word that is unknown after the two words before it, but a beginning of words that are frequent there,
 shows a cut inside a word. Where the final trigram is too rare, its last two words decide.
 
-Trigrams don't cross sentences. Numbers are one symbol, line breaks end sentences, footers and ellipses behind the text are taken off,
-and the very end of a text is never counted as the end of a sentence, so that cut texts don't vouch for
-each other.
+Numbers are one symbol, line breaks end sentences and trigrams don't cross them; footers and ellipses
+behind the text are taken off first. The very end of a text is never counted as the end of a sentence, so
+that cut texts don't vouch for each other.
 """
 
 from __future__ import annotations
@@ -29,13 +29,9 @@ END = "¶"
 WORD = 64
 
 
-def sentences(text, footers: str = FOOTERS, ellipses: str = ELLIPSES):
-    """Column of the sentences of a text, numbers as one symbol, without what was added behind it; the
-    last one is what the text ends with, and all before it ended properly."""
-    t = F.coalesce(text, F.lit(""))
-    tail = F.regexp_replace(F.regexp_replace(F.right(t, F.lit(TAIL)), footers, ""), ellipses, "")
-    x = F.concat(F.left(t, F.greatest(F.length(t) - TAIL, F.lit(0))), tail)
-    return F.split(F.regexp_replace(x, r"[0-9]+", "#"), r"\n|[.!?]\s+(?=\p{Lu})")
+def sentences(text):
+    """Column of the sentences of a text, with numbers as one symbol."""
+    return F.split(F.regexp_replace(text, r"[0-9]+", "#"), r"\n|[.!?]\s+(?=\p{Lu})")
 
 
 def words(sentence):
@@ -44,32 +40,33 @@ def words(sentence):
     return F.split(F.concat(F.lit(f"{END} {END} "), F.trim(x)), r"\s+")
 
 
-def trigram_counts(docs: DataFrame) -> DataFrame:
-    """(w1, w2, w3, inside, ends) over all texts; docs: (s array<string>), as of sentences().
-
-    Equal sentences are counted together first, which leaves few of the formulaic ones to be taken
-    apart. The last word of a text is in no counted trigram's third place.
-    """
-    s = docs.select(F.posexplode("s").alias("k", "sentence"), (F.size("s") - 1).alias("last"))
-    s = s.select("sentence", (F.col("k") == F.col("last")).alias("open")).groupBy("sentence", "open").agg(F.count("*").alias("n"))
-    w = s.select(words(F.col("sentence")).alias("w"), "open", "n").where(F.size("w") > 2)
-    grams = F.expr(
-        """transform(sequence(2, size(w) - 1), i ->
-        named_struct('w1', w[i - 2], 'w2', w[i - 1], 'w3', w[i], 'end', i = size(w) - 1))"""
-    )
-    g = w.select(F.explode(grams).alias("g"), "open", "n").where("not (open and g.end) and g.w3 <> ''")
-    return g.groupBy("g.w1", "g.w2", "g.w3").agg(
-        F.sum(F.when(F.col("g.end"), 0).otherwise(F.col("n"))).alias("inside"), F.sum(F.when(F.col("g.end"), F.col("n")).otherwise(0)).alias("ends")
-    )
-
-
-def final_trigram(text, footers: str, ellipses: str):
-    """The last three words of sentences(), as one string. The last 4000 characters hold them unless the
-    words there are extraordinarily long; then the whole text is taken."""
+def trigram_counts(docs: DataFrame, text: str, finals: DataFrame) -> DataFrame:
+    """(w1, w2, w3, inside, ends) over all texts. Equal sentences are counted together first, which leaves
+    few of the formulaic ones to be taken apart. finals: (w1, w2, w3, n) final trigrams of texts, which are
+    not counted as ends."""
+    s = docs.where(F.col(text).isNotNull()).select(F.explode(sentences(F.col(text))).alias("sentence"))
+    w = s.groupBy("sentence").agg(F.count("*").alias("n")).select(words(F.col("sentence")).alias("w"), "n")
+    n = F.size("w")
+    # w4 is null behind the last word
+    zipped = F.arrays_zip(*(F.slice("w", k, n).alias(f"w{k}") for k in range(1, 5)))
+    g = w.select(F.inline(zipped).alias("w1", "w2", "w3", "w4"), "n").where("w3 <> ''")
+    end = F.col("w4").isNull()
+    g = g.select("w1", "w2", "w3", F.when(end, 0).otherwise(F.col("n")).alias("inside"), F.when(end, F.col("n")).otherwise(0).alias("ends"))
+    less = finals.select("w1", "w2", "w3", F.lit(0).cast("bigint").alias("inside"), (-F.col("n")).alias("ends"))
+    c = g.unionByName(less).groupBy("w1", "w2", "w3").agg(F.sum("inside").alias("inside"), F.sum("ends").alias("ends"))
+    return c.withColumn("ends", F.greatest("ends", F.lit(0)))
+
+
+def final_trigram(text, footers: str = FOOTERS, ellipses: str = ELLIPSES):
+    """The last three words of a text's last sentence, as one string, footers and ellipses taken off. The
+    last 1000 characters hold them unless the words there are extraordinarily long; then the whole text
+    is taken."""
     t = F.coalesce(text, F.lit(""))
-    end = F.right(t, F.lit(4000))
-    enough = (F.length(t) <= 4000) | (F.size(F.split(F.left(end, F.lit(3400)), r"\s+")) > 8)
-    s = F.element_at(sentences(F.when(enough, end).otherwise(t), footers, ellipses), -1)
+    end = F.right(t, F.lit(TAIL + 600))
+    enough = (F.length(t) <= TAIL + 600) | (F.size(F.split(F.left(end, F.lit(600)), r"\s+")) > 8)
+    x = F.when(enough, end).otherwise(t)
+    tail = F.regexp_replace(F.regexp_replace(F.right(x, F.lit(TAIL)), footers, ""), ellipses, "")
+    s = F.element_at(sentences(F.concat(F.left(x, F.greatest(F.length(x) - TAIL, F.lit(0))), tail)), -1)
     return F.concat_ws(" ", F.slice(words(s), -3, 3))
 
 
@@ -97,10 +94,11 @@ def cut_texts(
     trigram was seen fewer than `least` times, for its last two words. Null and empty texts are not
     cut; a sentence of fewer than three words is judged with marks of its beginning before it. Repeated rows are judged each; texts are read whole.
     """
-    counts = cut(trigram_counts(docs.select(sentences(F.col(text), footers, ellipses).alias("s"))))
     fin = cut(docs.select(id_col, *keep, final_trigram(F.col(text), footers, ellipses).alias("final")))
     part = F.split("final", " ")
-    keys = fin.select("final").distinct().select("final", *(part[k].alias(f"w{k + 1}") for k in range(3))).where("w3 <> ''")
+    keys = fin.groupBy("final").agg(F.count("*").alias("n")).select("final", "n", *(part[k].alias(f"w{k + 1}") for k in range(3))).where("w3 <> ''")
+    counts = cut(trigram_counts(docs, text, keys))
+    keys = keys.drop("n")
     pairs = counts.groupBy("w2", "w3").agg(F.sum("inside").alias("inside"), F.sum("ends").alias("ends"))
     near3 = counts.join(keys.select("w1", "w2").distinct(), ["w1", "w2"], "left_semi")
     near2 = pairs.join(keys.select("w2").distinct(), "w2", "left_semi")
