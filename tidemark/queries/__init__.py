@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("data", "language")
+_MODULES = ("data", "language", "ingest")
 
 
 def _all(what: str) -> dict:

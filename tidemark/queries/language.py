@@ -67,7 +67,7 @@ _NAME_SQL = {
 def _frame_sql(frame: str) -> str:
     name, ts, value, source = _NAME_SQL[frame.split("_")[0]]
     _, step, how = FRAMES[frame]
-    return f"""with p as (select {name} as name, ((epoch_ms({ts}) - 1) // {step} + 1) * {step} as t, {value} as value from {source}),
+    return f"""with p as (select {name} as name, ((epoch_us({ts}) // 1000 - 1) // {step} + 1) * {step} as t, {value} as value from {source}),
 a as (select name, t, {how}(value) as v from p group by 1, 2), b as (select min(t) as lo, max(t) as hi from p),
 g as (select n.name, x.t from (select distinct name from p) n, (select unnest(range(lo, hi + 1, {step})) as t from b) x),
 f as (select g.name, g.t, a.v from g left join a using (name, t)) """
