@@ -39,8 +39,12 @@ SPECS = {
 }
 
 
+#: Keeps exact halves from being rounded up by one engine and down by the other.
+SHIFT = 3.3e-9
+
+
 def consolidated(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return con.consolidate(event_points(spark, d), SPECS[name]).select("name", "cf", "step_ms", F.col("t").alias("t_ms"), F.round("v", 7).alias("v"))
+    return con.consolidate(event_points(spark, d), SPECS[name]).select("name", "cf", "step_ms", F.col("t").alias("t_ms"), F.round(F.col("v") + SHIFT, 6).alias("v"))
 
 
 _POINTS_SQL = "select 'events.' || event_type || '.u' || (user_id % 3) as name, epoch_us(ts) // 1000 as ms, value, event_id from events"
@@ -72,7 +76,7 @@ g as (select name, cf, r, slot, coalesce(sum(d) filter (where {live}), 0) as dur
   case cf when 'WMEAN' then sum(v * d) filter (where {live}) / nullif(sum(d) filter (where {live}), 0) when 'MAX' then max(v) when 'MIN' then min(v)
   else arg_max(v, seq) filter (where v is not null) end as x from c, (values {cfs}) y(cf) group by name, cf, r, slot),
 l as (select name, max(e) as last_e from u group by name)
-select name, cf, r::bigint as step_ms, slot::bigint as t_ms, round(case when dur / r < {a.xff} then null when dur = 0 then case when was_reset or {a.xff} > 0 then null else 0 end else x end, 7) as v
+select name, cf, r::bigint as step_ms, slot::bigint as t_ms, round(case when dur / r < {a.xff} then null when dur = 0 then case when was_reset or {a.xff} > 0 then null else 0 end else x end + {SHIFT}, 6) as v
 from g join l using (name) where slot <= last_e and slot > last_e // r * r - {a.size} * r"""
 
 
@@ -129,7 +133,7 @@ def sanitize_names(spark: SparkSession, d: str) -> DataFrame:
 
 def scan_gap_filled(spark: SparkSession, d: str) -> DataFrame:
     f = from_points(event_points(spark, d), HOUR)
-    return f.df.select("name", F.col("t").alias("t_ms"), F.round("v", 7).alias("v"))
+    return f.df.select("name", F.col("t").alias("t_ms"), _r("v"))
 
 
 def scan_regrouped(spark: SparkSession, d: str) -> DataFrame:
@@ -137,12 +141,12 @@ def scan_regrouped(spark: SparkSession, d: str) -> DataFrame:
     e = engine(spark, d)
     f = e.store.fetch("events.*.*", e.from_ms, e.to_ms, 0)
     g = regroup(f, points_step(e.from_ms, e.to_ms, 100, HOUR))
-    return g.df.select("name", F.col("t").alias("t_ms"), F.round("v", 7).alias("v"))
+    return g.df.select("name", F.col("t").alias("t_ms"), _r("v"))
 
 
 def scan_range(spark: SparkSession, d: str) -> DataFrame:
     e = engine(spark, d)
-    return e.store.fetch("events.view.*", e.to_ms - 2 * DAY, e.to_ms).df.select("name", F.col("t").alias("t_ms"), F.round("v", 7).alias("v"))
+    return e.store.fetch("events.view.*", e.to_ms - 2 * DAY, e.to_ms).df.select("name", F.col("t").alias("t_ms"), _r("v"))
 
 
 def glob_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -322,7 +326,7 @@ z as (select *, coalesce(lead(ms) over (partition by name, t_ms order by ms), t_
 select name, t_ms, round(sum(value * d) / nullif(sum(d), 0), 9) as value from z group by 1, 2""",
     "events_answer": "select '[]' as json",
     "synthetic_load": "select 'load.' || k as name, (i * 10000)::bigint as ms, round(sin((i * 10000) % 600000 * (2 * pi() / 600000)) * 100, 9) as value from range(7) a(k), range(60) b(i)",
-    "stored_archive": "with s as (" + _consolidate_sql(SPECS["consolidate_wmean"]).replace("round(case", "(case").replace("else x end, 7)", "else x end)") + ") select name, step_ms, count(v) as n, round(avg(v), 9) as mean, max(t_ms) as last_ms from s group by 1, 2",
+    "stored_archive": "with s as (" + _consolidate_sql(SPECS["consolidate_wmean"]).replace("round(case", "(case").replace(f"else x end + {SHIFT}, 6)", "else x end)") + ") select name, step_ms, count(v) as n, round(avg(v), 9) as mean, max(t_ms) as last_ms from s group by 1, 2",
     "render_answer": _frame_sql("ev_6h") + """select split_part(name, '.', 2) || '.' || split_part(name, '.', 3) as target,
   '{"target": "' || split_part(name, '.', 2) || '.' || split_part(name, '.', 3) || '", "datapoints": [' || string_agg('[0.0, ' || (t // 1000) || ']', ', ' order by t) || ']}' as json from f where name like 'events.view.%' group by name""",
 }
