@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import finite, slot_end
+from .session import finite, slot_end, sound_unions
 
 COLUMNS = ["name", "alias", "t", "v", "step_ms"]
 
@@ -98,6 +98,7 @@ def merge(frames: list[Frame], align: bool = True) -> Frame:
         frames = [regroup(f, step) for f in frames]
     if len(frames) == 1:
         return frames[0]
+    sound_unions(frames[0].df.sparkSession)
     rows = reduce(DataFrame.unionByName, [f.df.select(*COLUMNS, F.lit(i).alias("arg")) for i, f in enumerate(frames)])
     rows = rows.withColumn("top", F.max("arg").over(whole())).where("arg = top").drop("arg", "top")
     return Frame(rows, frozenset().union(*(f.steps for f in frames)))

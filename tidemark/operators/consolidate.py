@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.spec import SeriesSpec
+from ..session import sound_unions
 
 
 def _up(c, step):
@@ -38,40 +39,43 @@ def clean_points(points: DataFrame) -> DataFrame:
 
 
 def intervals(points: DataFrame, heartbeat_ms: int) -> DataFrame:
-    """(name, t0, t1, v): v is null where the points are more than a heartbeat apart. Of points with one
-    time the greatest value stands first and the others cover nothing."""
+    """(name, t0, t1, v, last_ms): v is null where the points are more than a heartbeat apart, last_ms is
+    the series' last time. Of points with one time the greatest value stands first and the others cover
+    nothing."""
     w = Window.partitionBy("name").orderBy("ms", F.desc("value"))
-    p = clean_points(points).withColumn("t0", F.lag("ms").over(w)).where("t0 is not null and ms > t0")
-    return p.select("name", "t0", F.col("ms").alias("t1"), F.when(F.col("ms") - F.col("t0") <= heartbeat_ms, F.col("value")).alias("v"))
+    p = clean_points(points).withColumn("t0", F.lag("ms").over(w)).withColumn("last_ms", F.max("ms").over(Window.partitionBy("name")))
+    v = F.when(F.col("ms") - F.col("t0") <= heartbeat_ms, F.col("value")).alias("v")
+    return p.where("t0 is not null and ms > t0").select("name", "t0", F.col("ms").alias("t1"), v, "last_ms")
 
 
 def updates(points: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """(name, b, e, v, dur, own): one row per update of the archives; dur is the credited duration of a
-    completed primary slot, null for a middle run, whose credit depends on the archive's step."""
+    """(name, last_e, b, e, v, dur, seq): one row per update of the archives; last_e is the end of the
+    series' last update, dur the credited duration of a completed primary slot, null for a middle run,
+    whose credit depends on the archive's step, seq the order of the updates."""
     if spec.heartbeat_ms == 0:
         return _owned_updates(points, spec)
     s = spec.step_ms
     i = intervals(points, spec.heartbeat_ms).withColumn("up", _up(F.col("t0"), s)).withColumn("lo", _floor(F.col("t1"), s))
+    i = i.withColumn("last_e", _floor(F.col("last_ms"), s))
     ragged = F.col("t0") != F.col("up")
-    head = i.where(ragged).select(
-        "name", F.col("up").alias("slot"), "v", (F.least("up", "t1") - F.col("t0")).alias("d"), (F.col("t1") >= F.col("up")).alias("done")
-    )
-    tail = i.where((F.col("t1") > F.col("lo")) & ~(ragged & (F.col("t1") < F.col("up")))).select(
-        "name", (F.col("lo") + s).alias("slot"), "v", (F.col("t1") - F.greatest("lo", "t0")).alias("d"), F.lit(False).alias("done")
-    )
+    # one pass gives the two partial pieces of an interval
+    head = F.struct(F.col("up").alias("slot"), (F.least("up", "t1") - F.col("t0")).alias("d"), (F.col("t1") >= F.col("up")).alias("done"))
+    tail = F.struct((F.col("lo") + s).alias("slot"), (F.col("t1") - F.greatest("lo", "t0")).alias("d"), F.lit(False).alias("done"))
+    has_tail = (F.col("t1") > F.col("lo")) & ~(ragged & (F.col("t1") < F.col("up")))
+    pieces = i.select("name", "last_e", "v", F.explode(F.array_compact(F.array(F.when(ragged, head), F.when(has_tail, tail)))).alias("p"))
     known = F.col("v").isNotNull()
     pdp = (
-        head.unionByName(tail)
-        .groupBy("name", "slot")
+        pieces.select("name", "last_e", "v", "p.*")
+        .groupBy("name", "slot", "last_e")
         .agg(
             F.sum(F.when(known, F.col("v") * F.col("d"))).alias("vd"),
             F.coalesce(F.sum(F.when(known, F.col("d"))), F.lit(0)).alias("dur"),
             F.bool_or("done").alias("done"),
         )
         .where("done")
-        .select("name", (F.col("slot") - s).alias("b"), F.col("slot").alias("e"), F.try_divide("vd", "dur").alias("v"), "dur")
+        .select("name", "last_e", (F.col("slot") - s).alias("b"), F.col("slot").alias("e"), F.try_divide("vd", "dur").alias("v"), "dur")
     )
-    middle = i.where("lo > up").select("name", F.col("up").alias("b"), F.col("lo").alias("e"), "v", F.lit(None).cast("bigint").alias("dur"))
+    middle = i.where("lo > up").select("name", "last_e", F.col("up").alias("b"), F.col("lo").alias("e"), "v", F.lit(None).cast("bigint").alias("dur"))
     return pdp.unionByName(middle).withColumn("seq", F.col("e"))
 
 
@@ -81,9 +85,10 @@ def _owned_updates(points: DataFrame, spec: SeriesSpec) -> DataFrame:
     s = spec.step_ms
     w = Window.partitionBy("name").orderBy("ms", "value")
     p = clean_points(points).withColumn("e", _floor(F.col("ms"), s) + s).withColumn("prev", F.lag("e").over(w)).withColumn("k", F.row_number().over(w))
-    own = p.select("name", (F.col("e") - s).alias("b"), "e", F.col("value").alias("v"), F.lit(s).cast("bigint").alias("dur"), (2 * F.col("k")).alias("seq"))
+    p = p.withColumn("last_e", F.max("e").over(Window.partitionBy("name")))
+    own = p.select("name", "last_e", (F.col("e") - s).alias("b"), "e", F.col("value").alias("v"), F.lit(s).cast("bigint").alias("dur"), (2 * F.col("k")).alias("seq"))
     gap = p.where(F.col("e") - s > F.col("prev")).select(
-        "name", F.col("prev").alias("b"), (F.col("e") - s).alias("e"), F.lit(None).cast("double").alias("v"), F.lit(None).cast("bigint").alias("dur"), (2 * F.col("k") - 1).alias("seq")
+        "name", "last_e", F.col("prev").alias("b"), (F.col("e") - s).alias("e"), F.lit(None).cast("double").alias("v"), F.lit(None).cast("bigint").alias("dur"), (2 * F.col("k") - 1).alias("seq")
     )
     return own.unionByName(gap)
 
@@ -94,7 +99,7 @@ def _credits(u: DataFrame, step: int, archive_step: int) -> DataFrame:
     run = F.when((span > step) & (F.lit(archive_step) >= span), span).otherwise(F.lit(step))
     first = _floor(F.col("b"), archive_step) + archive_step
     return u.select(
-        "name", "e", "v", "seq", F.coalesce("dur", run).alias("d"), F.explode(F.sequence(first, _up(F.col("e"), archive_step), F.lit(archive_step).cast("bigint"))).alias("slot")
+        "name", "last_e", "e", "v", "seq", F.coalesce("dur", run).alias("d"), F.explode(F.sequence(first, _up(F.col("e"), archive_step), F.lit(archive_step).cast("bigint"))).alias("slot")
     )
 
 
@@ -106,18 +111,20 @@ def consolidate(points: DataFrame, spec: SeriesSpec) -> DataFrame:
     point of a series opens it and gives no value; late points are sorted in. Null, NaN and infinite
     values, null names and times are ignored. Empty input gives an empty result.
     """
+    sound_unions(points.sparkSession)
     u = updates(points, spec)
     shared: dict[int, DataFrame] = {}
     out = []
     for a in spec.archives:
         c = shared.setdefault(a.step_ms, _credits(u, spec.step_ms, a.step_ms))
-        out.append(_slots(c, u, a, spec.heartbeat_ms == 0))
+        out.append(_slots(c, a, spec.heartbeat_ms == 0))
     return reduce(DataFrame.unionByName, out)
 
 
-def _slots(c: DataFrame, u: DataFrame, a, owned: bool) -> DataFrame:
+def _slots(c: DataFrame, a, owned: bool) -> DataFrame:
     r, known = a.step_ms, F.col("v").isNotNull()
-    last = u.groupBy("name").agg(F.max("e").alias("last_e"))
+    # retention: the newest `size` slots that have ended
+    c = c.where((F.col("slot") <= F.col("last_e")) & (F.col("slot") > _floor(F.col("last_e"), r) - a.size * r))
     if owned:
         # a slot is closed by every update that reaches its end; only what came after the last but one
         # closing, up to the last, decides
@@ -142,9 +149,6 @@ def _slots(c: DataFrame, u: DataFrame, a, owned: bool) -> DataFrame:
     g = c.groupBy("name", "slot").agg(
         F.coalesce(F.sum(F.when(live, F.col("d"))), F.lit(0)).alias("dur"), value.alias("x"), F.max("reset").isNotNull().alias("was_reset")
     )
-    g = g.join(last, "name").where("slot <= last_e")
-    # retention: the newest `size` slots
-    g = g.where(F.col("slot") > _floor(F.col("last_e"), r) - a.size * r)
     nothing = F.col("dur") == 0
     v = F.when(F.col("dur") / r < a.xff, None).when(nothing, F.when(F.col("was_reset") | F.lit(a.xff > 0), None).otherwise(0.0)).otherwise(F.col("x"))
     return g.select("name", F.lit(a.cf).alias("cf"), F.lit(r).cast("bigint").alias("step_ms"), F.col("slot").alias("t"), v.alias("v"))

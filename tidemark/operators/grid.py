@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import finite, slot_end
+from ..session import finite, slot_end, sound_unions
 
 
 def usable_readings(
@@ -46,6 +46,7 @@ def regular_grid(readings: DataFrame, max_gap_ms=None, block_slots: int = 2048)
     gets the value of the last slot with readings carried forward. Rows with a null key, step or heartbeat, or a step below 1, are
     left out; repeated rows change nothing but n. Empty input gives an empty result.
     """
+    sound_unions(readings.sparkSession)
     r = readings.where(
         F.col("key").isNotNull() & F.col("step_ms").isNotNull() & F.col("heartbeat_ms").isNotNull() & (F.col("step_ms") > 0)
     ).withColumn("slot", slot_end("ms", "step_ms"))

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import sound_unions
+
 _SALTS = 16
 
 
@@ -65,6 +67,7 @@ def orphan_keys(parents: list[Parent], children: list[Child]) -> DataFrame:
     A key is kept if it has children and no parent row, or if the earliest parent row is later than
     the earliest child. Null keys refer to nothing and are left out. Duplicate parent rows count once.
     """
+    sound_unions(parents[0].df.sparkSession)
     p = reduce(
         DataFrame.unionByName,
         [

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast, cut, finite
+from ..session import bounded_broadcast, cut, finite, sound_unions
 
 DAY = 86_400_000
 #: A run of more outlying readings than this is a new level.
@@ -268,6 +268,7 @@ def implausible(readings: DataFrame, times: float = 8.0, chunk_rows: int = CHUNK
     are ordered by row_id. Each row comes out at most once (stuck before spike); rows that share source,
     time and row_id are one row. Empty input gives an empty result.
     """
+    sound_unions(readings.sparkSession)
     r = readings.where(finite("value") & F.col("source").isNotNull() & F.col("ms").isNotNull()).select(
         "source_table", F.xxhash64("source_table", "source").alias("src"), "row_id", "ms", "value", "log"
     )

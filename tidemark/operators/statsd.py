@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import finite
+from ..session import finite, sound_unions
 
 #: Thresholds of timers, in percent.
 THRESHOLDS = (90,)
@@ -28,6 +28,7 @@ def aggregate(commands: DataFrame, window_ms: int = 10_000, thresholds: tuple[in
     .upper_N of the values up to it. compat gives the timers' sums without cumulation. Null names and
     values that are not finite are ignored; nothing in gives nothing out.
     """
+    sound_unions(commands.sparkSession)
     c = commands.where(finite("value") & F.col("name").isNotNull() & F.col("ms").isNotNull())
     kind = F.when(F.col("cmd") == "add", "c").when(F.col("cmd") == "append", "t").when(F.col("cmd").isin("addgauge", "setgauge"), "g")
     c = c.select("name", "cmd", "value", kind.alias("kind"), F.struct("ms", "id").alias("at"), flush_end(F.col("ms"), window_ms).alias("end")).where("kind is not null")

@@ -157,7 +157,8 @@ def write_archive(slots: DataFrame, path: str, checkpoint: str, once: bool = Tru
 
 def merge_archive(new: DataFrame, path: str) -> None:
     """Merge slots into an archive of the same layout: a new value replaces the old one of its (name, cf,
-    step_ms, t). Only the partitions that are touched are rewritten; the merged rows are written to the
+    step_ms, t). For foreachBatch and batch jobs, not for a folder that write_archive() fills. Only the
+    partitions that are touched are rewritten; the merged rows are written to the
     checkpoint folder first, since a table can't be overwritten while it is read."""
     from ..session import cut
 
