@@ -168,3 +168,10 @@ def clock_durations(df: DataFrame, name: str = "name", ms: str = "ms") -> DataFr
     a gauge's value."""
     w = Window.partitionBy(name).orderBy(ms)
     return df.withColumn("dur_ms", F.lead(ms).over(w) - F.col(ms))
+
+
+def pdp_summary(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """Greatest, least and last known value per group; `order` says which is last."""
+    known = F.col(value).isNotNull() & ~F.isnan(value)
+    v = F.when(known, F.col(value))
+    return df.groupBy(*keys).agg(F.max(v).alias("v_max"), F.min(v).alias("v_min"), F.max_by(v, F.when(known, F.col(order))).alias("v_last"))

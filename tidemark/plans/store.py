@@ -129,3 +129,14 @@ def register_views(spark, archive: DataFrame, series: DataFrame) -> None:
     tv = archive.select("name", "cf", "step_ms", F.timestamp_millis("t").alias("t"), F.col("v").alias("r"))
     tv.createOrReplaceTempView("tv")
     series.createOrReplaceTempView("series")
+
+
+def delete_series(archive: DataFrame, names: DataFrame) -> DataFrame:
+    """archive without the rows of the given series (name); null names delete nothing."""
+    return archive.join(names.select("name").distinct(), "name", "left_anti")
+
+
+def create_archives(series: DataFrame, archives) -> DataFrame:
+    """One row per series (name) and archive of its specification: (name, cf, step_ms, size, xff)."""
+    kinds = F.array(*(F.struct(F.lit(a.cf).alias("cf"), F.lit(a.step_ms).cast("bigint").alias("step_ms"), F.lit(a.size).cast("bigint").alias("size"), F.lit(float(a.xff)).alias("xff")) for a in archives))
+    return series.select("name").where("name is not null").distinct().select("name", F.explode(kinds).alias("a")).select("name", "a.*")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import wraps
 from importlib import import_module
 
-_MODULES = ("data", "language", "ingest")
+from ..session import ship, sound_unions
+
+_MODULES = ("data", "language", "ingest", "more")
 
 
 def _all(what: str) -> dict:
@@ -14,8 +17,20 @@ def _all(what: str) -> dict:
     return out
 
 
+def ready(f):
+    """The query with the session prepared first."""
+
+    @wraps(f, assigned=("__doc__",))
+    def run(spark, sf_dir):
+        ship(spark)
+        sound_unions(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def all_queries() -> dict:
-    return _all("QUERIES")
+    return {k: ready(f) for k, f in _all("QUERIES").items()}
 
 
 def all_oracles() -> dict:

@@ -52,7 +52,12 @@ def read_whisper(spark, root: str, prefix: str = "") -> DataFrame:
     """(name, archive, step_ms, ms, value) of all .wsp files below root; unused slots (time 0) are left
     out, unreadable files give no rows. Files are read in parallel, one at a time per task."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wsp").option("recursiveFileLookup", "true").load(root)
-    files = files.select(whisper_name(F.col("path"), root, prefix).alias("name"), "content")
+    return whisper_points(files.select(whisper_name(F.col("path"), root, prefix).alias("name"), "content"))
+
+
+def whisper_points(files: DataFrame) -> DataFrame:
+    """(name, archive, step_ms, ms, value) of files (name, content)."""
+    files = files.select("name", "content").where("content is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
