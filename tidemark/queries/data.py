@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..names import clean_name, suffix
 from ..operators import grid, orphans, qdigest, rolling, spikes
-from ..session import bounded_broadcast, finite, table
+from ..session import finite, table
 
 
 
@@ -141,14 +141,15 @@ g as (select c.ds_id, c.day, coalesce(n, 0) as n, coalesce(total, 0) as total fr
 
 
 def _measurements(spark: SparkSession, d: str) -> DataFrame:
-    """Readings of the three tables in one form; a time that is null or more than seven days from its
-    receipt is replaced by the receipt."""
+    """Readings of the three tables in one form. The time of a reading is ts, however late it arrived, but
+    its receipt where ts is null or no late arrival explains it: more than seven days after the receipt or
+    more than 90 days before it."""
     log = F.col("suffix").isin("latency_ms", "hits")
-    week = 7 * 86_400_000
+    day = 86_400_000
 
     def time(t: DataFrame):
         ts, at = F.unix_millis("ts"), F.unix_millis("received_at")
-        return F.when(ts.isNull() | (F.abs(ts - at) > week), at).otherwise(ts).alias("ms")
+        return F.when(ts.isNull() | (ts > at + 7 * day) | (ts < at - 90 * day), at).otherwise(ts).alias("ms")
 
     def cols(table_name: str, ident: str, source, ms, value: str):
         return [F.lit(table_name).alias("source_table"), source.alias("source"), F.col(ident).alias("row_id"), ms, F.col(value).alias("value")]
@@ -159,7 +160,7 @@ def _measurements(spark: SparkSession, d: str) -> DataFrame:
     p = p.select(*cols("points", "point_id", clean_name("name"), time(p), "value")).withColumn("suffix", suffix("source"))
     units = table(spark, d, "ds").where(F.col("name").isNotNull()).groupBy(F.col("id").alias("ds_id")).agg(suffix(F.min("name")).alias("suffix"))
     v = table(spark, d, "tv").where(finite("r"))
-    v = v.join(bounded_broadcast(units), "ds_id", "left")
+    v = v.join(units, "ds_id", "left")
     v = v.select(*cols("tv", "tv_id", F.col("ds_id").cast("string"), F.unix_millis("t").alias("ms"), "r"), "suffix")
     return reduce(DataFrame.unionByName, [s, p, v]).withColumn("log", F.coalesce(log, F.lit(False)))
 
