@@ -92,8 +92,8 @@ def find_nodes(names: DataFrame, pattern: str, name: str = "name") -> DataFrame:
 
 def find_response(names: DataFrame, pattern: str) -> DataFrame:
     """find_nodes() without repeated last components: the first id of each is kept."""
-    w = Window.partitionBy("text").orderBy("id")
-    return find_nodes(names, pattern).withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+    first = F.min_by(F.struct("id", "text", "leaf", "expandable"), "id").alias("n")
+    return find_nodes(names, pattern).groupBy("text").agg(first).select("n.*")
 
 
 def rra_view(rra: DataFrame, bundles: DataFrame, ds: DataFrame | None = None) -> DataFrame:
