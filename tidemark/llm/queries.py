@@ -51,4 +51,39 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p6_pack, p6_report, p7_mix, p7_report, p8_found, p8_report)}
-ORACLES: dict[str, str] = {}
+_WORDS = r"['¶', '¶'] || string_split_regex(trim(regexp_replace(trim(lower(sentence)), '[.!?]$', '')), '\s+')"
+_SENTENCES = r"string_split(regexp_replace(regexp_replace({}, '[0-9]+', '#', 'g'), '[.!?]\s+(\p{{Lu}})', chr(10) || '\1', 'g'), chr(10))"
+_CUT = (
+    "with d as (select doc_id, source, coalesce(text, '') as t from documents),"
+    " f0 as (select doc_id, source, substr(t, 1, greatest(length(t) - 400, 0)) || regexp_replace(regexp_replace(right(t, 400), '"
+    + truncated.FOOTERS
+    + "', ''), '"
+    + truncated.ELLIPSES
+    + "', '') as x from d), f1 as (select doc_id, source, "
+    + _SENTENCES.format("x")
+    + "[-1] as sentence from f0), f2 as (select doc_id, source, "
+    + _WORDS
+    + " as w from f1), fin as (select doc_id, source, w[-3] as w1, w[-2] as w2, w[-1] as w3 from f2),"
+    " s as (select sentence, count(*) as n from (select unnest("
+    + _SENTENCES.format("t")
+    + ") as sentence from d) group by 1), w as (select "
+    + _WORDS
+    + """ as w, n from s),
+g as (select w[i - 2] as w1, w[i - 1] as w2, w[i] as w3, i = len(w) as e, n from (select w, n, unnest(range(3, len(w) + 1)) as i from w)),
+k as (select w1, w2, w3, count(*) as n from fin where w3 <> '' group by 1, 2, 3),
+c as (select w1, w2, w3, sum(case when e then 0 else n end) as i, greatest(sum(case when e then n else 0 end), 0) as x from
+  (select * from g where w3 <> '' union all select w1, w2, w3, true, -n from k) group by 1, 2, 3),
+c2 as (select w2, w3, sum(i) as i, sum(x) as x from c group by 1, 2),
+p3 as (select k.w1, k.w2, k.w3, sum(c.i + c.x) as p from k join c on c.w1 = k.w1 and c.w2 = k.w2 where starts_with(c.w3, k.w3) and length(c.w3) > length(k.w3) and length(k.w3) <= 64 group by 1, 2, 3),
+p2 as (select k.w2, k.w3, sum(c2.i + c2.x) as p from (select distinct w2, w3 from k) k join c2 on c2.w2 = k.w2 where starts_with(c2.w3, k.w3) and length(c2.w3) > length(k.w3) and length(k.w3) <= 64 group by 1, 2),
+v as (select k.w1, k.w2, k.w3, coalesce(c.i, 0) + coalesce(p3.p, 0) as go3, coalesce(c.x, 0) as x3, coalesce(c2.i, 0) + coalesce(p2.p, 0) as go2, coalesce(c2.x, 0) as x2
+  from k left join c using (w1, w2, w3) left join p3 using (w1, w2, w3) left join c2 on c2.w2 = k.w2 and c2.w3 = k.w3 left join p2 on p2.w2 = k.w2 and p2.w3 = k.w3),
+j as (select w1, w2, w3, w3 <> '¶' and case when go3 + x3 < 8 then go2 >= 8 and x2 <= 0.02 * go2 when go3 + x3 < 50 then go3 >= 8 and x3 <= 0.02 * go3 and x2 <= 0.1 * go2
+  else go3 >= 8 and x3 <= 0.02 * go3 end as cut from v),
+r as (select fin.doc_id, fin.source, coalesce(j.cut, false) as cut from fin left join j using (w1, w2, w3))
+"""
+)
+ORACLES: dict[str, str] = {
+    "p8_found": _CUT + "select doc_id from r where cut",
+    "p8_report": _CUT + "select source, count(*) as n_texts, sum(cut::int)::bigint as n_cut, avg(cut::int) as share_cut from r group by 1",
+}
