@@ -143,3 +143,29 @@ def test_implausible(spark):
     lim = spark.createDataFrame([("x", 0.0, None), ("y", None, float("nan"))], "suffix string, min_possible double, max_possible double")
     bad = spikes.outside_limits(df.withColumn("suffix", F.lit("x")).withColumn("value", F.when(F.col("row_id") == 3, -1.0).otherwise(F.col("value"))), lim)
     assert {r.row_id for r in bad.collect()} == {3}
+
+
+def test_implausible_chunks_judge_as_the_source(spark):
+    """What is usual is the source's, not that of a chunk of it."""
+    rng = np.random.default_rng(9)
+    n = 3650
+    ms = np.arange(n) * 600_000
+    noise = np.where(np.arange(n) < 3000, 1.0, 0.05)
+    v = 50 + rng.normal(0, 1, n) * noise
+    v[400:1100] = 51.25  # 19 % of the source, but most of a chunk of 1,000 readings
+    v[3200] += 2  # far from usual in the quiet part only
+    v[[1500, 1501, 2700, 3640]] += [30, 30, -40, 25]
+    step = np.where(np.arange(n) % 3 == 0, 1, 5) * 100_000 + np.arange(n) * 600_000
+    state = np.where(np.arange(n) // 400 % 3 == 1, 7.0, 20 + 5 * np.sin(2 * np.pi * step / 86_400_000) + rng.normal(0, 0.2, n))
+    log = np.exp(rng.normal(3, 0.3, n))
+    log[[10, 2000, 3649]] *= 1e4
+    log[100] = 0.0
+    parts = [("s", ms, v, False), ("state", step, state, False), ("log", ms, log, True)]
+    pdf = pd.concat([pd.DataFrame({"source_table": "t", "source": s, "row_id": np.arange(n) + 10_000 * i, "ms": t, "value": x, "log": b}) for i, (s, t, x, b) in enumerate(parts)])
+    df = spark.createDataFrame(pdf)
+    df = df.unionByName(df.where("row_id in (1499, 1500, 2000)"))
+    whole = {(r.row_id, r.reason) for r in spikes.implausible(df).collect()}
+    assert {(i, "stuck") for i in range(400, 1100)} | {(i, "spike") for i in (1500, 1501, 2700, 3640)} == {x for x in whole if x[0] < 10_000}
+    assert {x[0] for x in whole if x[0] >= 20_000} == {20_010, 20_100, 22_000, 23_649}
+    got = spikes.implausible(df, chunk_rows=1000).collect()
+    assert len(got) == len(whole) and {(r.row_id, r.reason) for r in got} == whole

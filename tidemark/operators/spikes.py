@@ -5,9 +5,11 @@ swing + autoregressive remainder. Additive outliers (one to four readings) are t
 again and again until none is left; a longer run on a new level is a level shift, which the level
 follows and which is no case. Stuck runs and violations of physical limits are found separately.
 
-Rows are hashed to tasks by (source, chunk of time); a chunk holds a bounded number of readings plus a
-margin from its neighbours, so a source with a third of all rows is spread over many tasks. Within a
-task, rows arrive sorted and are handled chunk by chunk in numpy.
+Rows are hashed to tasks by source and handled source by source in numpy. A source with too many readings
+for one task is cut into chunks of equally many successive readings with a margin from both neighbours.
+What is local (levels, runs) is found within a chunk; what belongs to the source (usual spread, share of
+repeats, state values, daily swing, autoregression) is added up over all its chunks, one pass for each fact
+that depends on those before it, so that chunks judge as the whole source would (see Known).
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +27,117 @@ from ..session import bounded_broadcast, cut, finite, sound_unions
 DAY = 86_400_000
 #: A run of more outlying readings than this is a new level.
 MAX_PATCH = 4
-#: Readings of one chunk of a source; the hours next to a border are shared with the neighbour.
+#: Readings of one chunk of a source, and how many on either side are lent by the neighbours: half the
+#: widest running median (150) and for each round of tests some 35 readings (six good ones among patches).
 CHUNK_ROWS = 50_000
+MARGIN = 1_000
+#: Kinds of summary rows.
+SUM, CELL, VALUE, COUNT = range(4)
+
+
+class Whole:
+    """Facts of a source all of whose readings are at hand. Each takes a function that summarizes the
+    readings at hand, which is only called where the fact isn't known yet."""
+
+    def add(self, fn) -> tuple[np.ndarray, np.ndarray]:
+        """Sums and maxima of a vector over all chunks."""
+        v = np.asarray(fn(), float)
+        return v, v
+
+    def order(self, fn) -> tuple[float, float]:
+        """The readings' values at half and at 90 percent of their number (0 if there are none)."""
+        a = fn()
+        if len(a) == 0:
+            return 0.0, 0.0
+        k50, k90 = len(a) // 2, min(len(a) - 1, int(0.9 * len(a)))
+        p = np.partition(a, (k50, k90))
+        return float(p[k50]), float(p[k90])
+
+    def values(self, fn) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values with a number and a size each, added up by value."""
+        return fn()
+
+    def most(self, fn) -> int:
+        """How often the most frequent value occurs (3 or less may come out as 0)."""
+        a = fn()
+        return int(np.unique(a, return_counts=True)[1].max()) if len(a) else 0
+
+
+WHOLE = Whole()
+
+
+class Ask(Exception):
+    """A fact that isn't known yet: summary rows (kind, cell, n, lo, hi, s) of one chunk."""
+
+
+class Known:
+    """Facts of a source that were put together from its chunks so far; the first unknown one raises Ask
+    with this chunk's share. Branches between facts depend on facts only, so that all chunks of a
+    source ask the same. Order statistics are taken from cells of width 2**-11 of the value, between the
+    least and the greatest value in the cell; the other facts are exact up to the order of summation."""
+
+    def __init__(self, answers: list) -> None:
+        self.answers = iter(answers)
+
+    def _next(self, kind: int, fn, rows):
+        if (a := next(self.answers, None)) is not None:
+            return a
+        cell, n, lo, hi, s = rows(fn())
+        mark = [(SUM, -1, 0, float(kind), 0.0, 0.0)]  # a source whose chunks have nothing to add is answered, too
+        raise Ask(mark + [(kind, *r) for r in zip(cell.tolist(), n.tolist(), lo.tolist(), hi.tolist(), s.tolist(), strict=True)])
+
+    def add(self, fn):
+        def rows(v):
+            v = np.asarray(v, float)
+            return np.arange(len(v)), np.zeros(len(v), int), v, v, v
+
+        a = self._next(SUM, fn, rows)
+        return np.array(a[0]), np.array(a[1])
+
+    def order(self, fn):
+        def rows(a):
+            a = np.sort(a) + 0.0
+            bits = a.view(np.int64)
+            key = np.where(bits < 0, bits ^ np.int64(0x7FFF_FFFF_FFFF_FFFF), bits) >> 41
+            at = np.flatnonzero(np.diff(key, prepend=key[0] - 1)) if len(a) else np.zeros(0, int)
+            end = np.append(at[1:], len(a)) if len(a) else at
+            return key[at], end - at, a[at], a[end - 1], np.zeros(len(at))
+
+        a = self._next(CELL, fn, rows)
+        return a[0][0], a[0][1]
+
+    def values(self, fn):
+        a = self._next(VALUE, fn, lambda r: ((r[0] + 0.0).view(np.int64), r[1], r[0], r[0], r[2]))
+        return np.array(a[0]), np.array(a[1]), np.array(a[2])
+
+    def most(self, fn):
+        def rows(a):
+            v, n = np.unique(a, return_counts=True)
+            return (v + 0.0).view(np.int64), n, v, v, v
+
+        return int(self._next(COUNT, fn, rows)[0][0])
+
+
+def _answer(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+    """The fact that the chunks of one source asked for, from their merged summary rows."""
+    kind = int(p["lo"][(p["kind"] == SUM) & (p["cell"] == -1)].iloc[0])
+    p = p[(p["kind"] == kind) & ((kind != SUM) | (p["cell"] >= 0))].sort_values("cell")
+    a, b, c = [], [], []
+    if kind == SUM:
+        a, b = p["s"].tolist(), p["hi"].tolist()
+    elif kind == CELL:
+        upto = p["n"].cumsum().to_numpy()
+        total = int(upto[-1]) if len(upto) else 0
+        for k in (total // 2, min(total - 1, int(0.9 * total))) if total else ():
+            i = int(np.searchsorted(upto, k, side="right"))
+            n, lo, hi = int(p["n"].iloc[i]), p["lo"].iloc[i], p["hi"].iloc[i]
+            a.append(float(lo + (hi - lo) * ((k - (upto[i] - n)) / (n - 1) if n > 1 else 0.0)))
+        a = a or [0.0, 0.0]
+    elif kind == VALUE:
+        a, b, c = p["lo"].tolist(), p["n"].astype(float).tolist(), p["s"].tolist()
+    else:
+        a = [float(p["n"].max()) if len(p) else 0.0]
+    return pd.DataFrame({"src": [key[0]], "a": [a], "b": [b], "c": [c]})
 
 
 def running_median(x: np.ndarray, width: int) -> np.ndarray:
@@ -38,6 +150,11 @@ def running_median(x: np.ndarray, width: int) -> np.ndarray:
     if n <= width:
         return np.array([np.nanmedian(pad[i : i + width]) for i in range(n)])
     out = np.empty(n)
+    if width > 31:
+        out[h : n - h] = pd.Series(x).rolling(width).median().to_numpy()[width - 1 :]
+        for i in [*range(h), *range(n - h, n)]:
+            out[i] = np.nanmedian(pad[i : i + width])
+        return out
     w = np.lib.stride_tricks.sliding_window_view(x, width)
     for at in range(0, len(w), 65_536):
         out[h + at : h + at + min(65_536, len(w) - at)] = np.partition(w[at : at + 65_536], h, axis=1)[:, h]
@@ -60,63 +177,75 @@ def _interp_level(x: np.ndarray, good: np.ndarray, width: int) -> np.ndarray:
     return np.where(np.abs(x - a) <= np.abs(x - b), a, b)
 
 
-def spread(r: np.ndarray) -> float:
-    """Usual size of the deviations r as a standard deviation: the larger of the estimates by their
+def spread(facts, deviations) -> float:
+    """Usual size of the deviations as a standard deviation: the larger of the estimates by their
     median and by their 90th percentile (the second holds where most deviations are equal)."""
-    a = np.abs(r[np.isfinite(r)])
-    if len(a) == 0:
-        return 0.0
-    k50, k90 = len(a) // 2, min(len(a) - 1, int(0.9 * len(a)))
-    p = np.partition(a, (k50, k90))
-    return float(max(1.4826 * p[k50], p[k90] / 1.645))
 
+    def sizes():
+        a = np.abs(deviations())
+        return a[np.isfinite(a)]
+
+    p50, p90 = facts.order(sizes)
+    return float(max(1.4826 * p50, p90 / 1.645))
 
-def daily_swing(ms: np.ndarray, x: np.ndarray, max_harmonics: int = 3) -> np.ndarray | None:
+
+def daily_swing(ms: np.ndarray, x: np.ndarray, facts, mine: np.ndarray, n: int, span: float, max_harmonics: int = 3) -> np.ndarray | None:
     """The daily component of x by robust harmonic regression about a slow level, or None.
 
-    It is used only if it explains most of the variation that is left about the slow level.
+    It is used only if it explains most of the variation that is left about the slow level. n and span
+    are those of the source.
     """
-    n, span = len(x), ms[-1] - ms[0]
     if n < 24 or span < 2.5 * DAY:
         return None
     per_day = max(2, round(n / (span / DAY)))
-    slow = running_median(x, 2 * min(per_day, 150) + 1)
-    r = x - slow
-    ph = 2 * np.pi * (ms % DAY) / DAY
     k = max(1, min(max_harmonics, (per_day - 1) // 2))
-    cols = [np.ones(n)] + [f(j * ph) for j in range(1, k + 1) for f in (np.cos, np.sin)]
-    a = np.stack(cols, axis=1)
-    if n < 6 * a.shape[1]:
+    d = 2 * k + 1
+    if n < 6 * d:
         return None
-    med = np.median(r)
-    s0 = spread(r - med)
+    ph = 2 * np.pi * (ms % DAY) / DAY
+    a = np.stack([np.ones(len(x))] + [f(j * ph) for j in range(1, k + 1) for f in (np.cos, np.sin)], axis=1)
+    am, held = a[mine], []
+
+    def r() -> np.ndarray:
+        if not held:
+            held.append((x - running_median(x, 2 * min(per_day, 150) + 1))[mine])
+        return held[0]
+
+    med, _ = facts.order(r)
+    s = s0 = spread(facts, lambda: r() - med)
     if s0 <= 0:
         return None
-    w = (np.abs(r - med) < 6 * s0).astype(float)
+    weigh = lambda: (np.abs(r() - med) < 6 * s0).astype(float)
     for _ in range(4):
-        aw = a * w[:, None]
+
+        def normal(weigh=weigh):
+            aw = am * weigh()[:, None]
+            return np.concatenate([(aw.T @ am).ravel(), aw.T @ r()])
+
+        sums, _ = facts.add(normal)
         try:
-            beta = np.linalg.solve(aw.T @ a + 1e-9 * n * np.eye(a.shape[1]), aw.T @ r)
+            beta = np.linalg.solve(sums[: d * d].reshape(d, d) + 1e-9 * n * np.eye(d), sums[d * d :])
         except np.linalg.LinAlgError:
             return None
-        e = r - a @ beta
-        s = spread(e)
+        s = spread(facts, lambda beta=beta: r() - am @ beta)
         if s <= 0:
             break
-        w = np.clip(1 - (e / (4.7 * s)) ** 2, 0, None) ** 2
-    if spread(r - a @ beta) > 0.75 * s0:
+        weigh = lambda beta=beta, s=s: np.clip(1 - ((r() - am @ beta) / (4.7 * s)) ** 2, 0, None) ** 2
+    if s > 0.75 * s0:
         return None
     return a[:, 1:] @ beta[1:]
 
 
-def ar_coefficient(r: np.ndarray, good: np.ndarray) -> float:
+def ar_coefficient(r: np.ndarray, good: np.ndarray, facts, mine: np.ndarray) -> float:
     """AR(1) coefficient of r from neighbouring good readings, limited so that it stays stationary."""
-    ok = good[1:] & good[:-1]
-    if ok.sum() < 30:
-        return 0.0
-    a, b = r[:-1][ok], r[1:][ok]
-    den = float(a @ a)
-    return float(np.clip((a @ b) / den, -0.95, 0.95)) if den > 0 else 0.0
+
+    def sums():
+        ok = good[1:] & good[:-1] & mine[1:]
+        a, b = r[:-1][ok], r[1:][ok]
+        return len(a), a @ b, a @ a
+
+    n, num, den = facts.add(sums)[0]
+    return float(np.clip(num / den, -0.95, 0.95)) if n >= 30 and den > 0 else 0.0
 
 
 def patches(out: np.ndarray) -> np.ndarray:
@@ -129,82 +258,94 @@ def patches(out: np.ndarray) -> np.ndarray:
     return keep
 
 
-def additive_outliers(ms: np.ndarray, x: np.ndarray, times: float = 8.0, width: int = 11, rounds: int = 4) -> np.ndarray:
+def additive_outliers(
+    ms: np.ndarray, x: np.ndarray, facts, mine: np.ndarray, n: int, span: float, times: float = 8.0, width: int = 11, rounds: int = 4
+) -> np.ndarray:
     """Flags of readings that are away from the level by `times` the usual spread about it.
 
     Each round fits level, swing and autoregression without the outliers known so far and tests both
     the deviation itself (level test) and the innovation of the autoregression (additive-outlier test).
     """
-    n = len(x)
-    out = np.zeros(n, bool)
-    if n < 8:
-        return out
-    swing = daily_swing(ms, x)
+    out = np.zeros(len(x), bool)
+    swing = daily_swing(ms, x, facts, mine, n, span)
     y = x - swing if swing is not None else x
-    for _ in range(rounds):
+    for k in range(rounds):
         good = ~out
-        level = _interp_level(y, good, min(width, max(3, (good.sum() - 1) // 2 * 2 + 1)))
+        # patches leave a fifth of the readings at least
+        m = n // 5 if n >= 5 * width + 5 else int(good.sum())
+        level = _interp_level(y, good, min(width, max(3, (m - 1) // 2 * 2 + 1))) if len(y) else y
         r = y - level
-        s = spread(r[good])
+        s = spread(facts, lambda r=r, good=good: r[good & mine])
         if s <= 0:
-            return np.zeros(n, bool)
-        phi = ar_coefficient(r, good)
+            return np.zeros(len(x), bool)
+        phi = ar_coefficient(r, good, facts, mine)
         clean = np.where(good, r, 0.0)
-        before = np.concatenate(([0.0], clean[:-1]))
+        before = np.concatenate(([0.0], clean))[: len(r)]
         e = r - phi * before
-        s_e = spread(e[good])
+        s_e = spread(facts, lambda e=e, good=good: e[good & mine])
         new = patches((np.abs(r) >= times * s) & (np.abs(e) >= 0.75 * times * max(s_e, 1e-300)))
-        if (new == out).all():
+        last, out = out, new
+        if k < rounds - 1 and facts.add(lambda last=last, new=new: [(new != last)[mine].sum()])[0][0] == 0:
             break
-        out = new
     return out
 
 
-def stuck_runs(v: np.ndarray, distinct: np.ndarray, least: int = 12, often: float = 0.05) -> np.ndarray:
+def stuck_runs(
+    v: np.ndarray, distinct: np.ndarray, facts=WHOLE, mine: np.ndarray | None = None, least: int = 12, often: float = 0.05
+) -> np.ndarray:
     """Flags of the readings in runs of `least` or more successive equal values, if the source hardly
     repeats a value otherwise. `distinct` is False for a redelivery of the reading before it, which
     belongs to the run but doesn't lengthen it."""
-    n = len(v)
-    flags = np.zeros(n, bool)
-    if n < least:
-        return flags
+    flags = np.zeros(len(v), bool)
+    mine = np.ones(len(v), bool) if mine is None else mine
     start = np.concatenate(([True], v[1:] != v[:-1]))
     run = np.cumsum(start) - 1
     size = np.bincount(run, weights=distinct.astype(float))
+    # a margin shows at least as many readings of a run as make it long
     long = size >= least
-    if not long.any():
-        return flags
-    rest = ~long[run] & distinct
-    m = int(rest.sum())
-    if m < least:
+    firsts, here = v[np.flatnonzero(start)], mine[np.flatnonzero(start)]
+    rest = ~long[run] & distinct & mine
+
+    def runs():
+        inside = long[run] & mine
+        values, at = np.unique(v[inside], return_inverse=True)
+        begun = np.searchsorted(values, firsts[long & here])
+        return values, np.bincount(begun, minlength=len(values)), np.bincount(at, weights=distinct[inside].astype(float), minlength=len(values))
+
+    values, begun, sizes = facts.values(runs)
+    if not len(values):
         return flags
-    repeats = int((size[~long] - 1).clip(0).sum())
-    values, counts = np.unique(v[rest], return_counts=True)
-    if repeats > often * m or counts.max() > max(3, often * m):
+    n, m, repeats = facts.add(lambda: (mine.sum(), rest.sum(), (size[~long & here] - 1).clip(0).sum()))[0]
+    if m < least or repeats > often * m or facts.most(lambda: v[rest]) > max(3, often * m):
         return flags
     # a value that comes back in runs again and again is a state of the source
-    firsts = v[np.flatnonzero(start)]
-    for value in np.unique(firsts[long]):
-        if (long & (firsts == value)).sum() > 2 or size[long & (firsts == value)].sum() > 0.25 * n:
-            long[firsts == value] = False
-    return long[run]
+    stuck = values[(begun <= 2) & (sizes <= 0.25 * n)]
+    return long[run] & np.isin(v, stuck)
 
 
-def judge(ms: np.ndarray, v: np.ndarray, log: bool, times: float = 8.0) -> np.ndarray:
-    """Reasons per reading of one source in order of time: 0 none, 1 spike, 2 stuck."""
+def judge(ms: np.ndarray, v: np.ndarray, log: bool, times: float = 8.0, facts=WHOLE, mine: np.ndarray | None = None) -> np.ndarray:
+    """Reasons per reading of one source in order of time: 0 none, 1 spike, 2 stuck. Of a chunk, `mine`
+    marks the readings that aren't lent by a neighbour."""
     why = np.zeros(len(v), np.int8)
+    mine = np.ones(len(v), bool) if mine is None else mine
     distinct = np.concatenate(([True], (ms[1:] != ms[:-1]) | (v[1:] != v[:-1])))
-    why[stuck_runs(v, distinct)] = 2
+    why[stuck_runs(v, distinct, facts, mine)] = 2
     if log:
         ok = v > 0
         x = np.log(np.where(ok, v, 1.0))
     else:
         ok, x = np.ones(len(v), bool), v
     use = ok & distinct
-    if use.sum() >= 8:
+
+    def counts():
+        t = ms[use & mine]
+        return len(t), (~ok & mine).sum(), mine.sum(), *((-t[0], t[-1]) if len(t) else (-np.inf, -np.inf))
+
+    (n, bad, total, *_), (*_, lo, hi) = facts.add(counts)
+    if n >= 8:
         f = np.zeros(len(v), bool)
-        f[use] = additive_outliers(ms[use], x[use], times)
-        if log and (~ok).any() and (~ok).sum() < 0.05 * len(v):
+        f[use] = additive_outliers(ms[use], x[use], facts, mine[use], int(n), hi + lo, times)
+        if log and 0 < bad < 0.05 * total:
             f |= ~ok
         # a redelivery shares the verdict of the reading before it
         first = np.maximum.accumulate(np.where(distinct, np.arange(len(v)), 0))
@@ -212,20 +353,30 @@ def judge(ms: np.ndarray, v: np.ndarray, log: bool, times: float = 8.0) -> np.nd
     return why
 
 
-def _tasks(times: float):
-    """mapInArrow function over rows sorted by source, chunk, ms."""
+def _columns(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """group, ms, value, log, own, row_id, src of the rows without repetitions, and where these rows are."""
+    cols = [t[c].to_numpy(zero_copy_only=False) if isinstance(t[c], pa.Array) else t[c].to_numpy() for c in ("group", "ms", "value", "log", "own", "row_id", "src")]
+    g, ms, ident = cols[0], cols[1], cols[5]
+    new = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (ms[1:] != ms[:-1]) | (ident[1:] != ident[:-1]))))
+    return [c[new] for c in cols], new
+
+
+def _groups(g: np.ndarray):
+    at = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]))
+    return zip(at[:-1], at[1:], strict=True)
+
+
+def _verdicts(times: float, answers: dict[int, list] | None = None):
+    """Function of whole groups to their flagged rows; answers: the facts of each source cut into chunks."""
 
     def flush(parts: list[pa.Table]) -> pa.RecordBatch | None:
         t = pa.concat_tables(parts).combine_chunks()
-        src = t["group"].to_numpy()
-        ms, v = t["ms"].to_numpy(), t["value"].to_numpy()
-        log, own, ident = t["log"].to_numpy(zero_copy_only=False), t["own"].to_numpy(zero_copy_only=False), t["row_id"].to_numpy()
-        new = np.flatnonzero(np.concatenate(([True], (src[1:] != src[:-1]) | (ms[1:] != ms[:-1]) | (ident[1:] != ident[:-1]))))
-        src, ms, v, log, own, ident = (x[new] for x in (src, ms, v, log, own, ident))
-        at = np.concatenate(([0], np.flatnonzero(src[1:] != src[:-1]) + 1, [len(src)]))
-        why = np.zeros(len(src), np.int8)
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            if b - a >= 8:
+        (group, ms, v, log, own, ident, src), new = _columns(t)
+        why = np.zeros(len(group), np.int8)
+        for a, b in _groups(group):
+            if answers is not None:
+                why[a:b] = judge(ms[a:b], v[a:b], bool(log[a]), times, Known(answers[int(src[a])]), own[a:b])
+            elif b - a >= 8:
                 why[a:b] = judge(ms[a:b], v[a:b], bool(log[a]), times)
         hit = np.flatnonzero((why > 0) & own)
         if not len(hit):
@@ -233,6 +384,33 @@ def _tasks(times: float):
         names = t["source_table"].take(pa.array(new[hit])).combine_chunks()
         return pa.RecordBatch.from_arrays([names, pa.array(ident[hit]), pa.array(why[hit].astype(np.int32))], names=["source_table", "row_id", "why"])
 
+    return flush
+
+
+def _questions(times: float, answers: dict[int, list], done: set[int]):
+    """Function of whole groups to the summary rows of the next fact that each group's source needs."""
+
+    def flush(parts: list[pa.Table]) -> pa.RecordBatch | None:
+        (group, ms, v, log, own, _, src), _ = _columns(pa.concat_tables(parts).combine_chunks())
+        out: list[tuple] = []
+        for a, b in _groups(group):
+            if (key := int(src[a])) in done:
+                continue
+            try:
+                judge(ms[a:b], v[a:b], bool(log[a]), times, Known(answers.get(key, [])), own[a:b])
+            except Ask as ask:
+                out += [(key, *row) for row in ask.args[0]]
+        if not out:
+            return None
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["src", "kind", "cell", "n", "lo", "hi", "s"])
+
+    return flush
+
+
+def _tasks(flush):
+    """mapInArrow function over rows sorted by group, ms, row_id that hands whole groups to flush."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         rows = 0
@@ -272,33 +450,61 @@ def implausible(readings: DataFrame, times: float = 8.0, chunk_rows: int = CHUNK
     r = readings.where(finite("value") & F.col("source").isNotNull() & F.col("ms").isNotNull()).select(
         "source_table", F.xxhash64("source_table", "source").alias("src"), "row_id", "ms", "value", "log"
     )
-    # sources beyond one chunk; their readings per hour (combined before the shuffle) place the borders
-    hour = F.floor(F.col("ms") / 3_600_000).cast("bigint")
-    hot = r.groupBy("src").agg(F.count("*").alias("total")).where(F.col("total") > chunk_rows).select("src")
-    w = Window.partitionBy("src").orderBy("hour")
-    marks = cut(
-        r.select("src", hour.alias("hour")).join(hot, "src", "left_semi")
-        .groupBy("src", "hour")
-        .agg(F.count("*").alias("n"))
-        .withColumn("upto", F.sum("n").over(w) - F.col("n"))
-        .withColumn("chunk", F.floor(F.col("upto") / chunk_rows).cast("int"))
-        .withColumn("prev", F.lag("chunk").over(w))
-        .withColumn("next", F.lead("chunk").over(w))
-        .select("src", "hour", "chunk", "prev", "next")
-    )
-    r = r.withColumn("hour", hour).join(bounded_broadcast(marks), ["src", "hour"], "left")
-    # the hours at a border are also given to the neighbouring chunk as its margin
-    own = F.struct(F.coalesce("chunk", F.lit(0)).alias("chunk"), F.lit(True).alias("own"))
-    side = lambda c: F.when(F.col(c) != F.col("chunk"), F.struct(F.col(c).alias("chunk"), F.lit(False).alias("own")))
-    r = r.withColumn("to", F.explode(F.array_compact(F.array(own, side("prev"), side("next")))))
-    r = r.select(
-        "source_table", F.xxhash64("src", "to.chunk").alias("group"), "row_id", "ms", "value", "log", F.col("to.own").alias("own")
-    )
-    r = r.repartition("group").sortWithinPartitions("group", "ms", "row_id")
-    out = r.mapInArrow(_tasks(times), "source_table string, row_id bigint, why int")
+    hot = cut(r.groupBy("src").agg(F.count("*").alias("total")).where(F.col("total") > chunk_rows).select("src"))
+    few = bounded_broadcast(hot)
+    whole = _sorted(r.join(few, "src", "left_anti").withColumn("group", F.col("src")).withColumn("own", F.lit(True)))
+    out = whole.mapInArrow(_tasks(_verdicts(times)), FLAGGED)
+    if not hot.isEmpty():
+        x = cut(_sorted(_chunks(r.join(few, "src", "left_semi"), chunk_rows)))
+        answers: dict[int, list] = {}
+        done: set[int] = set()
+        # facts are a few numbers a source; a round of this loop is one Spark job over the hot sources
+        while got := _facts(x, times, answers, done):
+            done |= answers.keys() - got.keys()
+            for src, a in got.items():
+                answers.setdefault(src, []).append(a)
+        out = out.unionByName(x.mapInArrow(_tasks(_verdicts(times, answers)), FLAGGED))
     return out.select("source_table", "row_id", F.when(F.col("why") == 2, "stuck").otherwise("spike").alias("reason"))
 
 
+FLAGGED = "source_table string, row_id bigint, why int"
+
+
+def _sorted(r: DataFrame) -> DataFrame:
+    r = r.select("source_table", "src", "group", "row_id", "ms", "value", "log", "own")
+    return r.repartition("group").sortWithinPartitions("group", "ms", "row_id")
+
+
+def _chunks(r: DataFrame, chunk_rows: int) -> DataFrame:
+    """Rows of hot sources with the chunk they belong to (own) and as margin with the chunks near them.
+
+    A source's chunks differ by one reading at most. Positions are counted in the hours of a source and
+    the hours added up, so that no window runs over a source.
+    """
+    b = Window.partitionBy("src", "hour").orderBy("ms", "row_id")
+    r = r.withColumn("hour", F.floor(F.col("ms") / 3_600_000).cast("bigint"))
+    new = F.lag("row_id").over(b).isNull() | (F.lag("row_id").over(b) != F.col("row_id")) | (F.lag("ms").over(b) != F.col("ms"))
+    r = cut(r.withColumn("new", new).withColumn("at", F.dense_rank().over(b) - 1).where("new").drop("new"))
+    w = Window.partitionBy("src").orderBy("hour")
+    hours = r.groupBy("src", "hour").agg(F.count("*").alias("n"))
+    hours = hours.withColumn("upto", F.sum("n").over(w) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy("src")))
+    hours = cut(hours.select("src", "hour", "upto", "total"))
+    r = r.join(bounded_broadcast(hours), ["src", "hour"]).withColumn("at", F.col("at") + F.col("upto"))
+    r = r.withColumn("k", F.ceil(F.col("total") / chunk_rows))
+    near = F.expr(f"sequence(greatest(0, at - {MARGIN}) * k div total, least(total - 1, at + {MARGIN}) * k div total)")
+    r = r.withColumn("mine", F.expr("at * k div total")).withColumn("chunk", F.explode(near))
+    return r.withColumn("own", F.col("chunk") == F.col("mine")).withColumn("group", F.xxhash64("src", "chunk"))
+
+
+def _facts(x: DataFrame, times: float, answers: dict[int, list], done: set[int]) -> dict[int, tuple]:
+    """The next fact of every hot source that needs one."""
+    rows = x.mapInArrow(_tasks(_questions(times, answers, done)), "src bigint, kind int, cell bigint, n bigint, lo double, hi double, s double")
+    merged = rows.groupBy("src", "kind", "cell").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("s").alias("s"))
+    merged = merged.where(f"kind != {COUNT} or n > 3")
+    got = merged.groupBy("src").applyInPandas(_answer, "src bigint, a array<double>, b array<double>, c array<double>").collect()
+    return {g["src"]: (g["a"], g["b"], g["c"]) for g in got}
+
+
 def outside_limits(readings: DataFrame, limits: DataFrame) -> DataFrame:
     """Rows of readings (source_table, suffix, row_id, value) outside (min_possible, max_possible) of
     their suffix in limits; a null or NaN limit is no limit, a suffix without a row has none."""
