@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import grid, orphans, qdigest, rolling, spikes
+from tidemark.queries import data
 
 T = lambda s: pd.Timestamp(s, tz="UTC").to_pydatetime()
 
@@ -169,3 +170,13 @@ def test_implausible_chunks_judge_as_the_source(spark):
     assert {x[0] for x in whole if x[0] >= 20_000} == {20_010, 20_100, 22_000, 23_649}
     got = spikes.implausible(df, chunk_rows=1000).collect()
     assert len(got) == len(whole) and {(r.row_id, r.reason) for r in got} == whole
+
+
+def test_percentiles_of_all_stats(spark, tmp_path):
+    """Every name of stats has percentiles, a name with delta rows only and the null name included."""
+    rows = [(1, "a", 1.0, False), (1, "a", 1.0, False), (2, "a", 9.0, None), (3, "a", -50.0, True), (4, "only", 3.0, True), (5, None, 7.0, False), (6, "a", float("nan"), False)]
+    s = spark.createDataFrame(rows, "stat_id long, name string, value double, delta boolean")
+    s.withColumn("ts", F.timestamp_millis(F.col("stat_id") * 80_000_000)).write.parquet(str(tmp_path / "stats.parquet"))
+    for q in (data.p3_percentiles, data.p3_from_days):
+        got = {(r["name"], r.delta): r.n for r in q(spark, str(tmp_path)).where("quantile = 0.5").collect()}
+        assert got == {("a", False): 2, ("a", True): 1, ("only", True): 1, (None, False): 1}

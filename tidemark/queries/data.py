@@ -92,24 +92,25 @@ u as (select d.name, d.id, d.step_ms, d.heartbeat_ms, epoch_ms(p.ts) as ms, p.va
 
 
 def _stat_values(spark: SparkSession, d: str) -> DataFrame:
-    """Readings of stats: exact duplicates once, without delta rows (changes, not readings)."""
-    s = table(spark, d, "stats")
-    s = s.where(finite("value") & F.col("name").isNotNull() & ~F.coalesce("delta", F.lit(False)))
-    return s.select("stat_id", "name", "value", "ts").distinct()
+    """Finite values of stats, exact duplicates once. Delta rows are changes, not readings: a group of
+    their own beside the readings of the same name. A null name is a name."""
+    s = table(spark, d, "stats").where(finite("value"))
+    return s.select("stat_id", "name", F.coalesce("delta", F.lit(False)).alias("delta"), "value", "ts").distinct()
 
 
 QS, EPS = (0.5, 0.9, 0.95, 0.99), 0.005
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return qdigest.percentiles(qdigest.partial_digest(_stat_values(spark, d), ["name"], "value", EPS), ["name"], QS, EPS)
+    keys = ["name", "delta"]
+    return qdigest.percentiles(qdigest.partial_digest(_stat_values(spark, d), keys, "value", EPS), keys, QS, EPS)
 
 
 def p3_from_days(spark: SparkSession, d: str) -> DataFrame:
     """The same percentiles put together from digests that were made for single days."""
     v = _stat_values(spark, d).withColumn("day", F.to_date("ts"))
-    days = qdigest.digest(v, ["name", "day"], "value", EPS)
-    return qdigest.percentiles(days, ["name"], QS, EPS)
+    days = qdigest.digest(v, ["name", "delta", "day"], "value", EPS)
+    return qdigest.percentiles(days, ["name", "delta"], QS, EPS)
 
 
 # ---- p4
