@@ -180,3 +180,11 @@ def test_percentiles_of_all_stats(spark, tmp_path):
     for q in (data.p3_percentiles, data.p3_from_days):
         got = {(r["name"], r.delta): r.n for r in q(spark, str(tmp_path)).where("quantile = 0.5").collect()}
         assert got == {("a", False): 2, ("a", True): 1, ("only", True): 1, (None, False): 1}
+
+
+def test_days_without_readings_go_through_the_rolling_totals(spark):
+    q = data.p4_found(spark, "/root/testdata/sf0.001")
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f"AS {c}#" in plan for c in ("n_7", "n_30", "sum_7", "sum_30")) and "Window" in plan
+    days = data.p4_rolling(spark, "/root/testdata/sf0.001").select("ds_id", "calendar_day")
+    assert q.count() > 0 and q.exceptAll(days).count() == 0
