@@ -188,3 +188,9 @@ def test_days_without_readings_go_through_the_rolling_totals(spark):
     assert all(f"AS {c}#" in plan for c in ("n_7", "n_30", "sum_7", "sum_30")) and "Window" in plan
     days = data.p4_rolling(spark, "/root/testdata/sf0.001").select("ds_id", "calendar_day")
     assert q.count() > 0 and q.exceptAll(days).count() == 0
+
+
+def test_limits_of_many_suffixes(spark):
+    lim = spark.range(10_050).select(F.col("id").cast("string").alias("suffix"), F.lit(0.0).alias("min_possible"), F.lit(None).cast("double").alias("max_possible"))
+    bad = spark.range(10_050).select(F.lit("t").alias("source_table"), F.col("id").cast("string").alias("suffix"), F.col("id").alias("row_id"), F.lit(-1.0).alias("value"))
+    assert spikes.outside_limits(bad, lim).count() == 10_050

@@ -508,7 +508,7 @@ def _facts(x: DataFrame, times: float, answers: dict[int, list], done: set[int])
 def outside_limits(readings: DataFrame, limits: DataFrame) -> DataFrame:
     """Rows of readings (source_table, suffix, row_id, value) outside (min_possible, max_possible) of
     their suffix in limits; a null or NaN limit is no limit, a suffix without a row has none."""
-    lim = F.broadcast(limits.select("suffix", F.nanvl("min_possible", F.lit(None)).alias("lo"), F.nanvl("max_possible", F.lit(None)).alias("hi")).limit(10_000))
+    lim = bounded_broadcast(limits.select("suffix", F.nanvl("min_possible", F.lit(None)).alias("lo"), F.nanvl("max_possible", F.lit(None)).alias("hi")))
     j = readings.where(finite("value")).join(lim, "suffix")
     bad = F.coalesce(F.col("value") < F.col("lo"), F.lit(False)) | F.coalesce(F.col("value") > F.col("hi"), F.lit(False))
     return j.where(bad).select("source_table", "row_id", F.lit("limit").alias("reason"))
