@@ -154,3 +154,10 @@ def test_final_trigram_of_odd_texts(spark):
     df = spark.createDataFrame([("a b c",), ("word",), ("",), (None,), (far,), ("Ends well. Then cut of\n- 4 -\n",)], "text string")
     got = [r[0] for r in df.select(truncated.final_trigram(df.text)).collect()]
     assert got == ["a b c", "¶ ¶ word", "¶ ¶ ", "¶ ¶ ", "alpha beta " + "x" * 5000, "then cut of"]
+
+
+def test_pack_many_kinds(spark):
+    kinds = spark.range(1_050).selectExpr("cast(id as string) as container", "id + 10 as capacity")
+    items = spark.createDataFrame([(1, 5), (2, 7)], "doc long, size long")
+    out = packing.pack(items, "doc", "size", kinds)
+    assert out.select("container").distinct().count() == 1_050 and out.count() == 2 * 1_050

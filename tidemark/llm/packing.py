@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bounded_broadcast
+
 SHARD_ITEMS = 100_000
 
 
@@ -103,17 +105,13 @@ def pack(items: DataFrame, id_col: str, size: str, containers: DataFrame, shard_
     """
     n = items.count()
     shards = max(1, -(-n // shard_items))
-    kinds = [(r[0], int(r[1])) for r in containers.where("capacity > 0").select("container", "capacity").distinct().limit(1000).collect()]
-    if not kinds:
-        kinds, items = [("", 1)], items.limit(0)
-    kinds_col = F.array(*(F.struct(F.lit(c).alias("container"), F.lit(k).cast("bigint").alias("capacity")) for c, k in kinds))
+    kinds = containers.where("capacity > 0").select("container", F.col("capacity").cast("bigint").alias("capacity")).distinct()
     id_type = dict(items.dtypes)[id_col]
     it = items.select(
         F.pmod(F.xxhash64(F.col(id_col), F.col(size)), F.lit(shards)).alias("shard"),
-        F.explode(kinds_col).alias("kind"),
         F.col(id_col).alias("item"),
         F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("size"),
-    ).select("shard", "kind.*", "item", "size")
+    ).crossJoin(bounded_broadcast(kinds)).select("shard", "container", "capacity", "item", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
