@@ -223,3 +223,14 @@ def test_pickle(spark):
     ok, evil = frame([("a", (1, 2.5)), ("b", (2, 3))]), frame(np.float64(3))
     df = spark.createDataFrame([(bytearray(ok + ok[:7]),), (bytearray(evil),), (None,)], "content binary")
     assert sorted(map(tuple, binary.read_pickles(df).collect())) == [("a", 1000, 2.5), ("b", 2000, 3.0)]
+
+
+def test_merge_keeps_old_slots_of_all_touched_partitions(spark, tmp_path, monkeypatch):
+    """No limit on the touched partitions: one of a single row, in place of 10,000, loses nothing."""
+    at = str(tmp_path / "archive")
+    old = spark.createDataFrame([("a", c, s, 0, 1.0) for c in ("AVG", "MAX") for s in (10, 60)], "name string, cf string, step_ms long, t long, v double")
+    pipeline.merge_archive(old, at)
+    limit = type(old).limit
+    monkeypatch.setattr(type(old), "limit", lambda df, n: limit(df, 1))
+    pipeline.merge_archive(old.selectExpr("name", "cf", "step_ms", "5L as t", "v"), at)
+    assert spark.read.parquet(at).count() == 8

@@ -160,14 +160,14 @@ def merge_archive(new: DataFrame, path: str) -> None:
     step_ms, t). For foreachBatch and batch jobs, not for a folder that write_archive() fills. Only the
     partitions that are touched are rewritten; the merged rows are written to the
     checkpoint folder first, since a table can't be overwritten while it is read."""
-    from ..session import cut
+    from ..session import bounded_broadcast, cut
 
     spark = new.sparkSession
     checkpoint_dir(spark)
     try:
         old = spark.read.parquet(path)
         parts = new.select("step_ms", "cf").distinct()
-        old = old.join(F.broadcast(parts.limit(10_000)), ["step_ms", "cf"], "left_semi").join(new, ["name", "cf", "step_ms", "t"], "left_anti")
+        old = old.join(bounded_broadcast(parts), ["step_ms", "cf"], "left_semi").join(new, ["name", "cf", "step_ms", "t"], "left_anti")
         new = new.unionByName(old.select(*new.columns))
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
