@@ -134,3 +134,13 @@ def test_spikes_stuck_and_shifts():
     assert not spikes.judge(ms, np.full(n, 7.0), False).any()
     assert not spikes.judge(ms[:5], w[:5], False).any()
     assert not spikes.judge(ms, np.where(np.arange(n) // 40 % 2, 0.0, 50 + rng.normal(0, 1, n)), False).any()
+
+
+def test_spikes_masked_for_many_rounds():
+    """A quarter of the readings are outliers of falling size, of which each round unmasks a few."""
+    rng = np.random.default_rng(3)
+    n = 200
+    v = 50 + rng.normal(0, 1, n)
+    at = rng.permutation(np.arange(2, n, 4))
+    v[at] += 60 * 1.11 ** np.arange(len(at)) * rng.choice([-1, 1], len(at))
+    assert set(np.flatnonzero(spikes.judge(np.arange(n) * 60_000, v, False) == 1)) == set(at)

@@ -259,17 +259,20 @@ def patches(out: np.ndarray) -> np.ndarray:
 
 
 def additive_outliers(
-    ms: np.ndarray, x: np.ndarray, facts, mine: np.ndarray, n: int, span: float, times: float = 8.0, width: int = 11, rounds: int = 4
+    ms: np.ndarray, x: np.ndarray, facts, mine: np.ndarray, n: int, span: float, times: float = 8.0, width: int = 11
 ) -> np.ndarray:
     """Flags of readings that are away from the level by `times` the usual spread about it.
 
     Each round fits level, swing and autoregression without the outliers known so far and tests both
     the deviation itself (level test) and the innovation of the autoregression (additive-outlier test).
+    Rounds end when the flags repeat: those of the round before, or, if they go round in a circle, the
+    readings that are flagged all the way round.
     """
     out = np.zeros(len(x), bool)
+    past = [out]
     swing = daily_swing(ms, x, facts, mine, n, span)
     y = x - swing if swing is not None else x
-    for k in range(rounds):
+    while True:
         good = ~out
         # patches leave a fifth of the readings at least
         m = n // 5 if n >= 5 * width + 5 else int(good.sum())
@@ -284,10 +287,11 @@ def additive_outliers(
         e = r - phi * before
         s_e = spread(facts, lambda e=e, good=good: e[good & mine])
         new = patches((np.abs(r) >= times * s) & (np.abs(e) >= 0.75 * times * max(s_e, 1e-300)))
-        last, out = out, new
-        if k < rounds - 1 and facts.add(lambda last=last, new=new: [(new != last)[mine].sum()])[0][0] == 0:
-            break
-    return out
+        changes = facts.add(lambda new=new: [(new != p)[mine].sum() for p in past])[0]
+        if (changes == 0).any():
+            return np.logical_and.reduce(past[int(np.flatnonzero(changes == 0)[-1]) :])
+        past.append(new)
+        out = new
 
 
 def stuck_runs(
