@@ -136,7 +136,7 @@ def test_implausible(spark):
     df = spark.createDataFrame(pdf)
     df = df.unionByName(df.where("row_id in (100, 101)"))
     odd = df.unionByName(spark.createDataFrame([("t", None, 900, 5, 1.0, False), ("t", "s", 901, None, 1.0, False), ("t", "s", 902, 7, float("nan"), False)], df.schema))
-    want = {(100, "spike"), (250, "spike")} | {(i, "stuck") for i in range(300, 316)}
+    want = {(100, "additive"), (250, "additive")} | {(i, "stuck") for i in range(300, 316)}
     assert {(r.row_id, r.reason) for r in spikes.implausible(odd).collect()} == want
     # the same when the source is cut into chunks of time
     assert {(r.row_id, r.reason) for r in spikes.implausible(odd, chunk_rows=150).collect()} == want
@@ -166,7 +166,7 @@ def test_implausible_chunks_judge_as_the_source(spark):
     df = spark.createDataFrame(pdf)
     df = df.unionByName(df.where("row_id in (1499, 1500, 2000)"))
     whole = {(r.row_id, r.reason) for r in spikes.implausible(df).collect()}
-    assert {(i, "stuck") for i in range(400, 1100)} | {(i, "spike") for i in (1500, 1501, 2700, 3640)} == {x for x in whole if x[0] < 10_000}
+    assert {(i, "stuck") for i in range(400, 1100)} | {(i, "additive") for i in (1500, 1501, 2700, 3640)} == {x for x in whole if x[0] < 10_000}
     assert {x[0] for x in whole if x[0] >= 20_000} == {20_010, 20_100, 22_000, 23_649}
     got = spikes.implausible(df, chunk_rows=1000).collect()
     assert len(got) == len(whole) and {(r.row_id, r.reason) for r in got} == whole

@@ -14,15 +14,14 @@ that depends on those before it, so that chunks judge as the whole source would
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast, cut, finite, sound_unions
+from ..grouped import by_group, hashed, whole_groups
+from ..session import bounded_broadcast, cut, finite, sound_unions, written
 
 DAY = 86_400_000
 #: A run of more outlying readings than this is a new level.
@@ -143,32 +142,45 @@ def _answer(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
 def running_median(x: np.ndarray, width: int) -> np.ndarray:
     """Centred running median; at both ends the window shrinks to what there is."""
     n, h = len(x), width // 2
-    if n == 0:
-        return x.copy()
-    pad = np.full(n + 2 * h, np.nan)
-    pad[h : h + n] = x
-    if n <= width:
-        return np.array([np.nanmedian(pad[i : i + width]) for i in range(n)])
     out = np.empty(n)
-    if width > 31:
+    if n > width > 31:
         out[h : n - h] = pd.Series(x).rolling(width).median().to_numpy()[width - 1 :]
-        for i in [*range(h), *range(n - h, n)]:
-            out[i] = np.nanmedian(pad[i : i + width])
-        return out
-    w = np.lib.stride_tricks.sliding_window_view(x, width)
-    for at in range(0, len(w), 65_536):
-        out[h + at : h + at + min(65_536, len(w) - at)] = np.partition(w[at : at + 65_536], h, axis=1)[:, h]
-    for i in [*range(h), *range(n - h, n)]:
-        out[i] = np.nanmedian(pad[i : i + width])
+    elif n > width:
+        w = np.lib.stride_tricks.sliding_window_view(x, width)
+        for at in range(0, len(w), 65_536):
+            out[h + at : h + at + min(65_536, len(w) - at)] = np.partition(w[at : at + 65_536], h, axis=1)[:, h]
+    ends = np.arange(n) if n <= width else np.concatenate([np.arange(h), np.arange(n - h, n)])
+    if n:
+        from_, to = np.maximum(ends - h, 0), np.minimum(ends + h + 1, n)
+        at = from_[:, None] + np.arange(min(width, n))
+        w = np.sort(np.where(at < to[:, None], x[np.minimum(at, n - 1)], np.inf), axis=1)
+        k, row = to - from_, np.arange(len(ends))
+        out[ends] = (w[row, (k - 1) // 2] + w[row, k // 2]) / 2
+    return out
+
+
+def level_shifts(z: np.ndarray, m: np.ndarray, width: int, least: float) -> list[int]:
+    """Places where readings z go over to a level at least `least` away: the medians m of the `width`
+    readings before and from there on differ by so much, and the absolute deviations from the two
+    levels are least in sum if the change is put there. A patch of outliers is too short to be one."""
+    h = width // 2
+    if len(z) < 2 * width:
+        return []
+    big = np.flatnonzero(np.abs(m[width + h : len(m) - h] - m[h : len(m) - width - h]) >= least) + width
+    out = []
+    for run in np.split(big, np.flatnonzero(np.diff(big) > width) + 1) if len(big) else ():
+        a, b = max(0, int(run[0]) - h), min(len(z), int(run[-1]) + h + 1)
+        before, after = m[int(run[0]) - h - 1], m[min(len(m) - 1, int(run[-1]) + h)]
+        d = np.abs(z[a:b] - before) - np.abs(z[a:b] - after)
+        # sum of d before the place, least where all nearer to the old level lie before it
+        out.append(a + int(np.argmin(np.concatenate(([0.0], np.cumsum(d))))))
     return out
 
 
-def _interp_level(x: np.ndarray, good: np.ndarray, width: int) -> np.ndarray:
-    """Running median over the good readings, carried to all of them by position."""
-    at = np.flatnonzero(good)
+def _carried(x: np.ndarray, at: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """A level m of the readings at places `at`, carried to all readings by position."""
     if len(at) == len(x):
-        return running_median(x, width)
-    m = running_median(x[at], width)
+        return m
     left = np.clip(np.searchsorted(at, np.arange(len(x)), side="right") - 1, 0, len(at) - 1)
     right = np.clip(np.searchsorted(at, np.arange(len(x)), side="left"), 0, len(at) - 1)
     # between two good readings the nearer side of a level shift is unknown; their mean is off by half
@@ -236,12 +248,14 @@ def daily_swing(ms: np.ndarray, x: np.ndarray, facts, mine: np.ndarray, n: int,
     return a[:, 1:] @ beta[1:]
 
 
-def ar_coefficient(r: np.ndarray, good: np.ndarray, facts, mine: np.ndarray) -> float:
-    """AR(1) coefficient of r from neighbouring good readings, limited so that it stays stationary."""
+def ar_coefficient(r: np.ndarray, good: np.ndarray, s: float, facts, mine: np.ndarray) -> float:
+    """Robust AR(1) coefficient of r from neighbouring good readings, each bounded at three times the
+    usual deviation s, limited so that the process stays stationary."""
 
     def sums():
         ok = good[1:] & good[:-1] & mine[1:]
-        a, b = r[:-1][ok], r[1:][ok]
+        c = np.clip(r, -3 * s, 3 * s)
+        a, b = c[:-1][ok], c[1:][ok]
         return len(a), a @ b, a @ a
 
     n, num, den = facts.add(sums)[0]
@@ -263,8 +277,9 @@ def additive_outliers(
 ) -> np.ndarray:
     """Flags of readings that are away from the level by `times` the usual spread about it.
 
-    Each round fits level, swing and autoregression without the outliers known so far and tests both
-    the deviation itself (level test) and the innovation of the autoregression (additive-outlier test).
+    Each round, without the outliers known so far, fits level, swing and autoregression; tests for level
+    shifts, on both sides of which the level is fitted apart; and tests both the deviation itself (level
+    test) and the innovation of the autoregression (additive-outlier test).
     Rounds end when the flags repeat: those of the round before, or, if they go round in a circle, the
     readings that are flagged all the way round.
     """
@@ -274,14 +289,19 @@ def additive_outliers(
     y = x - swing if swing is not None else x
     while True:
         good = ~out
+        at = np.flatnonzero(good)
         # patches leave a fifth of the readings at least
         m = n // 5 if n >= 5 * width + 5 else int(good.sum())
-        level = _interp_level(y, good, min(width, max(3, (m - 1) // 2 * 2 + 1))) if len(y) else y
-        r = y - level
-        s = spread(facts, lambda r=r, good=good: r[good & mine])
+        wide = min(width, max(3, (m - 1) // 2 * 2 + 1))
+        z = y[at]
+        level = running_median(z, wide)
+        s = spread(facts, lambda z=z, level=level, at=at: (z - level)[mine[at]])
         if s <= 0:
             return np.zeros(len(x), bool)
-        phi = ar_coefficient(r, good, facts, mine)
+        if places := level_shifts(z, level, wide, times * s):
+            level = np.concatenate([running_median(part, wide) for part in np.split(z, places)])
+        r = y - _carried(y, at, level) if len(at) else y
+        phi = ar_coefficient(r, good, s, facts, mine)
         clean = np.where(good, r, 0.0)
         before = np.concatenate(([0.0], clean))[: len(r)]
         e = r - phi * before
@@ -358,9 +378,9 @@ def judge(ms: np.ndarray, v: np.ndarray, log: bool, times: float = 8.0, facts=WH
 
 
 def _columns(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
-    """group, ms, value, log, own, row_id, src of the rows without repetitions, and where these rows are."""
-    cols = [t[c].to_numpy(zero_copy_only=False) if isinstance(t[c], pa.Array) else t[c].to_numpy() for c in ("group", "ms", "value", "log", "own", "row_id", "src")]
-    g, ms, ident = cols[0], cols[1], cols[5]
+    """group, ms, value, log, row_id of the rows without repetitions, and where these rows are."""
+    cols = [t[c].to_numpy() for c in ("group", "ms", "value", "log", "row_id")]
+    g, ms, ident = cols[0], cols[1], cols[4]
     new = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (ms[1:] != ms[:-1]) | (ident[1:] != ident[:-1]))))
     return [c[new] for c in cols], new
 
@@ -370,32 +390,48 @@ def _groups(g: np.ndarray):
     return zip(at[:-1], at[1:], strict=True)
 
 
-def _verdicts(times: float, answers: dict[int, list] | None = None):
-    """Function of whole groups to their flagged rows; answers: the facts of each source cut into chunks."""
+def _found(t: pa.Table, at: np.ndarray, why: np.ndarray) -> list[pa.RecordBatch]:
+    names = t["source_table"].combine_chunks().take(pa.array(at))
+    ident = t["row_id"].combine_chunks().take(pa.array(at))
+    return [pa.RecordBatch.from_arrays([names, ident, pa.array(why.astype(np.int32))], names=["source_table", "row_id", "why"])]
+
+
+def _verdicts(times: float):
+    """Function of whole sources to their flagged rows."""
 
-    def flush(parts: list[pa.Table]) -> pa.RecordBatch | None:
-        t = pa.concat_tables(parts).combine_chunks()
-        (group, ms, v, log, own, ident, src), new = _columns(t)
+    def flush(t: pa.Table) -> list[pa.RecordBatch] | None:
+        (group, ms, v, log, _), new = _columns(t)
         why = np.zeros(len(group), np.int8)
         for a, b in _groups(group):
-            if answers is not None:
-                why[a:b] = judge(ms[a:b], v[a:b], bool(log[a]), times, Known(answers[int(src[a])]), own[a:b])
-            elif b - a >= 8:
+            if b - a >= 8:
                 why[a:b] = judge(ms[a:b], v[a:b], bool(log[a]), times)
+        hit = np.flatnonzero(why)
+        return _found(t, new[hit], why[hit]) if len(hit) else None
+
+    return flush
+
+
+def _chunk_verdicts(times: float, answers: dict[int, list]):
+    """Function of whole chunks to their flagged rows; answers: the facts of each source cut into chunks."""
+
+    def flush(t: pa.Table) -> list[pa.RecordBatch] | None:
+        (group, ms, v, log, _), new = _columns(t)
+        own, src = (t[c].to_numpy(zero_copy_only=False)[new] for c in ("own", "src"))
+        why = np.zeros(len(group), np.int8)
+        for a, b in _groups(group):
+            why[a:b] = judge(ms[a:b], v[a:b], bool(log[a]), times, Known(answers[int(src[a])]), own[a:b])
         hit = np.flatnonzero((why > 0) & own)
-        if not len(hit):
-            return None
-        names = t["source_table"].take(pa.array(new[hit])).combine_chunks()
-        return pa.RecordBatch.from_arrays([names, pa.array(ident[hit]), pa.array(why[hit].astype(np.int32))], names=["source_table", "row_id", "why"])
+        return _found(t, new[hit], why[hit]) if len(hit) else None
 
     return flush
 
 
 def _questions(times: float, answers: dict[int, list], done: set[int]):
-    """Function of whole groups to the summary rows of the next fact that each group's source needs."""
+    """Function of whole chunks to the summary rows of the next fact that each chunk's source needs."""
 
-    def flush(parts: list[pa.Table]) -> pa.RecordBatch | None:
-        (group, ms, v, log, own, _, src), _ = _columns(pa.concat_tables(parts).combine_chunks())
+    def flush(t: pa.Table) -> list[pa.RecordBatch] | None:
+        (group, ms, v, log, _), new = _columns(t)
+        own, src = (t[c].to_numpy(zero_copy_only=False)[new] for c in ("own", "src"))
         out: list[tuple] = []
         for a, b in _groups(group):
             if (key := int(src[a])) in done:
@@ -407,59 +443,46 @@ def _questions(times: float, answers: dict[int, list], done: set[int]):
         if not out:
             return None
         types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["src", "kind", "cell", "n", "lo", "hi", "s"])
+        return [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["src", "kind", "cell", "n", "lo", "hi", "s"])]
 
     return flush
 
 
-def _tasks(flush):
-    """mapInArrow function over rows sorted by group, ms, row_id that hands whole groups to flush."""
+def _table(readings: DataFrame, *keep: str) -> DataFrame:
+    """The usable readings with the hash `src` of their source, written once: what is then read several
+    times is narrow. src is null where the source or the time is."""
+    sound_unions(readings.sparkSession)
+    src = F.when(F.col("source").isNotNull() & F.col("ms").isNotNull(), F.xxhash64("source_table", "source")).alias("src")
+    return written(readings.where(finite("value")).select("source_table", src, "row_id", "ms", "value", "log", *keep))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        rows = 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b])
-            g = t["group"].to_numpy()
-            # the last group may go on in the next batch: it stays, what is before it is complete
-            cut = int(np.searchsorted(-(g != g[-1]).astype(np.int8), 0)) if g[0] != g[-1] else 0
-            if cut:
-                held.append(t.slice(0, cut))
-                rows += cut
-                # a group that began in an earlier batch ended here
-                if rows >= 20_000:
-                    if (r := flush(held)) is not None:
-                        yield r
-                    held, rows = [], 0
-            held.append(t.slice(cut))
-            rows += t.num_rows - cut
-        if held and (r := flush(held)) is not None:
-            yield r
-
-    return run
+
+def reasons(readings: DataFrame, limits: DataFrame, times: float = 8.0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The rows of implausible() and of outside_limits() over the same readings, which also hold a suffix."""
+    t = _table(readings, "suffix")
+    return _implausible(t, times, chunk_rows).unionByName(outside_limits(t, limits))
 
 
 def implausible(readings: DataFrame, times: float = 8.0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Spikes and stuck runs: (source_table, row_id, reason) with reason 'spike' or 'stuck'.
+    """Additive outliers and stuck runs: (source_table, row_id, reason) with reason 'additive' or 'stuck'.
 
     readings: (source_table string, source string, row_id bigint, ms bigint, value double, log boolean);
     log asks for a logarithmic scale. Rows with a null source, time or value, or a value that is not
     finite, are passed over; sources with fewer than 8 readings have no usual behaviour. Ties in time
-    are ordered by row_id. Each row comes out at most once (stuck before spike); rows that share source,
+    are ordered by row_id. Each row comes out at most once (stuck before additive); rows that share source,
     time and row_id are one row. Empty input gives an empty result.
     """
-    sound_unions(readings.sparkSession)
-    r = readings.where(finite("value") & F.col("source").isNotNull() & F.col("ms").isNotNull()).select(
-        "source_table", F.xxhash64("source_table", "source").alias("src"), "row_id", "ms", "value", "log"
-    )
+    return _implausible(_table(readings), times, chunk_rows)
+
+
+def _implausible(t: DataFrame, times: float, chunk_rows: int) -> DataFrame:
+    r = t.where("src is not null").select("source_table", "src", "row_id", "ms", "value", "log")
     hot = cut(r.groupBy("src").agg(F.count("*").alias("total")).where(F.col("total") > chunk_rows).select("src"))
+    any_hot = not hot.isEmpty()
     few = bounded_broadcast(hot)
-    whole = _sorted(r.join(few, "src", "left_anti").withColumn("group", F.col("src")).withColumn("own", F.lit(True)))
-    out = whole.mapInArrow(_tasks(_verdicts(times)), FLAGGED)
-    if not hot.isEmpty():
-        x = cut(_sorted(_chunks(r.join(few, "src", "left_semi"), chunk_rows)))
+    cold = r.join(few, "src", "left_anti") if any_hot else r
+    out = by_group(cold.withColumnRenamed("src", "group"), "ms", "row_id").mapInArrow(whole_groups(_verdicts(times)), FLAGGED)
+    if any_hot:
+        x = cut(by_group(_chunks(r.join(few, "src", "left_semi"), chunk_rows), "ms", "row_id"))
         answers: dict[int, list] = {}
         done: set[int] = set()
         # facts are a few numbers a source; a round of this loop is one Spark job over the hot sources
@@ -467,42 +490,39 @@ def implausible(readings: DataFrame, times: float = 8.0, chunk_rows: int = CHUNK
             done |= answers.keys() - got.keys()
             for src, a in got.items():
                 answers.setdefault(src, []).append(a)
-        out = out.unionByName(x.mapInArrow(_tasks(_verdicts(times, answers)), FLAGGED))
-    return out.select("source_table", "row_id", F.when(F.col("why") == 2, "stuck").otherwise("spike").alias("reason"))
+        out = out.unionByName(x.mapInArrow(whole_groups(_chunk_verdicts(times, answers)), FLAGGED))
+    return out.select("source_table", "row_id", F.when(F.col("why") == 2, "stuck").otherwise("additive").alias("reason"))
 
 
 FLAGGED = "source_table string, row_id bigint, why int"
 
 
-def _sorted(r: DataFrame) -> DataFrame:
-    r = r.select("source_table", "src", "group", "row_id", "ms", "value", "log", "own")
-    return r.repartition("group").sortWithinPartitions("group", "ms", "row_id")
-
-
 def _chunks(r: DataFrame, chunk_rows: int) -> DataFrame:
     """Rows of hot sources with the chunk they belong to (own) and as margin with the chunks near them.
 
-    A source's chunks differ by one reading at most. Positions are counted in the hours of a source and
-    the hours added up, so that no window runs over a source.
+    A source's chunks differ by one reading at most. Rows are sorted over all partitions, however many
+    share an hour or an instant; a row's position in its source is the one within its partition and the
+    rows of the source in the partitions before, so that no window runs over a source's rows.
     """
-    b = Window.partitionBy("src", "hour").orderBy("ms", "row_id")
-    r = r.withColumn("hour", F.floor(F.col("ms") / 3_600_000).cast("bigint"))
-    new = F.lag("row_id").over(b).isNull() | (F.lag("row_id").over(b) != F.col("row_id")) | (F.lag("ms").over(b) != F.col("ms"))
-    r = cut(r.withColumn("new", new).withColumn("at", F.dense_rank().over(b) - 1).where("new").drop("new"))
-    w = Window.partitionBy("src").orderBy("hour")
-    hours = r.groupBy("src", "hour").agg(F.count("*").alias("n"))
-    hours = hours.withColumn("upto", F.sum("n").over(w) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy("src")))
-    hours = cut(hours.select("src", "hour", "upto", "total"))
-    r = r.join(bounded_broadcast(hours), ["src", "hour"]).withColumn("at", F.col("at") + F.col("upto"))
+    order = ["src", "ms", "row_id"]
+    at = F.monotonically_increasing_id()
+    r = r.dropDuplicates(order).repartitionByRange(*order).sortWithinPartitions(*order)
+    r = cut(r.withColumn("id", at).withColumn("part", F.spark_partition_id()))
+    runs = r.groupBy("src", "part").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    w = Window.partitionBy("src").orderBy("part")
+    runs = runs.withColumn("offset", F.sum("n").over(w) - F.col("n") - F.col("first")).withColumn("total", F.sum("n").over(Window.partitionBy("src")))
+    runs = cut(runs.select("src", "part", "offset", "total"))
+    r = r.join(bounded_broadcast(runs), ["src", "part"]).withColumn("at", F.col("id") + F.col("offset"))
     r = r.withColumn("k", F.ceil(F.col("total") / chunk_rows))
     near = F.expr(f"sequence(greatest(0, at - {MARGIN}) * k div total, least(total - 1, at + {MARGIN}) * k div total)")
     r = r.withColumn("mine", F.expr("at * k div total")).withColumn("chunk", F.explode(near))
-    return r.withColumn("own", F.col("chunk") == F.col("mine")).withColumn("group", F.xxhash64("src", "chunk"))
+    r = r.withColumn("own", F.col("chunk") == F.col("mine")).withColumn("group", hashed("src", "chunk"))
+    return r.select("source_table", "src", "group", "row_id", "ms", "value", "log", "own")
 
 
 def _facts(x: DataFrame, times: float, answers: dict[int, list], done: set[int]) -> dict[int, tuple]:
     """The next fact of every hot source that needs one."""
-    rows = x.mapInArrow(_tasks(_questions(times, answers, done)), "src bigint, kind int, cell bigint, n bigint, lo double, hi double, s double")
+    rows = x.mapInArrow(whole_groups(_questions(times, answers, done)), "src bigint, kind int, cell bigint, n bigint, lo double, hi double, s double")
     merged = rows.groupBy("src", "kind", "cell").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("s").alias("s"))
     merged = merged.where(f"kind != {COUNT} or n > 3")
     got = merged.groupBy("src").applyInPandas(_answer, "src bigint, a array<double>, b array<double>, c array<double>").collect()

@@ -170,9 +170,7 @@ def _measurements(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Every implausible reading with each of its reasons."""
-    m = _measurements(spark, d)
-    odd = spikes.implausible(m)
-    return odd.unionByName(spikes.outside_limits(m, table(spark, d, "metric_units"))).distinct()
+    return spikes.reasons(_measurements(spark, d), table(spark, d, "metric_units")).distinct()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -65,13 +69,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for written intermediate results.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset (tests, one machine) a
-    temporary folder of this machine is used.
+    The cluster names it in spark.checkpoint.dir. Where that is unset, a session whose executors are
+    threads of this machine gets a temporary folder, which is removed when the process ends; any other
+    is refused, since its executors could not share one.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("TIDEMARK_CHECKPOINT_DIR") or getattr(sc, "_tidemark_folder", None)
     if not at:
-        at = os.environ.get("TIDEMARK_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="tidemark-cp-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="tidemark-cp-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+        sc._tidemark_folder = at
     return at
 
 
@@ -84,6 +93,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written as a table of its own to the shared checkpoint folder, and read from there: unlike that
+    of cut(), it is compressed, and later readers read only the columns and rows that they need."""
+    at = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def slot_end(ms, step_ms):
     """End-inclusive slot of an epoch-millisecond column: ((ms - 1) div step + 1) * step.
 
