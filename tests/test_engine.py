@@ -91,10 +91,61 @@ def test_frames(spark):
     assert sorted((r.name, r.t, r.v) for r in regroup(a, 40).df.collect()) == [("a", 40, pytest.approx(7 / 3))]
     twice = merge([a, literal_series(spark, "a", [9], 10, 10)])
     assert [r.v for r in twice.df.collect()] == [9.0]
+    assert [(r.t, r.v) for r in regroup(literal_series(spark, "c", [1, 2, 3, 4, 5], 10, 10), 20, complete=True).df.orderBy("t").collect()] == [(20, 1.5), (40, 3.5)]
     j = json.loads(render.render_json(a).first().json)
     assert j == {"target": "a", "datapoints": [[1.0, 0], [2.0, 0], [None, 0], [4.0, 0]]}
 
 
+def test_max_points_add_a_step(engine):
+    """60 points wanted of 60 slots: the width is one step more."""
+    s = engine.store
+    assert {r.step_ms for r in s.fetch("foo.bar1.baz", TO - HOUR, TO, 60).df.collect()} == {120_000}
+    assert {r.step_ms for r in s.fetch("foo.bar1.baz", TO - HOUR, TO, 61).df.collect()} == {60_000}
+
+
+def test_render_request(spark, engine):
+    rows, errors = render.render(spark, engine.store, ["foo.*.baz", "none.*", "scale(foo.bar1.baz)", "alias(foo.bar2.baz, 'say \\'b\\'')"], "-10min", "", 100, TO)
+    body = json.loads(render.body(rows))
+    assert [x.get("target") for x in body] == ["foo.bar1.baz", "foo.bar2.baz", None, None, "say 'b'"] and list(errors) == [2] and "Missing argument" in errors[2]
+    assert [v for v, _ in body[1]["datapoints"]] == [20.0] * 10 and body[2] == {"datapoints": []}
+    assert body[1]["datapoints"][-1][1] == TO // 60_000 * 60
+    none, errors = render.render(spark, engine.store, ["nope(1)"], now_ms=TO)
+    assert json.loads(render.body(none)) == [{"datapoints": []}] and len(errors) == 1
+
+
+@pytest.mark.parametrize("n", [7, 9])
+def test_warm_up_of_moving_windows(spark, n):
+    """Under compat the ring of a window first overwrites its newest value."""
+    p, data = 4, [float(x * x) for x in range(n)]
+    ring, want, at = data[:p], [], p - 1
+    for v in data[p:]:
+        ring[at % p] = v
+        at += 1
+        want.append(sum(ring) / p)
+    s = literal_series(spark, "s", data, 10, 10)
+    e = Engine(spark, type("S", (), {"fetch": lambda *_: s})(), 0, n * 10, 0, compat=True)
+    assert values(e.query("movingAverage(s, 4)")) == pytest.approx(want)
+
+
+def test_holt_winters_names_and_errors(spark):
+    season = [10.0, 20.0, 30.0, 20.0, 15.0, 12.0] * 4
+    season[14] = 60.0
+    s = literal_series(spark, "a.b", season, HOUR * 4, HOUR * 4)
+    e = Engine(spark, type("S", (), {"fetch": lambda *_: s})(), 0, 26 * HOUR * 4, 0)
+    r = e.query("holtWintersForecast(a.b, '1d', 7, 0.5, 0.2, 0.5, 3, 'smooth,conf,aberr')").df.collect()
+    assert {(x.name, x.alias) for x in r} == {
+        ("a.b", "holtWintersForecast(a.b)"), ("a.b.upper", "holtWintersConfidenceUpper(a.b)"), ("a.b.lower", "holtWintersConfidenceLower(a.b)"), ("a.b.aberrant", "holtWintersAberration(a.b)")
+    }
+    by = {(x.name, x.t // (HOUR * 4)): x.v for x in r}
+    assert by[("a.b.upper", 20)] - by[("a.b", 20)] == pytest.approx(by[("a.b", 20)] - by[("a.b.lower", 20)]) and by[("a.b", 26)] is not None
+    assert by[("a.b.aberrant", 26)] is None and by[("a.b.aberrant", 20)] == 0
+    assert len(values(e.query("holtWintersAberration(a.b)"))) == 26 and len(values(e.query("holtWintersConfidenceBands(a.b)"))) == 52
+    for bad in ("0.5, 0, 0", "1, 0.5, 0.5", "-1, 0, 0"):
+        with pytest.raises(DslError):
+            e.query(f"holtWintersForecast(a.b, '1d', 7, {bad})")
+    assert e.query("holtWintersForecast(a.b, '2d', 7, 0.5, 0.2, 0.5)").df.count() == 26 and e.query("holtWintersForecast(a.b, '3d', 7)").df.count() == 0
+
+
 def slots(df):
     return {(r.name, r.cf, r.step_ms, r.t): r.v for r in df.collect()}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 
@@ -9,9 +11,9 @@ from tidemark import names
 from tidemark.dsl.parser import Call, DslError, Literal, Selector, parse
 from tidemark.durations import parse_duration, parse_shift, parse_time, window_points
 from tidemark.functions import FUNCTIONS
-from tidemark.functions.forecast import fit, initial_seasonal, initial_trend, nelder_mead
+from tidemark.functions.forecast import Batch, initial_seasonal, initial_trend, prepared
 from tidemark.operators import qdigest, spikes
-from tidemark.plans.spec import DEFAULT, parse_archive
+from tidemark.plans.spec import DEFAULT, parse_archive, read_rules
 from tidemark.plans.store import Archive, best_archive
 
 
@@ -80,17 +82,68 @@ def test_best_archive(asked, step):
     assert best_archive([Archive(10_000, 100, 10_000_000), Archive(20_000, 100, 10_000_000)], *asked).step_ms == step
 
 
+def test_rules_file(tmp_path):
+    f = tmp_path / "rules.toml"
+    f.write_text('min-step = "10s"\nworkers = 4\n[[ds]]\nregexp = "^a[.]"\nstep = "1m"\nheartbeat = "2h"\nrras = ["1m:6h", "MAX:10m:93d:1"]\n[[ds]]\nregexp = ".*"\nstep = "10s"\nheartbeat = "0"\nrras = []\n')
+    a, b = read_rules(str(f))
+    assert (a.pattern, a.step_ms, a.heartbeat_ms, [(x.cf, x.step_ms, x.size, x.xff) for x in a.archives]) == ("^a[.]", 60_000, 7_200_000, [("WMEAN", 60_000, 360, 0.5), ("MAX", 600_000, 13_392, 1.0)])
+    assert b.step_ms == 10_000 and b.archives == ()
+    for bad in ('[[ds]]\nstep = "1m"', f.read_text().replace('"1m"', '"1s"', 1), f.read_text().replace("^a[.]", "(")):
+        f.write_text(bad)
+        with pytest.raises((ValueError, re.error)):
+            read_rules(str(f))
+
+
+def holt_winters(y, season, ahead, a, b, g):
+    """One series, step by step."""
+    s, d = list(initial_seasonal(y, season)), [0.0] * season
+    level, trend, out, dev, sse = y[0], initial_trend(y, season), [y[0]], [0.0], 0.0
+    for i in range(1, len(y) + ahead):
+        k = i % season
+        if i >= len(y):
+            out.append((level + (i - len(y) + 1) * trend) * s[k])
+        else:
+            last, level = level, a * y[i] / s[k] + (1 - a) * (level + trend)
+            trend = b * (level - last) + (1 - b) * trend
+            s[k] = g * y[i] / level + (1 - g) * s[k]
+            out.append((level + trend) * s[k])
+            if i > 2:
+                f = out[-1] / y[i]
+                d[k] = g * (1 - (1 / f if f > 1 else f)) + (1 - g) * d[k]
+                sse += (out[-1] - y[i]) ** 2
+        dev.append(d[k])
+    return out, dev, sse
+
+
 def test_forecast_parts():
     y = np.tile([10.0, 20.0, 30.0, 20.0], 6) + np.arange(24)
     assert initial_trend(y, 4) == pytest.approx(1.0)
     assert initial_seasonal(np.tile([10.0, 30.0], 3), 2).tolist() == [0.5, 1.5]
     with pytest.raises(ValueError):
         initial_trend(y[:5], 4)
-    p = nelder_mead(lambda x: float((x[0] - 3) ** 2 + (x[1] + 1) ** 2), np.array([[0.0, 0.0], [1.0, 0.0], [0.0, 1.0]]))
-    assert p == pytest.approx([3, -1], abs=0.05)
-    out, _, _, best = fit(y, 4, initial_trend(y, 4), initial_seasonal(y, 4), 4)
+    rng = np.random.default_rng(2)
+    ys = [y, np.tile([5.0, 9.0, 7.0, 8.0], 9) + rng.normal(0, 1, 36), 100 + rng.normal(0, 5, 11)]
+    batch, params = Batch(ys, 4), np.array([[0.5, 0.2, 0.5], [0.1, 0.01, 0.9], [0.9, 0.1, 0.1]])
+    errors = batch.errors(params, np.arange(3))
+    for (out, dev), e, x, p, m in zip(batch.run(params, np.array([4, 0, 3])), errors, ys, params, (4, 0, 3), strict=True):
+        want = holt_winters(x, 4, m, *p)
+        assert out == pytest.approx(want[0]) and dev == pytest.approx(want[1]) and e == pytest.approx(want[2])
+    assert batch.errors(np.array([[1.0, 0.5, 0.5]]), np.array([0]))[0] == np.inf
+    best = batch.fit()
     assert ((best > 0) & (best < 1)).all()
-    assert out[-4:] == pytest.approx([10 + 24, 20 + 25, 30 + 26, 20 + 27], rel=0.2)
+    grid = np.array(np.meshgrid(*[np.linspace(0.05, 0.95, 10)] * 3)).reshape(3, -1).T
+    for k in range(3):
+        assert batch.errors(best[k : k + 1], np.array([k]))[0] <= 1.1 * batch.errors(grid, np.full(len(grid), k)).min()
+    assert [b.tolist() for b in Batch(ys[1:2], 4).fit()] == [best[1].tolist()]
+
+
+def test_forecast_preparation():
+    v = np.array([np.nan, np.nan, 1.0, np.nan, 3.0, 4.0, np.nan])
+    t = np.arange(1, 8) * 10
+    first, seen, filled, ahead = prepared(t, v, 20, 10, 20, 90, 9)
+    assert (first, filled.tolist(), ahead, len(seen)) == (30, [1, 1, 3, 4], 3, 4)
+    assert prepared(t, v, 20, 10, 40, 90, 1) is None  # since 40, two values
+    assert prepared(t, v * np.nan, 20, 10, 20, 90, 9) is None
 
 
 def test_digest_codes_keep_order():

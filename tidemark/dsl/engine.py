@@ -65,10 +65,11 @@ class Engine:
         pos = lambda i, d: c.args[i].value if len(c.args) > i and isinstance(c.args[i], Literal) else d
         if c.name == "timeStack":
             return self.to_ms - int(abs(parse_duration(str(pos(1, text("timeShiftUnit", "0")))) * (float(pos(3, text("timeShiftEnd", 0))) + 1)))
-        if c.name == "holtWintersForecast":
-            return self.from_ms - int(parse_duration(str(pos(1, text("seasonLen", "1d")))) * float(pos(2, text("seasonLimit", 7))))
         if c.name.startswith("holtWinters"):
-            return self.from_ms - 7 * 86_400_000
+            season, limit = (pos(1, text("seasonLen", "1d")), pos(2, text("seasonLimit", 7))) if c.name == "holtWintersForecast" else ("1d", 7)
+            # forecasts begin behind the newest slot there is
+            latest = max((a.latest_ms for a in getattr(self.store, "archives", ())), default=self.to_ms)
+            return min(self.from_ms, min(self.to_ms, latest) - int(parse_duration(str(season)) * float(limit)))
         return None
 
     def _call(self, c: Call) -> Frame:

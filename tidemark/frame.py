@@ -74,11 +74,13 @@ def from_points(points: DataFrame, step_ms: int, how: str = "avg", lo: int | Non
     return gap_filled(cells, lo, hi, step_ms)
 
 
-def regroup(f: Frame, step_ms: int) -> Frame:
-    """Every series brought to a coarser step by the mean of what is present (null if nothing is)."""
+def regroup(f: Frame, step_ms: int, complete: bool = False) -> Frame:
+    """Every series brought to a coarser step by the mean of what is present (null if nothing is). With
+    complete, as archives in memory are scanned, a last group whose end the series doesn't reach is left out."""
     if f.steps == {step_ms}:
         return f
-    df = f.df.groupBy("name", slot_end("t", step_ms).alias("t")).agg(F.max("alias").alias("alias"), F.avg("v").alias("v"))
+    df = f.df.groupBy("name", slot_end("t", step_ms).alias("end")).agg(F.max("alias").alias("alias"), F.avg("v").alias("v"), F.max("t").alias("last"))
+    df = (df.where("last = end") if complete else df).withColumnRenamed("end", "t")
     return Frame(df.select("name", "alias", "t", "v", F.lit(step_ms).cast("bigint").alias("step_ms")), frozenset([step_ms]))
 
 

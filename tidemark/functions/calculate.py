@@ -134,10 +134,16 @@ def time_stack(ctx, s, unit, begin, end):
     return replace(s, df=reduce(DataFrame.unionByName, parts) if parts else s.df.limit(0))
 
 
-def _moving(s: Frame, p: int, value) -> Frame:
-    """Exact trailing windows of p points; the first p points are not put out."""
-    d = s.df.withColumn("k", F.row_number().over(by_time())).withColumn("v", value(by_time().rowsBetween(-(p - 1), 0)))
-    return replace(s, df=d.where(F.col("k") > p).drop("k"))
+def _moving(ctx, s: Frame, p: int, value) -> Frame:
+    """Trailing windows of p points; the first p points are not put out. Windows are exact, but under
+    compat the first p - 1 of them span p + 1 points without point p, whose place the next one takes."""
+    d = s.df.withColumn("k", F.row_number().over(by_time()))
+    guarded = lambda c, w: F.when(F.count(c).over(w) == p, value(c, w))
+    v = guarded("v", by_time().rowsBetween(-(p - 1), 0))
+    if ctx.compat:
+        d = d.withColumn("u", F.when(F.col("k") != p, V()))
+        v = F.when(F.col("k") < 2 * p, guarded("u", by_time().rowsBetween(-p, 0))).otherwise(v)
+    return replace(s, df=d.withColumn("v", v).where(F.col("k") > p).select(*COLUMNS))
 
 
 def _points(s: Frame, text: str, median: bool) -> int:
@@ -148,20 +154,20 @@ def _points(s: Frame, text: str, median: bool) -> int:
 def moving_average(ctx, s, size):
     """Mean of the trailing window; a missing value in it makes the mean missing."""
     p = _points(s, size, False)
-    return _moving(s, p, lambda w: F.when(F.count("v").over(w) == p, F.avg("v").over(w)))
+    return _moving(ctx, s, p, lambda c, w: F.avg(c).over(w))
 
 
 @register("movingMedian", "seriesList:series windowSize:string")
 def moving_median(ctx, s, size):
     p = _points(s, size, True)
-    return _moving(s, p, lambda w: F.when(F.count("v").over(w) == p, F.percentile("v", F.lit(0.5)).over(w)))
+    return _moving(ctx, s, p, lambda c, w: F.percentile(c, F.lit(0.5)).over(w))
 
 
 @register("stdev", "seriesList:series points:number windowTolerance:number=0.1")
 def stdev(ctx, s, points, _tolerance):
     """Moving sample standard deviation."""
     p = max(1, int(points))
-    return _moving(s, p, lambda w: F.when(F.count("v").over(w) == p, F.stddev_samp("v").over(w)))
+    return _moving(ctx, s, p, lambda c, w: F.stddev_samp(c).over(w))
 
 
 def _series_quantile(s: Frame, n: float) -> DataFrame:

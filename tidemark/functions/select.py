@@ -81,7 +81,7 @@ def exclude(ctx, s, pattern):
     return replace(s, df=s.df.where(~F.col("name").rlike(pattern)))
 
 
-@register("useSeriesAbove", "seriesList:series value:number search:string replace:string")
+@register("useSeriesAbove", "seriesList:series value:number=0 search:string replace:string")
 def use_series_above(ctx, s, value, search, replacement):
     """Series whose maximum exceeds value, shown under a name with `search` replaced literally."""
     from dataclasses import replace

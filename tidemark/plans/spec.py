@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tomllib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -63,6 +64,24 @@ DEFAULT = SeriesSpec(
 )
 
 
+def read_rules(path: str, min_step_ms: int | None = None) -> list[SeriesSpec]:
+    """The rules of a TOML file in their order: tables [[ds]] with regexp, step, heartbeat and rras, and at
+    the top optionally min-step, below which no step may lie. Other settings are not looked at."""
+    with open(path, "rb") as f:
+        conf = tomllib.load(f)
+    least = parse_duration(conf["min-step"]) if "min-step" in conf else min_step_ms or 1
+    out = []
+    for d in conf.get("ds", []):
+        if missing := {"regexp", "step", "heartbeat", "rras"} - d.keys():
+            raise ValueError(f"{path}: a [[ds]] lacks {', '.join(sorted(missing))}")
+        re.compile(d["regexp"])
+        step = parse_duration(d["step"])
+        if step < least:
+            raise ValueError(f"{path}: step {d['step']} is below the least step")
+        out.append(SeriesSpec(step, parse_duration(d["heartbeat"]), tuple(parse_archive(x, step) for x in d["rras"]), d["regexp"]))
+    return out
+
+
 def match_rules(names: DataFrame, rules: list[SeriesSpec], name: str = "name") -> DataFrame:
     """names with rule_no, the first rule whose pattern matches anywhere in the name; null if none does
     (such points are unknown and dropped by assigned())."""

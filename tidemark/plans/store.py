@@ -63,7 +63,7 @@ class Store:
             return Frame(gap_filled(rows.select("name", "t", "v").limit(0), last, last, a.step_ms).df, frozenset([a.step_ms]))
         f = gap_filled(rows.select("name", "t", "v"), first, last, a.step_ms)
         width = points_step(lo, to_ms, max_points, a.step_ms)
-        return regroup(f, width) if max_points and width > a.step_ms and (last - first) // a.step_ms + 1 > max_points else f
+        return regroup(f, width) if width > a.step_ms else f
 
 
 def search(series: DataFrame, tags: str, wanted: dict[str, str]) -> DataFrame:

@@ -137,11 +137,15 @@ def scan_gap_filled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_regrouped(spark: SparkSession, d: str) -> DataFrame:
+    """As scanned in memory: a last group whose end the series doesn't reach is left out."""
+    g = regroup(from_points(event_points(spark, d), HOUR), 7 * HOUR, complete=True)
+    return g.df.select("name", F.col("t").alias("t_ms"), _r("v"))
+
+
+def scan_max_points(spark: SparkSession, d: str) -> DataFrame:
     """maxDataPoints: the width of a group is the range over 100 rounded down to the step, plus a step."""
     e = engine(spark, d)
-    f = e.store.fetch("events.*.*", e.from_ms, e.to_ms, 0)
-    g = regroup(f, points_step(e.from_ms, e.to_ms, 100, HOUR))
-    return g.df.select("name", F.col("t").alias("t_ms"), _r("v"))
+    return e.store.fetch("events.*.*", e.from_ms, e.to_ms, 100).df.select("name", F.col("t").alias("t_ms"), _r("v"))
 
 
 def scan_range(spark: SparkSession, d: str) -> DataFrame:
@@ -259,9 +263,27 @@ union all select name || x.tag, t_ms, round(x.v, 9) from (select name, t_ms, unn
 # ---- answers
 
 
+def _parsed(rows: DataFrame, *keep: str) -> DataFrame:
+    """The points of JSON answers, one row each."""
+    j = F.from_json("json", "target string, datapoints array<array<double>>")
+    p = rows.select(*keep, j.alias("j")).select(*keep, F.col("j.target").alias("target"), F.explode_outer("j.datapoints").alias("p"))
+    return p.select(*keep, "target", F.col("p")[1].cast("bigint").alias("sec"), F.round(F.col("p")[0], 9).alias("v"))
+
+
 def render_answer(spark: SparkSession, d: str) -> DataFrame:
     e = engine(spark, d, "ev_6h")
-    return render.render_json(e.query("aliasByNode(transformNull(removeAboveValue(events.view.*, 0)), 1, 2)"))
+    return _parsed(render.render_json(e.query("aliasByNode(removeAboveValue(events.*.*, 60), 1, 2)")))
+
+
+TARGETS = ["scale(events.view.*, 2)", "nothing.here.*", "sumSeries(events.click.*)", "nope(1)"]
+
+
+def render_request(spark: SparkSession, d: str) -> DataFrame:
+    """Several targets over the last ten days of the data, in at most 60 points a series; one finds no series, one is wrong."""
+    e = engine(spark, d)
+    rows, errors = render.render(spark, e.store, TARGETS, "-10d", "now", 60, e.to_ms)
+    wrong = spark.createDataFrame([(k, v) for k, v in errors.items()], "target_no int, error string")
+    return _parsed(rows, "target_no").join(F.broadcast(wrong), "target_no", "left")
 
 
 def events_answer(spark: SparkSession, d: str) -> DataFrame:
@@ -283,9 +305,9 @@ def stored_archive(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {k: partial(consolidated, name=k) for k in SPECS} | {
     f.__name__: f
     for f in (
-        parse_graphite, parse_statsd, parse_pixel, sanitize_names, scan_gap_filled, scan_regrouped, scan_range, glob_lookup, find_nodes, ident_search,
+        parse_graphite, parse_statsd, parse_pixel, sanitize_names, scan_gap_filled, scan_regrouped, scan_max_points, scan_range, glob_lookup, find_nodes, ident_search,
         ident_canonical, load_sources, load_archives, tv_debug, new_series, rule_match, best_archive, pdp_weighted_mean, statsd_windows, statsd_paced,
-        paced_gauge, statsd_table, render_answer, events_answer, synthetic_load, stored_archive,
+        paced_gauge, statsd_table, render_answer, render_request, events_answer, synthetic_load, stored_archive,
     )
 }
 
@@ -299,7 +321,8 @@ ORACLES = {k: _consolidate_sql(s) for k, s in SPECS.items()} | {
     "parse_pixel": f"with p as ({_RAW}) select ['point', 'add', 'addgauge', 'setgauge', 'append'][event_id % 5 + 1] as cmd, name, count(*) as n, round(sum(value), 4) as total, max(ms // 1000 * 1000) as last_ms from p group by 1, 2",
     "sanitize_names": f"select {_CLEAN} as name, count(*) as n from points group by 1",
     "scan_gap_filled": _frame_sql("ev_1h") + "select name, t as t_ms, round(v, 9) as v from f",
-    "scan_regrouped": _frame_sql("ev_1h") + f", w as (select ((hi - lo + {HOUR}) // 100 // {HOUR} + 1) * {HOUR} as w from b) select name, ((t - 1) // w + 1) * w as t_ms, round(avg(v), 9) as v from f, w group by 1, 2",
+    "scan_regrouped": _frame_sql("ev_1h") + f"select name, ((t - 1) // {7 * HOUR} + 1) * {7 * HOUR} as t_ms, round(avg(v), 9) as v from f group by 1, 2 having max(t) = t_ms",
+    "scan_max_points": _frame_sql("ev_1h") + f", w as (select ((hi - lo + {HOUR}) // 100 // {HOUR} + 1) * {HOUR} as w from b) select name, ((t - 1) // w + 1) * w as t_ms, round(avg(v), 9) as v from f, w group by 1, 2",
     "scan_range": _frame_sql("ev_1h") + f"select name, t as t_ms, round(v, 9) as v from f, b where name like 'events.view.%' and t > hi - {2 * DAY}",
     "glob_lookup": "select distinct name from ds where regexp_full_match(name, '(kiln|quarry)[.][^.]*-000[^.]*[.][a-l][^.]*[.]temp_[^.]')",
     "find_nodes": """with n as (select distinct name from ds where name is not null), k as (select split_part(name, '.', 1) || '.' || split_part(name, '.', 2) as id, len(string_split(name, '.')) = 2 as leaf from n where name like '%.%'),
@@ -327,6 +350,10 @@ select name, t_ms, round(sum(value * d) / nullif(sum(d), 0), 9) as value from z
     "events_answer": "select '[]' as json",
     "synthetic_load": "select 'load.' || k as name, (i * 10000)::bigint as ms, round(sin((i * 10000) % 600000 * (2 * pi() / 600000)) * 100, 9) as value from range(7) a(k), range(60) b(i)",
     "stored_archive": "with s as (" + _consolidate_sql(SPECS["consolidate_wmean"]).replace("round(case", "(case").replace(f"else x end + {SHIFT}, 6)", "else x end)") + ") select name, step_ms, count(v) as n, round(avg(v), 9) as mean, max(t_ms) as last_ms from s group by 1, 2",
-    "render_answer": _frame_sql("ev_6h") + """select split_part(name, '.', 2) || '.' || split_part(name, '.', 3) as target,
-  '{"target": "' || split_part(name, '.', 2) || '.' || split_part(name, '.', 3) || '", "datapoints": [' || string_agg('[0.0, ' || (t // 1000) || ']', ', ' order by t) || ']}' as json from f where name like 'events.view.%' group by name""",
+    "render_answer": _frame_sql("ev_6h") + "select split_part(name, '.', 2) || '.' || split_part(name, '.', 3) as target, t // 1000 as sec, round(case when v <= 60 then v end, 9) as v from f",
+    "render_request": _frame_sql("ev_1h") + f""", k as (select name, ((t - 1) // {5 * HOUR} + 1) * {5 * HOUR} as t, avg(v) as v from f, b where t > hi - {10 * DAY} group by 1, 2)
+select 0 as target_no, name as target, t // 1000 as sec, round(v * 2, 9) as v, null as error from k where name like 'events.view.%' union all
+select 1, null, null, null, null union all
+select 2, 'sumSeries(events.click.*)', t // 1000, round(coalesce(sum(v), 0), 9), null from k where name like 'events.click.%' group by t union all
+select 3, null, null, null, 'No such function: nope'""",
 }

@@ -80,29 +80,15 @@ def engine(spark: SparkSession, d: str, frame: str = "ev_1h", max_points: int =
         empty = spark.createDataFrame([], "name string, cf string, step_ms bigint, t bigint, v double")
         return Engine(spark, Store(empty, [Archive(step, 1, 0)]), -step, 0, max_points, compat)
     rows, a = found
-    e = Engine(spark, Store(rows, [a]), a.begins_ms, a.latest_ms, 0, compat)
-    if max_points:
-        e.store = _Unlimited(e.store)
-        e.max_points = max_points
-    return e
+    return Engine(spark, Store(rows, [a]), a.begins_ms, a.latest_ms, max_points, compat)
 
 
-class _Unlimited:
-    """A store read at full resolution, whatever the number of points wanted."""
+def output(f: Frame, digits: int = 6) -> DataFrame:
+    return f.df.select(F.coalesce("alias", "name").alias("target"), F.col("t").alias("t_ms"), F.round("v", digits).alias("v"))
 
-    def __init__(self, store: Store):
-        self.store = store
 
-    def fetch(self, pattern, from_ms, to_ms, _points=0):
-        return self.store.fetch(pattern, from_ms, to_ms, 0)
-
-
-def output(f: Frame) -> DataFrame:
-    return f.df.select(F.coalesce("alias", "name").alias("target"), F.col("t").alias("t_ms"), F.round("v", 6).alias("v"))
-
-
-def run(spark: SparkSession, d: str, text: str, frame: str = "ev_1h", max_points: int = 0) -> DataFrame:
-    return output(engine(spark, d, frame, max_points).query(text))
+def run(spark: SparkSession, d: str, text: str, frame: str = "ev_1h", max_points: int = 0, compat: bool = False, digits: int = 6) -> DataFrame:
+    return output(engine(spark, d, frame, max_points, compat).query(text), digits)
 
 
 def _fold(value: str, legend: str) -> str:
@@ -194,9 +180,9 @@ SPECS: dict[str, tuple[str, str | None, str]] = {
     "dsl_limit": (f"limit({E}, 4)", "select name as target, t as t_ms, round(v, 6) as v from f where name in (select distinct name from f order by name limit 4)", "ev_1h"),
     "dsl_highest_current": (f"highestCurrent({E}, 3)", _top("arg_max_null(v, t)", 3, "desc"), "ev_6h"),
     "dsl_highest_max": (f"highestMax({E}, 3)", _top("max(v)", 3, "desc"), "ev_1h"),
-    "dsl_lowest_average": (f"lowestAverage(transformNull({E}), 3)", _top("avg(coalesce(v, 0))", 3, "asc").replace("round(v, 6)", "round(coalesce(v, 0), 6)"), "ev_1h"),
+    "dsl_lowest_average": (f"lowestAverage({E}, 3)", _top("case when count(v) = count(*) then avg(v) end", 3, "asc"), "ev_6h"),
     "dsl_lowest_current": (f"lowestCurrent({E}, 3)", _top("arg_max_null(v, t)", 3, "asc"), "ev_6h"),
-    "dsl_most_deviant": (f"mostDeviant(transformNull({E}), 3)", _top("stddev_samp(coalesce(v, 0))", 3, "desc").replace("round(v, 6)", "round(coalesce(v, 0), 6)"), "ev_1h"),
+    "dsl_most_deviant": (f"mostDeviant({E}, 3)", _top("case when count(v) = count(*) then stddev_samp(v) end", 3, "desc"), "ev_6h"),
     "dsl_maximum_above": (f"maximumAbove({E}, 300)", _kept("max(v) > 300 or max(v) is null"), "ev_1h"),
     "dsl_maximum_below": (f"maximumBelow({E}, 300)", _kept("max(v) < 300 or max(v) is null"), "ev_1h"),
     "dsl_minimum_above": (f"minimumAbove({E}, 1)", _kept("min(v) > 1 or min(v) is null"), "ev_1h"),
@@ -211,10 +197,60 @@ SPECS: dict[str, tuple[str, str | None, str]] = {
     "dsl_chain": ("group(events.view.*).scale(2).offset(1)", _each("v * 2 + 1", "name", "where name like 'events.view.%'"), "ev_1h"),
     "dsl_keywords": ("transformNull(events.view.*, default=3)", _each("coalesce(v, 3)", "name", "where name like 'events.view.%'"), "ev_1h"),
     "dsl_nested": ("sumSeries(scale(events.view.*, 2), events.click.u0)", "select 'sumSeries(scale(events.view.*, 2), events.click.u0)' as target, t as t_ms, round(coalesce(sum(case when name like 'events.view.%' then v * 2 else v end), 0), 6) as v from f where name like 'events.view.%' or name = 'events.click.u0' group by t", "ev_1h"),
-    # without SQL
-    "dsl_holt_winters_forecast": ("holtWintersForecast(sumSeries(events.*.*), '1d', 7, 0, 0, 0)", None, "ev_1h"),
-    "dsl_holt_winters_bands": ("holtWintersConfidenceBands(sumSeries(events.*.*))", None, "ev_6h"),
-    "dsl_holt_winters_aberration": ("holtWintersAberration(sumSeries(events.*.*))", None, "ev_6h"),
+    # fitted parameters have no SQL
+    "dsl_holt_winters_fitted": ("group(holtWintersForecast(sumSeries(events.*.*)), holtWintersConfidenceBands(sumSeries(events.*.*)), holtWintersAberration(sumSeries(events.*.*)))", None, "ev_6h"),
+}
+
+#: Holt-Winters with given parameters: part, alpha, beta, gamma, devScale, value and name in SQL.
+HOLT_WINTERS = {
+    "dsl_holt_winters_forecast": ("smooth", (0.5, 0.2, 0.5), [("y", "Forecast")]),
+    "dsl_holt_winters_bands": ("conf", (0.3, 0.1, 0.4), [("y + y * dev * 3", "ConfidenceUpper"), ("y - y * dev * 3", "ConfidenceLower")]),
+    "dsl_holt_winters_aberration": (
+        "aberr", (0.3, 0.1, 0.4),
+        [("case when x < y - y * dev * 3 then x - (y - y * dev * 3) when x > y + y * dev * 3 then x - (y + y * dev * 3) else 0 end", "Aberration")],
+    ),
+}
+
+
+def _holt_winters(show: str, params: tuple, _parts: list) -> str:
+    return f"holtWintersForecast(sumSeries({E}), '1d', 7, {', '.join(map(str, params))}, 3, '{show}')"
+
+
+def _holt_winters_sql(_show: str, params: tuple, parts: list) -> str:
+    """The recursion over the hours of the sum of all series; a season has 24."""
+    a, b, g = params
+    rows = " union all ".join(f"select 'holtWinters{name}(sumSeries({E}))' as target, t as t_ms, case when isfinite({value}) then round({value}, 3) end as v from r" for value, name in parts)
+    return (
+        _frame_sql("ev_1h").replace("with p", "with recursive p", 1)
+        + f""", s as (select t, coalesce(sum(v), 0) as x from f group by t),
+ys as (select list(x order by t) as xs, min(t) as t0, count(*)::int as n from s),
+m as (select *, list_transform(range(n // 24), lambda j: list_avg(xs[j * 24 + 1 : j * 24 + 24])) as means from ys),
+z as (select xs, t0, n, (list_sum(xs[25:48]) - list_sum(xs[1:24])) / 576 as trend,
+  list_transform(range(24), lambda k: list_avg(list_transform(range(n // 24), lambda j: xs[j * 24 + k + 1] / means[j + 1]))) as factors from m),
+w as (select 0 as i, xs[1] as level, trend, factors as s, list_transform(range(24), lambda k: 0.0::double) as d, xs[1] as y, 0.0::double as dev from z
+  union all select i, level, trend, s[:k] || [nf] || s[k + 2:], d[:k] || [nd] || d[k + 2:], y, nd from (
+    select *, case when i > 2 then {g} * (1 - case when y / x > 1 then x / y else y / x end) + {1 - g} * d[k + 1] else d[k + 1] end as nd from (
+    select *, (level + trend) * nf as y from (
+    select *, {b} * (level - last) + {1 - b} * slope as trend, {g} * x / level + {1 - g} * f as nf from (
+    select *, {a} * x / f + {1 - a} * (last + slope) as level from (
+    select w.i + 1 as i, (w.i + 1) % 24 as k, w.level as last, w.trend as slope, w.s, w.d, z.xs[w.i + 2] as x, w.s[(w.i + 1) % 24 + 1] as f from w, z where w.i + 1 < z.n)))))),
+r as (select z.t0 + w.i * {HOUR}::bigint as t, w.y, w.dev, z.xs[w.i + 1] as x from w, z) """
+        + rows
+    )
+
+
+def _warm_up(value: str, p: int) -> str:
+    """Moving windows of p points under compat: the first p - 1 windows lack point p."""
+    return f"""select name as target, t as t_ms, round(case when k < {2 * p} then case when count(u) over e = {p} then {value.format("u", "e")} end
+  else case when count(v) over x = {p} then {value.format("v", "x")} end end, 6) as v
+from (select *, case when k <> {p} then v end as u from (select *, row_number() over (partition by name order by t) as k from f))
+window e as (partition by name order by t rows {p} preceding), x as (partition by name order by t rows {p - 1} preceding) qualify k > {p}"""
+
+
+COMPAT = {
+    "dsl_moving_average_compat": (f"movingAverage({E}, 5)", _warm_up("avg({}) over {}", 5)),
+    "dsl_moving_median_compat": (f"movingMedian({E}, 4)", _warm_up("quantile_cont({}, 0.5) over {}", 4)),
+    "dsl_stdev_compat": (f"stdev({E}, 6)", _warm_up("stddev_samp({}) over {}", 6)),
 }
 
 
@@ -227,14 +263,18 @@ def dsl_literal_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {k: partial(run, text=v[0], frame=v[2]) for k, v in SPECS.items()} | {
+    k: partial(run, text=_holt_winters(*v), frame="ev_1h", digits=3) for k, v in HOLT_WINTERS.items()
+} | {k: partial(run, text=v[0], frame="ev_6h", compat=True) for k, v in COMPAT.items()} | {
     "dsl_sinusoid": _points_query("sinusoid()", 60),
     "dsl_constant_line": _points_query("constantLine(12.5)", 60),
     "dsl_consolidate_by": _points_query(f"consolidateBy({E}, 'sum')", 100),
     "dsl_literal_series": dsl_literal_series,
 }
 ORACLES = {k: _frame_sql(v[2]) + v[1] for k, v in SPECS.items() if v[1]} | {
+    k: _holt_winters_sql(*v) for k, v in HOLT_WINTERS.items()
+} | {k: _frame_sql("ev_6h") + v[1] for k, v in COMPAT.items()} | {
     "dsl_sinusoid": _frame_sql("ev_1h") + f", w as (select lo - {HOUR} as a, (hi - lo + {HOUR}) // 60 as s from b) select 'sinusoid()' as target, a + s + i * s as t_ms, round(sin(2 * pi() / 60 * i), 6) as v from w, (select unnest(range(60)) as i)",
     "dsl_constant_line": _frame_sql("ev_1h") + f" select 'constantLine(12.5)' as target, hi + i * (hi - lo + {HOUR}) as t_ms, 12.5::double as v from b, (select unnest([0, 1]) as i)",
-    "dsl_consolidate_by": _frame_sql("ev_1h") + f" select name as target, t as t_ms, round(v * ((hi - lo + {HOUR}) / 1000 / 100), 6) as v from f, b",
+    "dsl_consolidate_by": _frame_sql("ev_1h") + f", w as (select ((hi - lo + {HOUR}) // 100 // {HOUR} + 1) * {HOUR} as w from b) select name as target, ((t - 1) // w + 1) * w as t_ms, round(avg(v) * any_value((hi - lo + {HOUR}) / 1000 / 100), 6) as v from f, b, w group by 1, 2",
     "dsl_literal_series": "select 'lit' as target, t_ms::bigint as t_ms, v::double as v from (values (60000, 1.0), (120000, null), (180000, 3.5)) x(t_ms, v)",
 }
