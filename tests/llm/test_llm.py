@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, packing, tokens, truncated
 
@@ -118,9 +119,41 @@ def _texts():
         1003: docs[3] + "\nThe light guide (15) moves along the sealing\n- 3 -", 1004: docs[4] + "\nThe valve plate (12) bears on the main", 1005: docs[5] + "\nThe heat sink (14) cools down the [...]",
     }
     whole = {2000: docs[6][:-1], 2001: docs[7] + "\n- 12 -", 2002: docs[8][:-1] + "...", 2003: docs[9] + "  \n\n", 2004: "", 2005: None, 2006: "One", 2007: docs[10] + "\n* * * * *"}
+    # what is added behind texts is learned from texts that share it
+    added = ["\n- {} -", " [...]", "\n* * * * *"]
+    whole |= {3000 + 10 * k + i: docs[20 + 10 * k + i] + a.format(i) for k, a in enumerate(added) for i in range(6)}
     return docs, cases, whole
 
 
+def test_cut_texts_behind_many_trailers_and_in_long_words(spark):
+    """However many lines follow a cut, and however long the word is that it is in."""
+    docs, cases, whole = _texts()
+    name = "poly" + "methylethyl" * 11
+    docs = {**docs, **{5000 + i: f"The layer is made of {name} after {i} cycles.\nThe main axis cools." for i in range(20)}}
+    cut_word = "\nThe layer is made of " + name[:90]
+    cases = {
+        6000: docs[0] + "\nThe valve plate (12) bears on the main" + "".join(f"\n- {i} -" for i in range(200)), 6001: docs[1] + cut_word,
+        6002: docs[2] + "\nThe heat sink (14) cools down the outer hous" + "\n* * * * *" * 20_000, 6003: docs[3] + cut_word + " [...]" * 40 + "\n- 2 -",
+    }
+    df = spark.createDataFrame([(k, v) for k, v in {**docs, **cases, **whole}.items()], "id long, text string")
+    j = truncated.cut_texts(df, "id", "text")
+    assert sorted(r.id for r in j.where("cut").collect()) == sorted(cases)
+
+
+def test_learned_trailers(spark):
+    docs, cases, whole = _texts()
+    df = spark.createDataFrame([(v,) for v in [*docs.values(), *cases.values(), *whole.values()]], "text string")
+    counted = truncated.sentence_counts(df, "text")
+    lines, marks = truncated.learn_trailers(df, "text", counted, truncated.trigram_counts(counted))
+    assert sorted(lines) == ["* * * * *", "- # -"] and marks == ["[...]"]
+    # a cut that many texts share goes on in others: it is no trailer
+    same = df.unionByName(spark.createDataFrame([(docs[i] + "\nThe",) for i in range(9)] + [(docs[i] + "\nThe valve pl",) for i in range(9)], "text string"))
+    counted = truncated.sentence_counts(same, "text")
+    assert truncated.learn_trailers(same, "text", counted, truncated.trigram_counts(counted)) == (lines, marks)
+    known = truncated.cut_texts(df, "text", "text", trailers=(lines, marks)).where("cut").count()
+    assert known == len(cases)
+
+
 def test_cut_texts(spark):
     docs, cases, whole = _texts()
     rows = [(k, v, f"s{k % 2}", True) for k, v in {**docs, **cases, **whole}.items()] + [(1000, cases[1000], "s0", True), (None, docs[0], None, None)]
@@ -137,8 +170,7 @@ def test_trigram_counts_match_brute_force(spark):
     docs, _, _ = _texts()
     texts = list(docs.values())[:60]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    empty = spark.createDataFrame([], "w1 string, w2 string, w3 string, n long")
-    got = {(r.w1, r.w2, r.w3): (r.inside, r.ends) for r in truncated.trigram_counts(df, "text", empty).collect()}
+    got = {(r.w1, r.w2, r.w3): (r.inside, r.ends) for r in truncated.trigram_counts(truncated.sentence_counts(df, "text")).collect()}
     want: dict = {}
     for t in texts:
         for s in t.split("\n"):
@@ -152,8 +184,9 @@ def test_trigram_counts_match_brute_force(spark):
 def test_final_trigram_of_odd_texts(spark):
     far = "lead " * 300 + "alpha beta " + "x" * 5000
     df = spark.createDataFrame([("a b c",), ("word",), ("",), (None,), (far,), ("Ends well. Then cut of\n- 4 -\n",)], "text string")
-    got = [r[0] for r in df.select(truncated.final_trigram(df.text)).collect()]
-    assert got == ["a b c", "¶ ¶ word", "¶ ¶ ", "¶ ¶ ", "alpha beta " + "x" * 5000, "then cut of"]
+    j = truncated.cut_texts(df.withColumn("line", F.lit(1)), "text", "text", "line", trailers=(["- # -"], []))
+    got = {r.text: r.final for r in j.collect()}
+    assert got == {"a b c": "a b c", "word": "¶ ¶ word", "": "¶ ¶ ", None: "¶ ¶ ", far: "alpha beta " + "x" * 5000, "Ends well. Then cut of\n- 4 -\n": "then cut of"}
 
 
 def test_pack_many_kinds(spark):
