@@ -80,11 +80,10 @@ def with_last_line(docs: DataFrame, text: str, pattern: str) -> DataFrame:
     """docs with `line`, each text's last line without what trailer_pattern() describes, and `whole`, whether
     that line is left as it was (what was taken off began on a line of its own).
 
-    The end of a text is looked at first; where the last line isn't all in it, the whole text is."""
-    end = 1000
+    The last lines of a text are looked at first; where nothing of them is left, the whole text is."""
     t = F.coalesce(text, F.lit(""))
-    d = docs.withColumn("rev", F.reverse(F.right(t, F.lit(end)))).withColumn("rest", F.regexp_replace("rev", pattern, ""))
-    d = d.withColumn("all", F.when((F.length(t) > end) & ~F.contains("rest", F.lit("\n")), F.reverse(t)))
+    d = docs.withColumn("rev", F.reverse(F.substring_index(t, "\n", -4))).withColumn("rest", F.regexp_replace("rev", pattern, ""))
+    d = d.withColumn("all", F.when(F.col("rest") == "", F.reverse(t)))
     d = d.withColumn("rest", F.when(F.col("all").isNotNull(), F.regexp_replace("all", pattern, "")).otherwise(F.col("rest"))).withColumn("rev", F.coalesce("all", "rev"))
     d = d.withColumn("off", F.left("rev", F.length("rev") - F.length("rest")))
     whole = (F.trim(F.translate("off", "\n\r\t", "   ")) == "") | F.col("off").rlike(r"\n[ \t\r]*\z")
