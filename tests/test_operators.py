@@ -6,6 +6,7 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,40 @@ def test_percentiles(spark):
     assert qdigest.percentiles(qdigest.digest(df.limit(0), ["name"], "n"), ["name"], [0.5]).count() == 0
 
 
+def test_digests_of_many_tasks(spark, monkeypatch):
+    """Rounds go by the tasks that made the digests, and no call holds more than some blocks of rows."""
+    rng = np.random.default_rng(8)
+    n = 60_000
+    v = rng.normal(size=n)
+    df = spark.createDataFrame(pd.DataFrame({"group": np.where(np.arange(n) % 3, "hot", "warm"), "v": v})).repartition(40)
+    d = qdigest.partial_digest(df, ["group"], "v", 0.05)
+    assert d.groupBy("group", "part").count().groupBy("group").count().where("count >= 40").count() == 2
+    for fan_in in (3, 64):
+        for r in qdigest.percentiles(d, ["group"], [0.1, 0.5, 0.99], 0.05, fan_in).collect():
+            s = np.sort(v[(np.arange(n) % 3 > 0) == (r["group"] == "hot")])
+            rank = np.ceil(r.quantile * len(s))
+            assert r.n == len(s) and np.searchsorted(s, r.value - 1e-5) - r.rank_error <= rank <= np.searchsorted(s, r.value + 1e-5, "right") + r.rank_error
+    with pytest.raises(ValueError):
+        qdigest.partial_digest(df.withColumnRenamed("group", "n"), ["n"], "v")
+
+
+def test_merging_holds_few_digests(monkeypatch):
+    """500 digests of one group reach one task: it works them off in blocks."""
+    monkeypatch.setattr(qdigest, "BLOCK_ROWS", 8_000)
+    rng, sizes = np.random.default_rng(1), []
+    inner = qdigest.compress
+    monkeypatch.setattr(qdigest, "compress", lambda g, *a: sizes.append(len(g)) or inner(g, *a))
+
+    def batches():
+        for _ in range(500):
+            code = qdigest.encode(rng.normal(size=2_000)) + (1 << 32)
+            _, node, count = inner(np.zeros(len(code), np.int64), code, np.ones(len(code), np.int64), 0.05)
+            yield pa.RecordBatch.from_arrays([pa.array(["k"] * len(node)), pa.array(node), pa.array(count), pa.array(np.full(len(node), 5))], names=["k", "node", "n", "group"])
+
+    out = pa.Table.from_batches(list(qdigest._merger(["k"], 0.05)(batches())))
+    assert sum(out["n"].to_pylist()) == 1_000_000 and len(sizes) > 50 and max(sizes) < 8_000
+
+
 def test_implausible(spark):
     rng = np.random.default_rng(6)
     n = 400

@@ -21,9 +21,12 @@ def hashed(*keys: str):
     return F.xxhash64(*keys)
 
 
-def whole_groups(flush: Callable[[pa.Table], Iterable[pa.RecordBatch] | None], rows: int = 20_000) -> Callable:
+def whole_groups(
+    flush: Callable[[pa.Table], Iterable[pa.RecordBatch] | None], rows: int = 20_000, shrink: Callable[[pa.Table], pa.Table] | None = None
+) -> Callable:
     """mapInArrow function over the rows of by_group() that hands whole groups to flush, as few at a time
-    as make `rows` rows; what a task holds is that and one group."""
+    as make `rows` rows. What a task holds is that and one group; where groups may be of any size, shrink
+    replaces the rows of a group that is not complete yet by fewer ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -46,6 +49,9 @@ def whole_groups(flush: Callable[[pa.Table], Iterable[pa.RecordBatch] | None], r
                     held, n = [], 0
             held.append(t.slice(cut))
             n += t.num_rows - cut
+            if shrink and n >= 2 * rows:
+                held = [shrink(pa.concat_tables(held).combine_chunks())]
+                n = held[0].num_rows
         if held:
             yield from flush(pa.concat_tables(held).combine_chunks()) or ()
 

@@ -9,8 +9,11 @@ floor(eps * n / 32); so each inner node holds at most that, and the rank of any
 the counts of its 32 ancestors: rank error <= eps * n. Digests merge by node addition, the bounds add up
 to eps * (n1 + n2), and compressing the merged digest keeps them.
 
-Every task digests its own rows first, in blocks, so that a hot group shrinks to O(32 / eps) nodes per
-block before anything is shuffled. Where there are many tasks, digests are merged in rounds of `fan_in`.
+Every task digests its own rows first, block by block into one running digest, so that a hot group
+shrinks to O(32 / eps) nodes per task before anything is shuffled (a group of fewer than 32 / eps values
+stays as it is: it has no node to spare). Where there are many tasks, digests are merged in rounds of
+`fan_in`, told apart by the task that made them. A merging task, too, holds a running digest: it never holds
+more than a block of rows beside the digest of one group.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..grouped import by_group, hashed, whole_groups
 from ..session import finite
 
 BITS = 32
@@ -120,22 +124,13 @@ def _group_codes(t: pa.Table, keys: list[str]) -> tuple[np.ndarray, list[int]]:
     return inv, first
 
 
-def _table(keys: list[str], t: pa.Table, first: np.ndarray, g: np.ndarray, node: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _digested(t: pa.Table, keys: list[str], eps: float) -> pa.Table:
+    """Rows (keys..., node, n) of any number of digests as one digest per group."""
+    inv, first = _group_codes(t, keys)
+    g, node, n = compress(inv, t["node"].to_numpy(), t["n"].to_numpy(), eps)
     rows = pa.array(first[g])
-    cols = [t[k].combine_chunks().take(rows) for k in keys]
-    yield from pa.table([*cols, pa.array(node), pa.array(count)], names=[*keys, "node", "n"]).to_batches(max_chunksize=50_000)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], rows: int | None) -> Iterator[pa.Table]:
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if rows and n >= rows:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held)
+    cols = [t[c].combine_chunks().take(rows) for c in t.column_names if c not in ("node", "n")]
+    return pa.table([*cols, pa.array(node), pa.array(n)], names=[*(c for c in t.column_names if c not in ("node", "n")), "node", "n"])
 
 
 def _key_schema(df: DataFrame, keys: list[str]) -> str:
@@ -144,22 +139,36 @@ def _key_schema(df: DataFrame, keys: list[str]) -> str:
 
 
 def partial_digest(df: DataFrame, keys: list[str], value: str, eps: float = 0.005) -> DataFrame:
-    """Digests (keys..., node, n) of the finite values per group and task, without a shuffle; merge()
-    and percentiles() unite them.
+    """Digests (keys..., node, n, part) of the finite values per group and task, without a shuffle; merge()
+    and percentiles() unite them. part numbers the tasks.
 
     Null, NaN and infinite values are left out; a null key is a group of its own. Groups without a
-    usable value give no rows, nor does an empty table. Extra columns are ignored.
+    usable value give no rows, nor does an empty table. Extra columns are ignored; keys may not be called
+    part, node or n.
     """
-    src = df.where(finite(value)).select(*keys, F.col(value).cast("double").alias("__v"))
+    if {"part", "node", "n"} & set(keys):
+        raise ValueError("keys may not be called part, node or n")
+    src = df.where(finite(value)).select(*keys, F.col(value).cast("double").alias("__v"), F.spark_partition_id().cast("bigint").alias("__part"))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _blocks(batches, BLOCK_ROWS):
-            inv, first = _group_codes(t, keys)
-            code = encode(t["__v"].to_numpy())
-            g, node, n = compress(inv, code + (np.int64(1) << BITS), np.ones(len(code), np.int64), eps)
-            yield from _table(keys, t, first, g, node, n)
-
-    return src.mapInArrow(local, f"{_key_schema(df, keys)}, node bigint, n bigint")
+        names = [*keys, "part", "node", "n"]
+        held: list[pa.Table] = []
+        rows, part = 0, 0
+        for b in batches:
+            code = pa.array(encode(b.column("__v").to_numpy(zero_copy_only=False)) + (np.int64(1) << BITS))
+            held.append(pa.table([*(b.column(k) for k in keys), b.column("__part"), code, pa.array(np.ones(b.num_rows, np.int64))], names=names))
+            rows += b.num_rows
+            if rows >= BLOCK_ROWS:
+                held = [_digested(pa.concat_tables(held), keys, eps)]
+                rows = held[0].num_rows
+                # many small groups, which can't be made smaller: they are handed on
+                if rows >= BLOCK_ROWS // 2:
+                    yield from held[0].to_batches(max_chunksize=50_000)
+                    held, rows = [], 0
+        if rows:
+            yield from _digested(pa.concat_tables(held), keys, eps).to_batches(max_chunksize=50_000)
+
+    return src.mapInArrow(local, f"{_key_schema(df, keys)}, part bigint, node bigint, n bigint")
 
 
 def digest(df: DataFrame, keys: list[str], value: str, eps: float = 0.005, fan_in: int = 64) -> DataFrame:
@@ -168,32 +177,52 @@ def digest(df: DataFrame, keys: list[str], value: str, eps: float = 0.005, fan_i
 
 
 def merge(digests: DataFrame, keys: list[str], eps: float = 0.005, fan_in: int = 64) -> DataFrame:
-    """Digests of the same eps united per `keys` (a subset of the keys they were made with) by node
-    addition and compressed again."""
-    d = _fan_in(digests.select(*keys, "node", "n"), keys, eps, fan_in)
-    return d.repartition(*keys).mapInArrow(_merger(keys, eps), d.schema)
+    """Digests (keys..., node, n) of the same eps united per `keys` (a subset of the keys they were made with)
+    by node addition and compressed again."""
+    ks, d = _fan_in(digests, keys, eps, fan_in)
+    out = _grouped(d, ks).mapInArrow(_merger(ks, eps), f"{_key_schema(d, ks)}, node bigint, n bigint")
+    return out.select(*(F.col(k).alias(name) for k, name in zip(ks, keys, strict=True)), "node", "n")
+
+
+def _partitions(df: DataFrame) -> int:
+    """Number of tasks of df's last stage, as planned."""
+    return df._jdf.queryExecution().executedPlan().outputPartitioning().numPartitions()
+
 
+def _grouped(d: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    return by_group(d.withColumn("group", hashed(*keys, *more)))
 
-def _fan_in(d: DataFrame, keys: list[str], eps: float, fan_in: int) -> DataFrame:
+
+def _fan_in(digests: DataFrame, keys: list[str], eps: float, fan_in: int) -> tuple[list[str], DataFrame]:
     """Merge partial digests of many tasks in rounds of fan_in, so that the last task of a hot group
-    receives at most fan_in of them."""
-    width = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    receives about fan_in of them. Digests without a `part` count as made by the tasks that read them. The
+    keys go by names of their own until they are put out."""
+    width = _partitions(digests)
+    part = F.col("part") if "part" in digests.columns else F.spark_partition_id().cast("bigint")
+    ks = [f"k{i}" for i in range(len(keys))]
+    d = digests.select(*(F.col(name).alias(k) for k, name in zip(ks, keys, strict=True)), part.alias("part"), "node", "n")
     schema = d.schema
     while width > fan_in:
         width = -(-width // fan_in)
-        salted = d.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(width)))
-        d = salted.repartition(*keys, "__salt").drop("__salt").mapInArrow(_merger(keys, eps), schema)
-    return d
+        salted = d.withColumn("part", F.pmod("part", F.lit(width)))
+        d = _grouped(salted, ks, "part").mapInArrow(_merger([*ks, "part"], eps), schema)
+    return ks, d.drop("part")
 
 
 def _merger(keys: list[str], eps: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _blocks(batches, None):
-            inv, first = _group_codes(t, keys)
-            g, node, n = compress(inv, t["node"].to_numpy(), t["n"].to_numpy(), eps)
-            yield from _table(keys, t, first, g, node, n)
+    """Whole groups of digests to one digest each."""
+
+    def flush(t: pa.Table) -> list[pa.RecordBatch]:
+        return _digested(t.select([*keys, "node", "n"]), keys, eps).to_batches(max_chunksize=50_000)
+
+    return whole_groups(flush, BLOCK_ROWS // 4, _shrinker(keys, eps))
+
+
+def _shrinker(keys: list[str], eps: float):
+    def shrink(t: pa.Table) -> pa.Table:
+        return _digested(t, keys, eps).select(t.column_names)
 
-    return run
+    return shrink
 
 
 def percentiles(
@@ -206,29 +235,30 @@ def percentiles(
     ceil(quantile * n) by at most rank_error = floor(eps * n) (0: exact but for the cell).
     """
     qs = [float(q) for q in qs]
+    names = keys
     if not all(0 <= q <= 1 for q in qs):
         raise ValueError("quantiles lie between 0 and 1")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _blocks(batches, None):
-            inv, first = _group_codes(t, keys)
-            g, node, n = compress(inv, t["node"].to_numpy(), t["n"].to_numpy(), 0.0)
-            order = np.argsort(g, kind="stable")
-            g, node, n = g[order], node[order], n[order]
-            at = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]))
-            rows, total, value, err = [], [], [], []
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                code, m = quantile_nodes(node[a:b], n[a:b], qs)
-                rows += [int(first[g[a]])] * len(qs)
-                total += [m] * len(qs)
-                value += decode(code).tolist()
-                err += [int(eps * m / BITS) * BITS] * len(qs)
-            cols = [t[k].combine_chunks().take(pa.array(rows, pa.int64())) for k in keys]
-            yield from pa.table(
-                [*cols, pa.array(total, pa.int64()), pa.array(qs * (len(at) - 1)), pa.array(value, pa.float64()), pa.array(err, pa.int64())],
-                names=[*keys, "n", "quantile", "value", "rank_error"],
-            ).to_batches()
-
-    schema = f"{_key_schema(digests, keys)}, n bigint, quantile double, value double, rank_error bigint"
-    d = _fan_in(digests.select(*keys, "node", "n"), keys, eps, fan_in)
-    return d.repartition(*keys).mapInArrow(run, schema)
+    def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        inv, first = _group_codes(t, keys)
+        g, node, n = compress(inv, t["node"].to_numpy(), t["n"].to_numpy(), 0.0)
+        order = np.argsort(g, kind="stable")
+        g, node, n = g[order], node[order], n[order]
+        at = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]))
+        rows, total, value, err = [], [], [], []
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            code, m = quantile_nodes(node[a:b], n[a:b], qs)
+            rows += [int(first[g[a]])] * len(qs)
+            total += [m] * len(qs)
+            value += decode(code).tolist()
+            err += [int(eps * m / BITS) * BITS] * len(qs)
+        cols = [t[k].combine_chunks().take(pa.array(rows, pa.int64())) for k in keys]
+        yield from pa.table(
+            [*cols, pa.array(total, pa.int64()), pa.array(qs * (len(at) - 1)), pa.array(value, pa.float64()), pa.array(err, pa.int64())],
+            names=[*keys, "n", "quantile", "value", "rank_error"],
+        ).to_batches()
+
+    keys, d = _fan_in(digests, names, eps, fan_in)
+    schema = f"{_key_schema(d, keys)}, n bigint, quantile double, value double, rank_error bigint"
+    out = _grouped(d, keys).mapInArrow(whole_groups(flush, BLOCK_ROWS // 4, _shrinker(keys, eps)), schema)
+    return out.select(*(F.col(k).alias(name) for k, name in zip(keys, names, strict=True)), "n", "quantile", "value", "rank_error")

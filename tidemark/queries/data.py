@@ -113,6 +113,20 @@ def p3_from_days(spark: SparkSession, d: str) -> DataFrame:
     return qdigest.percentiles(days, ["name", "delta"], QS, EPS)
 
 
+def p3_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Per group and quantile of p3_percentiles and p3_from_days: whether the exact rank of the value is within
+    the stated error (the value stands for a cell of relative width 2**-20)."""
+    v = _stat_values(spark, d).select("name", "delta", "value")
+    made = p3_percentiles(spark, d).withColumn("made", F.lit("tasks")).unionByName(p3_from_days(spark, d).withColumn("made", F.lit("days")))
+    q = F.struct("made", "quantile", "n", "rank_error", (F.col("value") - F.abs("value") * 2.0**-20).alias("lo"), (F.col("value") + F.abs("value") * 2.0**-20).alias("hi"))
+    per = made.groupBy("name", "delta").agg(F.collect_list(q).alias("qs"))
+    j = v.join(per, v["name"].eqNullSafe(per["name"]) & (v["delta"] == per["delta"])).select(v["name"], v["delta"], "value", F.explode("qs").alias("q"))
+    g = j.groupBy("name", "delta", "q").agg(F.count("*").alias("total"), F.count_if(F.col("value") < F.col("q.lo")).alias("below"), F.count_if(F.col("value") <= F.col("q.hi")).alias("upto"))
+    rank = F.greatest(F.ceil(F.col("q.quantile") * F.col("total") - 1e-9), F.lit(1))
+    ok = (F.col("total") == F.col("q.n")) & (F.col("below") - F.col("q.rank_error") <= rank) & (rank <= F.col("upto") + F.col("q.rank_error")) & (F.col("q.rank_error") <= EPS * F.col("total"))
+    return g.select("name", "delta", "q.made", "q.quantile", "total", ok.alias("within"))
+
+
 # ---- p4
 
 
@@ -177,7 +191,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_reasons(spark, d).select("source_table", "row_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_grid, p3_percentiles, p3_from_days, p4_found, p4_rolling, p5_found, p5_reasons)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_grid, p3_percentiles, p3_from_days, p3_ranks, p4_found, p4_rolling, p5_found, p5_reasons)}
 
 ORACLES = {
     "p1_found": _P1_ROWS + "select distinct child_table, child_id from r",
@@ -196,6 +210,9 @@ select id as ds_id, slot_ms, case when slot = slot_ms then n else 0 end as n,
        cast(printf('%.12e', case when slot = slot_ms then value end) as double) as value,
        cast(printf('%.12e', case when slot = slot_ms then value when next_ms - last_ms <= heartbeat_ms and slot_ms - last_ms <= heartbeat_ms then value end) as double) as filled,
        slot <> slot_ms and next_ms - last_ms > heartbeat_ms as missing from g""",
+    "p3_ranks": """with v as (select distinct stat_id, name, coalesce(delta, false) as delta, value, ts from stats where value is not null and not isnan(value) and not isinf(value)),
+g as (select name, delta, count(*) as total from v group by 1, 2)
+select name, delta, made, quantile, total, true as within from g, (values ('tasks'), ('days')) m(made), (values (0.5::double), (0.9), (0.95), (0.99)) q(quantile)""",
     "p4_found": _P4_DAYS + "select ds_id, strftime(day, '%Y-%m-%d') as calendar_day from g where n = 0",
     "p4_rolling": _P4_DAYS
     + """, w as (select ds_id, day, sum(n) over a as n_7, sum(n) over b as n_30, cast(printf('%.12e', sum(total) over a) as double) as s7, cast(printf('%.12e', sum(total) over b) as double) as s30
