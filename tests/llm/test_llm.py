@@ -194,3 +194,32 @@ def test_pack_many_kinds(spark):
     items = spark.createDataFrame([(1, 5), (2, 7)], "doc long, size long")
     out = packing.pack(items, "doc", "size", kinds)
     assert out.select("container").distinct().count() == 1_050 and out.count() == 2 * 1_050
+
+
+def test_pack_in_shards_holds_few_rows_and_fills_well(spark, monkeypatch):
+    """A task hands on some shards at a time, however many are in its partition."""
+    sizes = np.random.default_rng(1).lognormal(4, 1, 6_000).astype(int) + 1
+    items = spark.createDataFrame([(i, int(s)) for i, s in enumerate(sizes)], "doc long, size long")
+    kinds = spark.createDataFrame([("a", 500), ("a", 2000)], "container string, capacity long")
+    one = {(r.container, r.capacity): r for r in packing.packing_report(packing.pack(items, "doc", "size", kinds)).collect()}
+    out = packing.pack(items, "doc", "size", kinds, shard_items=1_000)
+    many = {(r.container, r.capacity): r for r in packing.packing_report(out).collect()}
+    assert out.selectExpr("bin >> 32 as shard").distinct().count() == 6 and one.keys() == many.keys() == {("a", 500), ("a", 2000)}
+    for k in one:
+        assert many[k].tokens == one[k].tokens == sizes.sum() and many[k].n_items == 6_000
+        assert one[k].fill > 0.99 and many[k].n_bins <= one[k].n_bins + 6 + 0.01 * one[k].n_bins
+
+
+def test_tokenizer_is_handed_to_executors(spark, tmp_path):
+    if not os.path.exists(tokens.RANKS):
+        pytest.skip("no vocabulary")
+    other = tmp_path / "other.tiktoken"
+    other.write_bytes(b"".join(open(tokens.RANKS, "rb").readlines()[:256]))
+    df = spark.createDataFrame([(1, "abc abc")], "id long, text string")
+    assert tokens.with_sizes(df, "id", "text", ranks=str(other)).first().n_tokens == 7
+    spark.conf.set("spark.tidemark.ranks", str(other))
+    try:
+        assert tokens.with_sizes(df, "id", "text").first().n_tokens == 7
+    finally:
+        spark.conf.unset("spark.tidemark.ranks")
+    assert tokens.with_sizes(df, "id", "text").first().n_tokens < 7

@@ -52,7 +52,8 @@ def mix(items: DataFrame, targets: DataFrame, budget: float | None = None, seed:
     1. Without a budget the largest one that the repetitions allow is used; with a greater one, sources
     that run out stay below their share. copy counts a document's uses from 1 and never exceeds
     max_repeats. Documents with a null id, or of a null or unlisted source, are left out; null sizes
-    count as 0; ids must be unique. Empty items or targets give no rows.
+    count as 0; ids must be unique. Empty items or targets give no rows. Targets are a parameter that the
+    driver holds: more than 10,000 sources raise a ValueError.
     """
     spark = items.sparkSession
     it = items.where(F.col("id").isNotNull()).select("id", "source", F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("bigint").alias("size"))

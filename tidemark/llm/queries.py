@@ -23,6 +23,24 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_report(_packed(spark, d))
 
 
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of a packing, counted per container: every document in all its pieces, no bin beyond its
+    capacity, no document split that fits, bins of full pieces alone."""
+    sizes = cut(tokens.with_sizes(table(spark, d, "documents"), "doc_id", "text"))
+    kinds = table(spark, d, "container_sizes").select("container", F.col("capacity_tokens").cast("bigint").alias("capacity"))
+    p = packing.pack(sizes, "doc_id", "n_tokens", kinds)
+    docs = p.groupBy("container", "capacity", "doc_id").agg(F.sum("size").alias("got"), F.count("*").alias("pieces"), F.countDistinct("piece").alias("numbers"), F.max("n_pieces").alias("n_pieces"))
+    docs = docs.join(sizes, "doc_id", "full")
+    wrong = (F.coalesce("got", F.lit(-1)) != F.col("n_tokens")) | (F.col("pieces") != F.col("n_pieces")) | (F.col("numbers") != F.col("pieces"))
+    split = (F.col("pieces") > 1) & (F.col("n_tokens") <= F.col("capacity"))
+    a = docs.groupBy("container").agg(F.count("*").alias("n_docs"), F.count_if(wrong).alias("n_wrong"), F.count_if(split).alias("n_split_small"))
+    bins = p.groupBy("container", "capacity", "bin").agg(F.sum("size").alias("used"))
+    b = bins.groupBy("container").agg(F.count_if(F.col("used") > F.col("capacity")).alias("n_overfull"), F.count("*").alias("bins"), F.sum("used").alias("used"), F.first("capacity").alias("capacity"))
+    # no more than 2 % of the room, and two bins, are left over
+    tight = (F.col("bins") - 2) * F.col("capacity") * 0.98 <= F.col("used")
+    return a.join(b, "container").select("container", "n_docs", "n_wrong", "n_split_small", "n_overfull", tight.alias("tight"))
+
+
 def _mixed(spark: SparkSession, d: str):
     sizes = cut(tokens.with_sizes(table(spark, d, "documents"), "doc_id", "text", "source"))
     items = sizes.select(F.col("doc_id").alias("id"), "source", F.col("n_tokens").alias("size"))
@@ -38,6 +56,20 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixing_report(*_mixed(spark, d))
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per target source with documents: whether it is short of its share of the budget by less than one
+    document, and no document is used too often or with gaps in its copies."""
+    sizes = cut(tokens.with_sizes(table(spark, d, "documents"), "doc_id", "text", "source"))
+    rows, info, b = mixing.mix(sizes.select(F.col("doc_id").alias("id"), "source", F.col("n_tokens").alias("size")), table(spark, d, "mix_targets"))
+    r = mixing.mixing_report(rows, info, b).where("tokens_there > 0").join(sizes.groupBy("source").agg(F.max("n_tokens").alias("largest")), "source")
+    short = F.col("target_share") * F.col("budget") - F.col("tokens")
+    copies = rows.groupBy("source", "id").agg(F.max("copy").alias("top"), F.countDistinct("copy").alias("kinds"), F.count("*").alias("n"))
+    copies = copies.groupBy("source").agg(F.max("top").alias("top"), F.count_if((F.col("n") != F.col("kinds")) | (F.col("top") != F.col("kinds"))).alias("odd"))
+    return r.join(copies, "source").select(
+        "source", "docs_there", ((short > -1e-6) & (short < F.col("largest"))).alias("on_target"), ((F.col("top") <= F.col("max_repeats")) & (F.col("odd") == 0)).alias("copies_ok")
+    )
+
+
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     return truncated.cut_texts(table(spark, d, "documents"), "doc_id", "text", "source")
 
@@ -50,7 +82,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return truncated.cut_report(_judged(spark, d), "source")
 
 
-QUERIES = {f.__name__: f for f in (p6_pack, p6_report, p7_mix, p7_report, p8_found, p8_report)}
+QUERIES = {f.__name__: f for f in (p6_pack, p6_report, p6_check, p7_mix, p7_report, p7_check, p8_found, p8_report)}
 
 
 # ---- p8 in SQL
@@ -108,6 +140,8 @@ r as (select fin.doc_id, fin.source, coalesce(j.cut, false) as cut, coalesce(j.c
 """
 )
 ORACLES: dict[str, str] = {
+    "p6_check": "select container, count(*) as n_docs, 0 as n_wrong, 0 as n_split_small, 0 as n_overfull, true as tight from documents, container_sizes group by 1",
+    "p7_check": "select source, count(*) as docs_there, true as on_target, true as copies_ok from documents join mix_targets using (source) where target_share > 0 group by 1",
     "p8_found": _CUT + "select doc_id from r where cut",
     "p8_report": _CUT + "select source, count(*) as n_texts, sum(cut::int)::bigint as n_cut, sum(pair::int)::bigint as n_by_pair, avg(cut::int) as share_cut from r group by 1",
 }
