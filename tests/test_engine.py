@@ -164,9 +164,20 @@ def test_heartbeat0_golden(spark):
     assert {k: v for k, v in got.items() if v} == {120: 80, 160: 100}
 
 
+def test_long_gaps_are_cut_to_what_is_kept(spark):
+    """Five years of ten-second slots, of which 100 are kept: the gap is not taken apart before."""
+    year = 31_536_000_000
+    p = spark.createDataFrame([("s", 0, 1.0), ("s", 5 * year, 2.0), ("s", 5 * year + 5_000, 3.0), ("s", 5 * year + 20_000, 4.0)], "name string, ms long, value double")
+    sp = SeriesSpec(10_000, 10 * year, (ArchiveSpec("WMEAN", 10_000, 100, 0.0), ArchiveSpec("LAST", 10_000, 3, 0.0), ArchiveSpec("MAX", 60_000, 5, 0.0)))
+    got = slots(con.consolidate(p, sp))
+    assert len(got) == 108 and got[("s", "WMEAN", 10_000, 5 * year)] == 2 and got[("s", "LAST", 10_000, 5 * year + 20_000)] == 4
+    assert con._credits(con.updates(p, sp), sp).count() < 300
+
+
 @pytest.mark.parametrize("gap", [3_000, 25_000, 90_000])
 @pytest.mark.parametrize("xff", [0.0, 0.5])
-def test_batch_equals_sequential(spark, gap, xff):
+def test_batch_equals_sequential(spark, gap, xff, monkeypatch):
+    monkeypatch.setattr(con, "BLOCK_STEPS", 1)  # many blocks a series
     rng = np.random.default_rng(gap)
     sp = SeriesSpec(10_000, 120_000, tuple(ArchiveSpec(cf, r, 10**6, xff) for cf in ("WMEAN", "MIN", "MAX", "LAST") for r in (10_000, 60_000)))
     pts, want = [], {}
@@ -239,11 +250,50 @@ def test_statsd(spark):
     c += [("append", "t", float(i), 5, i) for i in range(1, 11)] + [("add", "n", 5.0, 9_999, 0), ("add", "n", 5.0, 10_000, 0), (None, "x", 1.0, 1, 0), ("add", None, 1.0, 1, 0), ("add", "x", float("nan"), 1, 0)]
     a = statsd.aggregate(spark.createDataFrame(c, "cmd string, name string, value double, ms long, id long"))
     got = {(r.name, r.ms): r.value for r in a.collect()}
-    assert got[("g", 10_000)] == 12 and got[("h", 10_000)] == 4 and got[("n", 10_000)] == 0.5 and got[("n", 20_000)] == 0.5
+    assert got[("g", 10_000)] == 12 and got[("h", 10_000)] == 13 and got[("n", 10_000)] == 0.5 and got[("n", 20_000)] == 0.5
     assert [got[(f"t.{k}", 10_000)] for k in ("count", "lower", "upper", "sum", "mean", "sum_90", "mean_90", "upper_90")] == [10, 1, 10, 55, 5.5, 45, 5, 9]
     assert not any(k[0] == "x" for k in got)
 
 
+def random_commands(n, names):
+    rng = np.random.default_rng(n)
+    cmds = np.array(["add", "addgauge", "setgauge", "append"])
+    return [(str(cmds[k]), f"n{i}", float(v), int(ms), j) for j, (k, i, v, ms) in enumerate(zip(rng.integers(0, 4, n), rng.integers(0, names, n), rng.normal(0, 50, n).round(2), rng.integers(0, 60_000, n), strict=True))]
+
+
+@pytest.mark.parametrize("thresholds", [(90,), (5, 50), ()])
+def test_statsd_equals_one_by_one(spark, thresholds):
+    """Commands of all kinds under the same names, timers with ties and values of either sign."""
+    c = random_commands(600, 5) + [("append", "ties", float(v), 70_000, 1_000 + i) for i, v in enumerate([3, 3, 3, 0, -2, -2, 1e-9, 5e9])]
+    want = {}
+    for key in {(name, ms // 10_000) for _, name, _, ms, _ in c}:
+        one = [(ms, i, cmd, v) for cmd, name, v, ms, i in c if (name, ms // 10_000) == key]
+        want |= {(key[0] + tag, key[1] * 10_000 + 10_000): v for tag, v in pipeline.flush_window(one, 10_000, thresholds)}
+    got = {(r.name, r.ms): r.value for r in statsd.aggregate(spark.createDataFrame(c, "cmd string, name string, value double, ms long, id long"), 10_000, thresholds).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+    compat = {(r.name, r.ms): r.value for r in statsd.aggregate(spark.createDataFrame(c, "cmd string, name string, value double, ms long, id long"), 10_000, (50,), compat=True).collect()}
+    assert compat[("ties.sum", 80_000)] == 5e9 and compat[("ties.sum_50", 80_000)] == 1e-9 and compat[("ties.mean_50", 80_000)] == 1e-9 / 4
+
+
+def test_statsd_stream_equals_batch(spark, tmp_path):
+    """Over several triggers, with commands out of order within the delay and one that is too late."""
+    c = random_commands(400, 4)
+    schema = "cmd string, name string, value double, ms long, id long"
+    src = tmp_path / "in"
+    # file k holds the commands of 10 seconds, those of the last second of the file before among them
+    parts = [[x for x in c if (x[3] + 1000 * (x[4] % 2)) // 10_000 == k] for k in range(7)]
+    parts[4].append(("add", "late", 1.0, 5, 9_999))
+    parts.append([("add", "end", 1.0, 200_000, 10_000)])
+    for k, p in enumerate(parts):
+        spark.createDataFrame(p, schema).selectExpr("cmd", "name", "value", "timestamp_millis(ms) as ts", "id").coalesce(1).write.mode("append").parquet(str(src))
+    s = spark.readStream.schema("cmd string, name string, value double, ts timestamp, id long").option("maxFilesPerTrigger", 1).parquet(str(src))
+    q = pipeline.statsd_windows(s, 10_000, "1 seconds").writeStream.format("memory").queryName("windows").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.name, r.ms): r.value for r in spark.sql("select * from windows").collect()}
+    want = {(r.name, r.ms): r.value for r in statsd.aggregate(spark.createDataFrame(c, schema), 10_000).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+
+
 def test_graphite_and_pixel(spark):
     g = text.graphite_lines(spark.createDataFrame([("a b 1",), ("x/y  2.5   100",), ("n 1 -1",), ("short 1",), ("n nan 5",), (None,)], "value string"), now_ms=7)
     assert sorted((r.name, r.ms, r.value) for r in g.collect()) == [("n", 7, 1.0), ("x-y", 100_000, 2.5)]

@@ -8,13 +8,12 @@ Relational form of the sequential algorithm. Per series, in order of time:
 4. an update credits one and the same duration to every archive slot it touches;
 5. a slot ending by the last update is known if its credits reach xff; a mean credited unknown for a
    whole step starts the slot anew.
-All of it is projection, explode and grouping; only the lag over a series' points is a window.
+All of it is projection, explode and grouping. The lag over a series' points runs in blocks of its time
+axis, to which the end of the block before is handed by a window over blocks, so that no task holds a series.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +26,29 @@ def _up(c, step):
 
 
 def _floor(c, step):
-    return c - F.pmod(c, F.lit(step).cast("bigint"))
+    return c - F.pmod(c, step if hasattr(step, "cast") else F.lit(step).cast("bigint"))
+
+
+#: Length of a block of a series' time axis: in steps, and at least in milliseconds.
+BLOCK_STEPS, BLOCK_MS = 64, 60_000
+
+
+def _in_order(points: DataFrame, step_ms: int, then) -> DataFrame:
+    """clean_points() with t0, the time of the series' point before (null for the first), last_ms, the series'
+    last time, and seq, which numbers its points in order of time and `then` (with gaps)."""
+    p = clean_points(points).withColumn("block", F.floor(F.col("ms") / max(BLOCK_MS, BLOCK_STEPS * step_ms)).cast("bigint"))
+    w = Window.partitionBy("name")
+    ends = p.groupBy("name", "block").agg(F.max("ms").alias("end"))
+    edges = ends.select("name", "block", F.lag("end").over(w.orderBy("block")).alias("ms"), F.max("end").over(w).alias("last_ms"))
+    null = lambda kind: F.lit(None).cast(kind)
+    both = p.select("name", "block", "ms", "value", null("bigint").alias("last_ms"), F.lit(1).alias("real")).unionByName(
+        edges.select("name", "block", "ms", null("double").alias("value"), "last_ms", F.lit(0).alias("real"))
+    )
+    b = Window.partitionBy("name", "block").orderBy("real", "ms", then)
+    # the edge stands first in its block
+    both = both.withColumn("t0", F.lag("ms").over(b)).withColumn("last_ms", F.first("last_ms").over(b))
+    both = both.withColumn("seq", F.col("block") * (1 << 32) + F.row_number().over(b))
+    return both.where("real = 1").select("name", "ms", "value", "t0", "last_ms", "seq")
 
 
 def clean_points(points: DataFrame) -> DataFrame:
@@ -42,8 +63,7 @@ def intervals(points: DataFrame, heartbeat_ms: int) -> DataFrame:
     """(name, t0, t1, v, last_ms): v is null where the points are more than a heartbeat apart, last_ms is
     the series' last time. Of points with one time the greatest value stands first and the others cover
     nothing."""
-    w = Window.partitionBy("name").orderBy("ms", F.desc("value"))
-    p = clean_points(points).withColumn("t0", F.lag("ms").over(w)).withColumn("last_ms", F.max("ms").over(Window.partitionBy("name")))
+    p = _in_order(points, max(1, heartbeat_ms // BLOCK_STEPS), F.desc("value"))
     v = F.when(F.col("ms") - F.col("t0") <= heartbeat_ms, F.col("value")).alias("v")
     return p.where("t0 is not null and ms > t0").select("name", "t0", F.col("ms").alias("t1"), v, "last_ms")
 
@@ -83,24 +103,26 @@ def _owned_updates(points: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Heartbeat 0: a value owns the whole step it falls into, skipped steps are unknown. seq numbers the
     updates in order of arrival."""
     s = spec.step_ms
-    w = Window.partitionBy("name").orderBy("ms", "value")
-    p = clean_points(points).withColumn("e", _floor(F.col("ms"), s) + s).withColumn("prev", F.lag("e").over(w)).withColumn("k", F.row_number().over(w))
-    p = p.withColumn("last_e", F.max("e").over(Window.partitionBy("name")))
-    own = p.select("name", "last_e", (F.col("e") - s).alias("b"), "e", F.col("value").alias("v"), F.lit(s).cast("bigint").alias("dur"), (2 * F.col("k")).alias("seq"))
+    p = _in_order(points, s, F.asc("value")).withColumn("e", _floor(F.col("ms"), s) + s).withColumn("prev", _floor(F.col("t0"), s) + s)
+    p = p.withColumn("last_e", _floor(F.col("last_ms"), s) + s)
+    own = p.select("name", "last_e", (F.col("e") - s).alias("b"), "e", F.col("value").alias("v"), F.lit(s).cast("bigint").alias("dur"), (2 * F.col("seq")).alias("seq"))
     gap = p.where(F.col("e") - s > F.col("prev")).select(
-        "name", "last_e", F.col("prev").alias("b"), (F.col("e") - s).alias("e"), F.lit(None).cast("double").alias("v"), F.lit(None).cast("bigint").alias("dur"), (2 * F.col("k") - 1).alias("seq")
+        "name", "last_e", F.col("prev").alias("b"), (F.col("e") - s).alias("e"), F.lit(None).cast("double").alias("v"), F.lit(None).cast("bigint").alias("dur"), (2 * F.col("seq") - 1).alias("seq")
     )
     return own.unionByName(gap)
 
 
-def _credits(u: DataFrame, step: int, archive_step: int) -> DataFrame:
-    """One row per update and archive slot it touches."""
-    span = F.col("e") - F.col("b")
-    run = F.when((span > step) & (F.lit(archive_step) >= span), span).otherwise(F.lit(step))
-    first = _floor(F.col("b"), archive_step) + archive_step
-    return u.select(
-        "name", "last_e", "e", "v", "seq", F.coalesce("dur", run).alias("d"), F.explode(F.sequence(first, _up(F.col("e"), archive_step), F.lit(archive_step).cast("bigint"))).alias("slot")
-    )
+def _credits(u: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """One row per update, archive step r and slot of it that the update touches, of the slots that have ended
+    and are kept: a long gap is cut to what the archive holds before it is taken apart."""
+    sizes = {a.step_ms: max(x.size for x in spec.archives if x.step_ms == a.step_ms) for a in spec.archives}
+    steps = F.array(*(F.struct(F.lit(r).cast("bigint").alias("r"), F.lit(n).cast("bigint").alias("size")) for r, n in sizes.items()))
+    r, span, last = F.col("r"), F.col("e") - F.col("b"), F.col("last_e")
+    u = u.withColumn("a", F.explode(steps)).select("name", "last_e", "b", "e", "v", "seq", "dur", "a.*")
+    run = F.when((span > spec.step_ms) & (r >= span), span).otherwise(F.lit(spec.step_ms))
+    first = F.greatest(_floor(F.col("b"), r) + r, _floor(last, r) - (F.col("size") - 1) * r)
+    end = F.least(-_floor(-F.col("e"), r), _floor(last, r))
+    return u.select("name", "last_e", "e", "v", "seq", "r", F.coalesce("dur", run).alias("d"), F.explode(F.when(first <= end, F.sequence(first, end, r))).alias("slot"))
 
 
 def consolidate(points: DataFrame, spec: SeriesSpec) -> DataFrame:
@@ -110,48 +132,42 @@ def consolidate(points: DataFrame, spec: SeriesSpec) -> DataFrame:
     happened in it, else 0. Only the last `size` slots of each archive and series are kept. The first
     point of a series opens it and gives no value; late points are sorted in. Null, NaN and infinite
     values, null names and times are ignored. Empty input gives an empty result.
+
+    All archives come from one grouping of the credits by series, step and slot.
     """
     sound_unions(points.sparkSession)
-    u = updates(points, spec)
-    shared: dict[int, DataFrame] = {}
-    out = []
-    for a in spec.archives:
-        c = shared.setdefault(a.step_ms, _credits(u, spec.step_ms, a.step_ms))
-        out.append(_slots(c, a, spec.heartbeat_ms == 0))
-    return reduce(DataFrame.unionByName, out)
-
-
-def _slots(c: DataFrame, a, owned: bool) -> DataFrame:
-    r, known = a.step_ms, F.col("v").isNotNull()
-    # retention: the newest `size` slots that have ended
-    c = c.where((F.col("slot") <= F.col("last_e")) & (F.col("slot") > _floor(F.col("last_e"), r) - a.size * r))
-    if owned:
+    c = _credits(updates(points, spec), spec)
+    slot = Window.partitionBy("name", "r", "slot")
+    known = F.col("v").isNotNull()
+    if spec.heartbeat_ms == 0:
         # a slot is closed by every update that reaches its end; only what came after the last but one
         # closing, up to the last, decides
-        w = Window.partitionBy("name", "slot").orderBy("seq")
-        closes = (F.col("e") >= F.col("slot")).cast("int")
-        c = c.withColumn("close", closes).withColumn("k", F.sum("close").over(w) - F.col("close"))
-        c = c.withColumn("n", F.max(F.col("k") + F.col("close")).over(Window.partitionBy("name", "slot"))).where("n > 0 and k = n - 1")
-    if a.cf == "WMEAN":
-        reset = F.when(~known & (F.col("d") == r), F.col("seq"))
-        c = c.withColumn("reset", F.max(reset).over(Window.partitionBy("name", "slot")))
-        live = known & (F.col("reset").isNull() | (F.col("seq") > F.col("reset")))
+        c = c.withColumn("close", (F.col("e") >= F.col("slot")).cast("int")).withColumn("k", F.sum("close").over(slot.orderBy("seq")) - F.col("close"))
+        c = c.withColumn("n", F.max(F.col("k") + F.col("close")).over(slot)).where("n > 0 and k = n - 1")
+    if any(a.cf == "WMEAN" for a in spec.archives):
+        c = c.withColumn("reset", F.max(F.when(~known & (F.col("d") == F.col("r")), F.col("seq"))).over(slot))
     else:
         c = c.withColumn("reset", F.lit(None).cast("bigint"))
-        live = known
-    x = F.when(live, F.col("v"))
-    value = {
-        "WMEAN": F.try_divide(F.sum(x * F.col("d")), F.sum(F.when(live, F.col("d")))),
-        "MAX": F.max(x),
-        "MIN": F.min(x),
-        "LAST": F.max_by(x, F.when(live, F.col("seq"))),
-    }[a.cf]
-    g = c.groupBy("name", "slot").agg(
-        F.coalesce(F.sum(F.when(live, F.col("d"))), F.lit(0)).alias("dur"), value.alias("x"), F.max("reset").isNotNull().alias("was_reset")
-    )
-    nothing = F.col("dur") == 0
-    v = F.when(F.col("dur") / r < a.xff, None).when(nothing, F.when(F.col("was_reset") | F.lit(a.xff > 0), None).otherwise(0.0)).otherwise(F.col("x"))
-    return g.select("name", F.lit(a.cf).alias("cf"), F.lit(r).cast("bigint").alias("step_ms"), F.col("slot").alias("t"), v.alias("v"))
+    live = known & (F.col("reset").isNull() | (F.col("seq") > F.col("reset")))
+    mean_dur = F.sum(F.when(live, F.col("d")))
+    x = F.when(known, F.col("v"))
+    g = c.groupBy("name", "r", "slot").agg(
+        F.max("last_e").alias("last_e"),
+        F.coalesce(mean_dur, F.lit(0)).alias("mean_dur"),
+        F.coalesce(F.sum(F.when(known, F.col("d"))), F.lit(0)).alias("dur"),
+        F.try_divide(F.sum(F.when(live, F.col("v") * F.col("d"))), mean_dur).alias("WMEAN"),
+        F.max(x).alias("MAX"), F.min(x).alias("MIN"), F.max_by(x, F.when(known, F.col("seq"))).alias("LAST"),
+        F.max("reset").isNotNull().alias("was_reset"),
+    )
+    kept = F.array(*(F.struct(F.lit(a.cf).alias("cf"), F.lit(a.step_ms).cast("bigint").alias("of"), F.lit(a.size).cast("bigint").alias("size"), F.lit(float(a.xff)).alias("xff")) for a in spec.archives))
+    g = g.withColumn("a", F.explode(F.filter(kept, lambda a: a["of"] == F.col("r")))).select("*", "a.*")
+    g = g.where(F.col("slot") > _floor(F.col("last_e"), F.col("r")) - F.col("size") * F.col("r"))
+    mean = F.col("cf") == "WMEAN"
+    dur = F.when(mean, F.col("mean_dur")).otherwise(F.col("dur"))
+    value = F.when(mean, F.col("WMEAN")).when(F.col("cf") == "MAX", F.col("MAX")).when(F.col("cf") == "MIN", F.col("MIN")).otherwise(F.col("LAST"))
+    nothing = F.when((mean & F.col("was_reset")) | (F.col("xff") > 0), None).otherwise(0.0)
+    v = F.when(dur / F.col("r") < F.col("xff"), None).when(dur == 0, nothing).otherwise(value)
+    return g.select("name", "cf", F.col("r").alias("step_ms"), F.col("slot").alias("t"), v.alias("v"))
 
 
 def weighted_mean(df: DataFrame, keys: list[str], value: str, duration: str) -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import finite, sound_unions
 
 #: Thresholds of timers, in percent.
 THRESHOLDS = (90,)
+#: What a first command makes of its name in a window: counter, gauge or timer.
+KINDS = {"add": "c", "addgauge": "g", "setgauge": "g", "append": "t"}
 
 
 def flush_end(ms, window_ms: int):
@@ -21,46 +23,64 @@ def flush_end(ms, window_ms: int):
 def aggregate(commands: DataFrame, window_ms: int = 10_000, thresholds: tuple[int, ...] = THRESHOLDS, compat: bool = False) -> DataFrame:
     """(name, ms, value) at each window's end.
 
-    commands: (cmd add | addgauge | setgauge | append, name, value, ms, id); id breaks ties in time. In a
-    window the kind of a name is that of its first command; commands of other kinds are ignored.
-    Counters give the sum per second; gauges their last set value plus the additions after it (all of
-    them without a set); timers .count .lower .upper .sum .mean and, per threshold, .sum_N .mean_N
-    .upper_N of the values up to it. compat gives the timers' sums without cumulation. Null names and
-    values that are not finite are ignored; nothing in gives nothing out.
+    commands: (cmd add | addgauge | setgauge | append, name, value, ms, id); id breaks ties in time. The kind of
+    a name in a window is that of its first command; commands of other kinds act on the value it has. That
+    is the last value set plus what was added after it (all additions if none was set): a gauge gives it as
+    it is, a counter per second. A timer gives .count .lower .upper .sum .mean and, per threshold, .sum_N .mean_N
+    .upper_N of the values appended up to it, and takes nothing else; nothing can be appended to the others.
+    compat gives the timers' sums without cumulation. Unknown commands, null names and values that are not
+    finite are ignored; nothing in gives nothing out.
     """
     sound_unions(commands.sparkSession)
     c = commands.where(finite("value") & F.col("name").isNotNull() & F.col("ms").isNotNull())
-    kind = F.when(F.col("cmd") == "add", "c").when(F.col("cmd") == "append", "t").when(F.col("cmd").isin("addgauge", "setgauge"), "g")
+    kind = reduce(lambda w, k: w.when(F.col("cmd") == k, KINDS[k]), KINDS, F.when(F.lit(False), ""))
     c = c.select("name", "cmd", "value", kind.alias("kind"), F.struct("ms", "id").alias("at"), flush_end(F.col("ms"), window_ms).alias("end")).where("kind is not null")
-    g = c.groupBy("name", "end", "kind").agg(
-        F.min("at").alias("first"),
-        F.sum("value").alias("total"),
-        F.max(F.when(F.col("cmd") == "setgauge", F.col("at"))).alias("set_at"),
-        F.max_by(F.when(F.col("cmd") == "setgauge", F.col("value")), F.when(F.col("cmd") == "setgauge", F.col("at"))).alias("set_to"),
+    is_set, append = F.col("cmd") == "setgauge", F.col("cmd") == "append"
+    g = c.groupBy("name", "end").agg(
+        F.min_by("kind", "at").alias("kind"),
+        F.sum(F.when(~is_set & ~append, F.col("value"))).alias("added"),
+        F.max(F.when(is_set, F.col("at"))).alias("set_at"),
+        F.max_by(F.when(is_set, F.col("value")), F.when(is_set, F.col("at"))).alias("set_to"),
     )
-    chosen = g.groupBy("name", "end").agg(F.min_by(F.struct("kind", "total", "set_at", "set_to"), "first").alias("k")).select("name", "end", "k.*")
-    counters = chosen.where("kind = 'c'").select("name", F.col("end").alias("ms"), (F.col("total") / (window_ms / 1000)).alias("value"))
-    gauges = (
-        c.where("cmd = 'addgauge'").join(chosen.where("kind = 'g'"), ["name", "end", "kind"], "right")
-        .groupBy("name", "end")
-        .agg(F.max("set_to").alias("set_to"), F.sum(F.when(F.col("set_at").isNull() | (F.col("at") > F.col("set_at")), F.col("value"))).alias("added"))
-        .select("name", F.col("end").alias("ms"), (F.coalesce("set_to", F.lit(0.0)) + F.coalesce("added", F.lit(0.0))).alias("value"))
-    )
-    timers = _timers(c.where("cmd = 'append'").join(chosen.where("kind = 't'").select("name", "end"), ["name", "end"], "left_semi"), thresholds, compat)
-    return reduce(DataFrame.unionByName, [counters, gauges, timers])
+    # what was added after the last value set, where one was
+    known = g.where("kind <> 't' and set_at is not null").select("name", "end", "set_at")
+    later = c.where(~is_set & ~append).join(known, ["name", "end"]).where(F.col("at") > F.col("set_at")).groupBy("name", "end").agg(F.sum("value").alias("later"))
+    v = g.where("kind <> 't'").join(later, ["name", "end"], "left")
+    value = F.when(F.col("set_at").isNull(), F.coalesce("added", F.lit(0.0))).otherwise(F.col("set_to") + F.coalesce("later", F.lit(0.0)))
+    values = v.select("name", F.col("end").alias("ms"), F.when(F.col("kind") == "c", value / (window_ms / 1000)).otherwise(value).alias("value"))
+    others = g.where("kind <> 't'").select("name", "end")
+    return values.unionByName(_timers(c.where(append).join(others, ["name", "end"], "left_anti"), thresholds, compat))
 
 
 def _timers(c: DataFrame, thresholds: tuple[int, ...], compat: bool) -> DataFrame:
-    g = c.groupBy("name", "end").agg(F.array_sort(F.collect_list("value")).alias("s"))
-    n = F.size("s")
-    fold = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    total = F.element_at("s", -1) if compat else fold(F.col("s"))
-    rows = [(".count", n.cast("double")), (".lower", F.element_at("s", 1)), (".upper", F.element_at("s", -1)), (".sum", total), (".mean", total / n)]
-    for t in thresholds:
-        k = F.greatest(F.round(F.lit(t / 100) * n, 0).cast("int"), F.lit(1))
-        part = F.element_at("s", k) if compat else fold(F.slice("s", F.lit(1), k))
-        rows += [(f".sum_{t}", part), (f".mean_{t}", part / k), (f".upper_{t}", F.element_at("s", k))]
-    m = F.explode(F.array(*(F.struct(F.lit(a).alias("tag"), b.alias("value")) for a, b in rows)))
+    """Equal values are counted together; the k smallest of a window are found by its buckets of values about
+    a hundredth apart first and then in one bucket, so that no task sorts all values of a hot timer."""
+    size = F.floor(F.log(2.0, F.abs("value")) * 64).cast("bigint") + 100_000
+    bucket = F.when(F.col("value") == 0, 0).otherwise(F.signum("value").cast("bigint") * size)
+    v = c.groupBy("name", "end", bucket.alias("bucket"), (F.col("value") + 0.0).alias("value")).agg(F.count("*").alias("n"))
+    b = v.groupBy("name", "end", "bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("value")).alias("total"), F.min("value").alias("lower"), F.max("value").alias("upper"))
+    whole = Window.partitionBy("name", "end")
+    before = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    b = b.withColumn("count", F.sum("n").over(whole)).withColumn("n_before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("before", F.coalesce(F.sum("total").over(before), F.lit(0.0)))
+    g = b.groupBy("name", "end").agg(F.max("count").alias("n"), F.min("lower").alias("lower"), F.max("upper").alias("upper"), F.sum("total").alias("sum"))
+    total = F.col("upper") if compat else F.col("sum")
+    rows = _rows(g, [(".count", F.col("n").cast("double")), (".lower", F.col("lower")), (".upper", F.col("upper")), (".sum", total), (".mean", total / F.col("n"))])
+    if not thresholds:
+        return rows
+    ks = F.array(*(F.struct(F.lit(t).alias("t"), F.greatest(F.round(F.lit(t / 100) * F.col("count"), 0).cast("bigint"), F.lit(1)).alias("k")) for t in thresholds))
+    hit = b.withColumn("x", F.explode(ks)).select("name", "end", "bucket", "n_before", "before", "n", "x.*").where((F.col("n_before") < F.col("k")) & (F.col("k") <= F.col("n_before") + F.col("n")))
+    i = v.join(hit.drop("n"), ["name", "end", "bucket"])
+    w = Window.partitionBy("name", "end", "t").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    i = i.withColumn("a", F.col("n_before") + F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("s", F.col("before") + F.coalesce(F.sum(F.col("n") * F.col("value")).over(w), F.lit(0.0)))
+    i = i.where((F.col("a") < F.col("k")) & (F.col("k") <= F.col("a") + F.col("n")))
+    part = F.col("value") if compat else F.col("s") + (F.col("k") - F.col("a")) * F.col("value")
+    tag = F.lpad(F.col("t").cast("string"), 2, "0")
+    at = _rows(i, [(F.concat(F.lit(".sum_"), tag), part), (F.concat(F.lit(".mean_"), tag), part / F.col("k")), (F.concat(F.lit(".upper_"), tag), F.col("value"))])
+    return rows.unionByName(at)
+
+
+def _rows(g: DataFrame, named: list) -> DataFrame:
+    m = F.explode(F.array(*(F.struct((F.lit(a) if isinstance(a, str) else a).alias("tag"), b.alias("value")) for a, b in named)))
     return g.select("name", F.col("end").alias("ms"), m.alias("m")).select(F.concat("name", "m.tag").alias("name"), "ms", "m.value")
 
 
@@ -74,8 +94,6 @@ def paced_sums(commands: DataFrame, every_ms: int = 1000) -> DataFrame:
 def paced_gauges(readings: DataFrame, every_ms: int = 1000) -> DataFrame:
     """Time-weighted mean of a gauge per name and period: a value holds until the next reading of the
     period or its end."""
-    from pyspark.sql import Window
-
     end = flush_end(F.col("ms"), every_ms)
     r = readings.where(finite("value")).withColumn("end", end)
     w = Window.partitionBy("name", "end").orderBy("ms")

@@ -235,29 +235,46 @@ def paced_gauge(spark: SparkSession, d: str) -> DataFrame:
     return g.select("name", F.col("ms").alias("t_ms"), F.round("value", 9).alias("value"))
 
 
+def statsd_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Commands of all kinds under the same names: the first of a window says what it is, the others act on its value."""
+    c = _commands(spark, d).withColumn("name", F.regexp_replace("name", r"\.[ctg]$", ""))
+    return statsd.aggregate(c, HOUR).select("name", F.col("ms").alias("t_ms"), F.round("value", 9).alias("value"))
+
+
 def statsd_table(spark: SparkSession, d: str) -> DataFrame:
-    """The parsed packets of stats in windows of six hours: rows per kind of measure."""
+    """The parsed packets of stats in windows of six hours; values to 12 digits."""
     s = table(spark, d, "stats").distinct().where("name is not null and name <> ''")
     c = text.statsd_commands(s).select("cmd", "name", "value", F.unix_millis("ts").alias("ms"), F.col("stat_id").alias("id"))
-    a = statsd.aggregate(c, 6 * HOUR)
-    return a.groupBy("ms").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names")).withColumnRenamed("ms", "t_ms")
-
-
-_CMD_SQL = """with c as (select ['add', 'append', 'addgauge', 'setgauge'][event_id % 4 + 1] as cmd,
-  'events.' || event_type || '.u' || (user_id % 3) || '.' || ['c', 't', 'g', 'g'][event_id % 4 + 1] as name, value, epoch_us(ts) // 1000 as ms, event_id as id,
-  epoch_us(ts) // 21600000000 * 21600000 + 21600000 as t_ms from events)"""
-_COUNTERS = "select name, t_ms, round(sum(value) / 21600, 9) as value from c where cmd = 'add' group by 1, 2"
-_STATSD_SQL = (
-    _CMD_SQL
-    + """, t as (select name, t_ms, list_sort(list(value)) as s from c where cmd = 'append' group by 1, 2),
-t2 as (select *, len(s) as n, greatest(round(0.9 * len(s))::int, 1) as k from t),
-gs as (select name, t_ms, max((ms, id)) filter (where cmd = 'setgauge') as at, arg_max(value, (ms, id)) filter (where cmd = 'setgauge') as v from c where cmd in ('addgauge', 'setgauge') group by 1, 2) """
-    + _COUNTERS
-    + """ union all select gs.name, gs.t_ms, round(coalesce(any_value(gs.v), 0) + coalesce(sum(c.value) filter (where c.cmd = 'addgauge' and (gs.at is null or (c.ms, c.id) > gs.at)), 0) , 9)
-  from gs join c using (name, t_ms) group by 1, 2
-union all select name || x.tag, t_ms, round(x.v, 9) from (select name, t_ms, unnest([{'tag': '.count', 'v': n::double}, {'tag': '.lower', 'v': s[1]}, {'tag': '.upper', 'v': s[n]},
-  {'tag': '.sum', 'v': list_sum(s)}, {'tag': '.mean', 'v': list_sum(s) / n}, {'tag': '.sum_90', 'v': list_sum(s[1:k])}, {'tag': '.mean_90', 'v': list_sum(s[1:k]) / k}, {'tag': '.upper_90', 'v': s[k]}]) as x from t2)"""
-)
+    a = statsd.aggregate(c, 6 * HOUR, (50, 90))
+    return a.select("name", F.col("ms").alias("t_ms"), F.format_string("%.11e", "value").cast("double").alias("value"))
+
+
+def _statsd_sql(commands: str, window_ms: int, value: str = "round({}, 9)", thresholds: tuple[int, ...] = (90,)) -> str:
+    """commands: SQL of (cmd, name, value, ms, id)."""
+    after = "c.cmd in ('add', 'addgauge') and (set_at is null or (c.ms, c.id) > set_at)"
+    tags = "".join(
+        f", {{'tag': '.sum_{t}', 'v': list_sum(s[1:k{t}])}}, {{'tag': '.mean_{t}', 'v': list_sum(s[1:k{t}]) / k{t}}}, {{'tag': '.upper_{t}', 'v': s[k{t}]}}" for t in thresholds
+    )
+    ks = "".join(f", greatest(round({t / 100} * len(s))::int, 1) as k{t}" for t in thresholds)
+    return f"""with c as (select *, ms // {window_ms} * {window_ms} + {window_ms} as t_ms from ({commands})),
+k as (select name, t_ms, arg_min(cmd, (ms, id)) as kind, max((ms, id)) filter (where cmd = 'setgauge') as set_at, arg_max(value, (ms, id)) filter (where cmd = 'setgauge') as set_to from c group by 1, 2),
+v as (select k.name, k.t_ms, kind, coalesce(any_value(set_to), 0) + coalesce(sum(c.value) filter (where {after}), 0) as v from k join c using (name, t_ms) where kind <> 'append' group by 1, 2, 3),
+t as (select c.name, c.t_ms, list_sort(list(c.value)) as s from c join k using (name, t_ms) where kind = 'append' and c.cmd = 'append' group by 1, 2),
+t2 as (select *, len(s) as n{ks} from t)
+select name, t_ms, {value.format(f"case kind when 'add' then v / {window_ms / 1000} else v end")} as value from v
+union all select name || x.tag, t_ms, {value.format("x.v")} from (select name, t_ms, unnest([{{'tag': '.count', 'v': n::double}}, {{'tag': '.lower', 'v': s[1]}}, {{'tag': '.upper', 'v': s[n]}},
+  {{'tag': '.sum', 'v': list_sum(s)}}, {{'tag': '.mean', 'v': list_sum(s) / n}}{tags}]) as x from t2)"""
+
+
+def _commands_sql(suffix: str) -> str:
+    return f"""select ['add', 'append', 'addgauge', 'setgauge'][event_id % 4 + 1] as cmd, 'events.' || event_type || '.u' || (user_id % 3){suffix} as name,
+  value, epoch_us(ts) // 1000 as ms, event_id as id from events"""
+
+
+_KIND_SQL = " || '.' || ['c', 't', 'g', 'g'][event_id % 4 + 1]"
+_STATS_SQL = """select case metric when 'c' then 'add' when 'ms' then 'append' else case when delta then 'addgauge' else 'setgauge' end end as cmd, name,
+  case when metric = 'c' and sample > 0 then value / sample else value end as value, epoch_ms(ts) as ms, stat_id as id
+  from (select distinct * from stats where name <> '' and ts is not null) where value is not null and not isnan(value) and not isinf(value)"""
 
 
 # ---- answers
@@ -306,7 +323,7 @@ QUERIES = {k: partial(consolidated, name=k) for k in SPECS} | {
     f.__name__: f
     for f in (
         parse_graphite, parse_statsd, parse_pixel, sanitize_names, scan_gap_filled, scan_regrouped, scan_max_points, scan_range, glob_lookup, find_nodes, ident_search,
-        ident_canonical, load_sources, load_archives, tv_debug, new_series, rule_match, best_archive, pdp_weighted_mean, statsd_windows, statsd_paced,
+        ident_canonical, load_sources, load_archives, tv_debug, new_series, rule_match, best_archive, pdp_weighted_mean, statsd_windows, statsd_mixed, statsd_paced,
         paced_gauge, statsd_table, render_answer, render_request, events_answer, synthetic_load, stored_archive,
     )
 }
@@ -342,8 +359,10 @@ select ds_id, slots, count(*) as n from v group by 1, 2""",
     "best_archive": "select * from (values (9500000::bigint, 9600000::bigint, 10, 10000::bigint), (9500000, 9600000, 3, 20000), (8500000, 8600000, 10, 20000), (5500000, 5600000, 0, 20000), (10100000, 10200000, 0, 10000)) x(from_ms, to_ms, points, step_ms)",
     "pdp_weighted_mean": f"""with p as ({_POINTS_SQL}), q as (select *, lead(ms) over (partition by name order by ms) - ms as d, ((ms - 1) // {DAY} + 1) * {DAY} as day from p)
 select name, day, round(sum(value * d) filter (where d > 0) / nullif(sum(d) filter (where d > 0), 0), 9) as v, coalesce(sum(d) filter (where d > 0), 0)::bigint as dur from q group by 1, 2""",
-    "statsd_windows": _STATSD_SQL,
-    "statsd_paced": _CMD_SQL + _COUNTERS,
+    "statsd_windows": _statsd_sql(_commands_sql(_KIND_SQL), 6 * HOUR),
+    "statsd_mixed": _statsd_sql(_commands_sql(""), HOUR),
+    "statsd_table": _statsd_sql(_STATS_SQL, 6 * HOUR, "cast(printf('%.11e', {}) as double)", (50, 90)),
+    "statsd_paced": "select * from (" + _statsd_sql(_commands_sql(_KIND_SQL), 6 * HOUR) + ") where name like '%.c'",
     "paced_gauge": f"""with p as ({_POINTS_SQL}), q as (select *, ms // {DAY} * {DAY} + {DAY} as t_ms from p),
 z as (select *, coalesce(lead(ms) over (partition by name, t_ms order by ms), t_ms) - ms as d from q)
 select name, t_ms, round(sum(value * d) / nullif(sum(d), 0), 9) as value from z group by 1, 2""",

@@ -16,7 +16,7 @@ from ..plans.spec import DEFAULT, ArchiveSpec, SeriesSpec
 from ..session import DAY_MS, checkpoint_dir, cut, slot_end, table
 from ..sources import binary
 from ..streaming import pipeline
-from .ingest import SHIFT, SPECS, _consolidate_sql
+from .ingest import _KIND_SQL, SHIFT, SPECS, _commands, _commands_sql, _consolidate_sql, _statsd_sql
 from .language import HOUR, _frame_sql, event_points
 
 # ---- binary formats: small files with known contents
@@ -90,6 +90,26 @@ def stream_counters(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("name string, ms bigint, value double").parquet(out).select("name", F.col("ms").alias("t_ms"), F.round("value", 9).alias("value"))
 
 
+def _stream_statsd(spark: SparkSession, d: str, cmds: tuple[str, ...]) -> DataFrame:
+    src, out, cp = (_folder(spark, x) for x in ("commands", "windows", "state"))
+    c = _commands(spark, d).where(F.col("cmd").isin(*cmds)).withColumn("ts", F.timestamp_millis("ms")).drop("ms")
+    c.repartitionByRange(3, "ts").write.parquet(src)
+    s = spark.readStream.schema("cmd string, name string, value double, id bigint, ts timestamp").parquet(src)
+    q = pipeline.statsd_windows(s, 6 * HOUR).writeStream.format("parquet").option("path", out).option("checkpointLocation", cp)
+    q.trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    return spark.read.schema("name string, ms bigint, value double").parquet(out).select("name", F.col("ms").alias("t_ms"), F.round("value", 9).alias("value"))
+
+
+def stream_gauges(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of gauge commands; the last window stays open."""
+    return _stream_statsd(spark, d, ("addgauge", "setgauge"))
+
+
+def stream_timers(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of timer commands; the last window stays open."""
+    return _stream_statsd(spark, d, ("append",))
+
+
 def merged_archive(spark: SparkSession, d: str) -> DataFrame:
     """Slots written twice: the second writing of a slot wins, other partitions stay."""
     at = _folder(spark, "archive")
@@ -141,7 +161,7 @@ def create_archives(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        whisper_points, whisper_merge, whisper_fresh, whisper_replay, pickle_points, stream_consolidate, stream_counters, merged_archive, align_lcm,
+        whisper_points, whisper_merge, whisper_fresh, whisper_replay, pickle_points, stream_consolidate, stream_counters, stream_gauges, stream_timers, merged_archive, align_lcm,
         pdp_extremes, heartbeat_intervals, delete_series, create_archives,
     )
 }
@@ -150,6 +170,15 @@ _WSP = """with p as (select 'a.b' as name, 0 as archive, 10000::bigint as step_m
 union all select 'a.b', 1, 60000, (999000 + 60 * i) * 1000::bigint, 100.0 + i from range(30) t(i) union all select 'a.old', 0, 60000, 500000000, 1.0)"""
 _P = "with p as (select 'events.' || event_type || '.u' || (user_id % 3) as name, epoch_us(ts) // 1000 as ms, value from events)"
 
+
+
+def _closed(kind: str) -> str:
+    """Windows of the batch form that the latest command of the stream has closed."""
+    cmds = {"g": "cmd in ('addgauge', 'setgauge')", "t": "cmd = 'append'"}[kind]
+    c = f"select * from ({_commands_sql(_KIND_SQL)}) where {cmds}"
+    return f"select * from ({_statsd_sql(c, 6 * HOUR)}) where t_ms <= (select max(ms) from ({c}))"
+
+
 ORACLES = {
     "whisper_points": _WSP + " select * from p",
     "whisper_merge": _WSP + " select name, ms + step_ms as ms, value from p where archive = 0 or ms < 1000000000",
@@ -157,6 +186,8 @@ ORACLES = {
     "pickle_points": "select * from (values ('x.y', 100000::bigint, 1.5::double), ('x.z', 200000, 3.0)) t(name, ms, value)",
     "stream_consolidate": "select * from (" + _consolidate_sql(STREAM) + ") where v is not null and step_ms > 0",
     "stream_counters": _P + f", c as (select name, ms // {DAY_MS} * {DAY_MS} + {DAY_MS} as t_ms, sum(value) as s from p group by 1, 2) select name, t_ms, round(s / 86400, 9) as value from c where t_ms <= (select max(ms) from p)",
+    "stream_gauges": _closed("g"),
+    "stream_timers": _closed("t"),
     "merged_archive": "with s as (" + _consolidate_sql(STREAM) + ") select cf, step_ms, count(*) as n, (count(*) filter (where cf = 'MAX' and name like '%.u0'))::bigint as changed from s where v is not null group by 1, 2",
     "align_lcm": _frame_sql("ev_1h") + f""", va as (select min(t) as lo, max(t) as hi from p where name like 'events.view.%'),
     h as (select f.name, ((f.t - 1) // {6 * HOUR} + 1) * {6 * HOUR} as t_ms, round(avg(f.v) + {SHIFT}, 6) as v from f, va where f.name like 'events.view.%' and f.t between va.lo and va.hi group by 1, 2)

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.statsd import KINDS, THRESHOLDS
 from ..plans.spec import SeriesSpec
-from ..session import checkpoint_dir
+from ..session import bounded_broadcast, cut, finite
 from ..sources.text import graphite_lines
 
 
@@ -40,6 +41,57 @@ def counter_windows(commands: DataFrame, window_ms: int = 10_000, delay: str = "
     return g.select("name", F.unix_millis("window.end").alias("ms"), (F.col("total") / (window_ms / 1000)).alias("value"))
 
 
+def flush_window(cmds: list[tuple], window_ms: int, thresholds: tuple[int, ...] = THRESHOLDS) -> list[tuple[str, float]]:
+    """(suffix of the name, value) of one name's commands (ms, id, cmd, value) in one window, one by one."""
+    cmds = sorted(cmds)
+    kind, value, values = KINDS[cmds[0][2]], 0.0, []
+    for _, _, cmd, v in cmds:
+        if cmd == "append":
+            values.append(v)
+        else:
+            value = v if cmd == "setgauge" else value + v
+    if kind != "t":
+        return [("", value / (window_ms / 1000) if kind == "c" else value)]
+    values.sort()
+    n, total = len(values), sum(values)
+    out = [(".count", float(n)), (".lower", values[0]), (".upper", values[-1]), (".sum", total), (".mean", total / n)]
+    for t in thresholds:
+        k = max(1, int(np.floor(t / 100 * n + 0.5)))
+        part = sum(values[:k])
+        out += [(f".sum_{t:02d}", part), (f".mean_{t:02d}", part / k), (f".upper_{t:02d}", values[k - 1])]
+    return out
+
+
+def statsd_windows(commands: DataFrame, window_ms: int = 10_000, delay: str = "0 seconds", thresholds: tuple[int, ...] = THRESHOLDS) -> DataFrame:
+    """Streaming statsd aggregation of all kinds: what statsd.aggregate() gives for each window, once the
+    watermark (`delay` behind the latest command) has passed its end. Commands behind the watermark are late
+    and dropped. commands: (cmd, name, value, ts timestamp, id bigint). The state of a name is the commands of
+    its open windows; for counters alone, counter_windows() needs no more than their sums."""
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        cmds = list(zip(*state.get, strict=True)) if state.exists else []
+        for b in batches:
+            cmds += zip(b["ms"].tolist(), b["id"].tolist(), b["cmd"], b["value"].tolist(), strict=True)
+        mark = state.getCurrentWatermarkMs()
+        end = lambda ms: ms - ms % window_ms + window_ms
+        by_window: dict[int, list] = {}
+        for c in cmds:
+            by_window.setdefault(end(c[0]), []).append(c)
+        rows = [(key[0] + tag, e, v) for e in sorted(by_window) if e <= mark for tag, v in flush_window(by_window[e], window_ms, thresholds)]
+        left = [c for e in sorted(by_window) if e > mark for c in by_window[e]]
+        if left:
+            state.update(tuple(map(list, zip(*left, strict=True))))
+            state.setTimeoutTimestamp(end(left[0][0]) - 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(rows, columns=["name", "ms", "value"]).astype({"value": "float64"})
+
+    ok = commands.where(finite("value") & F.col("name").isNotNull() & F.col("cmd").isin(*KINDS))
+    ok = ok.select("cmd", "name", "value", "ts", F.unix_millis("ts").alias("ms"), F.col("id").cast("bigint").alias("id"))
+    schema = "ms array<bigint>, id array<bigint>, cmd array<string>, value array<double>"
+    return ok.withWatermark("ts", delay).groupBy("name").applyInPandasWithState(run, "name string, ms bigint, value double", schema, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 class Consolidator:
     """The state of one series: its open primary slot and the open slot of every archive."""
 
@@ -155,23 +207,23 @@ def write_archive(slots: DataFrame, path: str, checkpoint: str, once: bool = Tru
     return (w.trigger(availableNow=True) if once else w).outputMode("append").start()
 
 
+def _exists(spark, path: str) -> bool:
+    """Whether the file system has the folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def merge_archive(new: DataFrame, path: str) -> None:
     """Merge slots into an archive of the same layout: a new value replaces the old one of its (name, cf,
     step_ms, t). For foreachBatch and batch jobs, not for a folder that write_archive() fills. Only the
     partitions that are touched are rewritten; the merged rows are written to the
     checkpoint folder first, since a table can't be overwritten while it is read."""
-    from ..session import bounded_broadcast, cut
-
     spark = new.sparkSession
-    checkpoint_dir(spark)
-    try:
+    if _exists(spark, path):
         old = spark.read.parquet(path)
         parts = new.select("step_ms", "cf").distinct()
         old = old.join(bounded_broadcast(parts), ["step_ms", "cf"], "left_semi").join(new, ["name", "cf", "step_ms", "t"], "left_anti")
         new = new.unionByName(old.select(*new.columns))
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
     cut(new).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("step_ms", "cf").parquet(path)
 
 
