@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import numpy as np
 import pandas as pd
@@ -207,6 +208,20 @@ def test_implausible_chunks_judge_as_the_source(spark):
     assert len(got) == len(whole) and {(r.row_id, r.reason) for r in got} == whole
 
 
+def test_grid_counts_readings_delivered_again_once(spark):
+    rows = [("a", 10, 100, 1, 1.0), ("a", 10, 100, 2, 3.0), ("a", 10, 100, 2, 3.0), ("a", 10, 100, 2, 3.0), ("a", 10, 100, 3, 3.0)]
+    df = spark.createDataFrame(rows, "key string, step_ms long, heartbeat_ms long, ms long, value double")
+    assert [(r.n, r.value) for r in grid.regular_grid(df).collect()] == [(5, pytest.approx(7 / 3))]
+
+
+def test_rolling_keeps_small_sums_beside_large_ones(spark):
+    rows = [(k, 7, T(f"2025-01-{d:02d}"), v) for k, d, v in [(1, 2, 1e19), (2, 2, 0.1), (3, 3, -1e19), (4, 3, 0.2), (4, 3, 0.2), (5, 9, 5.0)]]
+    df = spark.createDataFrame(rows, "id long, e long, t timestamp, v double")
+    got = {r.day.day: r for r in rolling.rolling_totals(df, "e", "t", "v", (7,), end_inclusive=False, dedupe=["id"]).collect()}
+    assert got[3].sum_7 == pytest.approx(0.3) and got[3].n_7 == 4 and got[9].sum_7 == pytest.approx(-1e19) and got[2].total == 1e19 and len(got) == 8
+    assert got[3].n == 2 and rolling.daily(df, "e", "t", "v", dedupe=False).where("n = 3").count() == 1
+
+
 def test_percentiles_of_all_stats(spark, tmp_path):
     """Every name of stats has percentiles, a name with delta rows only and the null name included."""
     rows = [(1, "a", 1.0, False), (1, "a", 1.0, False), (2, "a", 9.0, None), (3, "a", -50.0, True), (4, "only", 3.0, True), (5, None, 7.0, False), (6, "a", float("nan"), False)]
@@ -220,7 +235,8 @@ def test_percentiles_of_all_stats(spark, tmp_path):
 def test_days_without_readings_go_through_the_rolling_totals(spark):
     q = data.p4_found(spark, "/root/testdata/sf0.001")
     plan = q._jdf.queryExecution().optimizedPlan().toString()
-    assert all(f"AS {c}#" in plan for c in ("n_7", "n_30", "sum_7", "sum_30")) and "Window" in plan
+    # both windows of the counts and of both parts of the sums
+    assert all(len(re.findall(rf"sum\({c}#\d+L?\) windowspecdefinition", plan)) == 2 for c in ("n", "small", "large"))
     days = data.p4_rolling(spark, "/root/testdata/sf0.001").select("ds_id", "calendar_day")
     assert q.count() > 0 and q.exceptAll(days).count() == 0
 

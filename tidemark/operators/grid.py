@@ -1,7 +1,7 @@
 """Problem 2: irregular readings onto a regular grid.
 
-1. Readings are aggregated to (series, slot) with map-side combining: a hot slot is reduced before it is
-   shuffled.
+1. Readings are aggregated to (series, time, value), which makes one of those delivered again, and then to
+   (series, slot), both with map-side combining: a hot slot is spread over its readings first.
 2. The time axis of a series is cut into blocks of `block_slots` slots. Per block only its first and last
    reading go through a per-series window, which gives every block (also the empty ones between) the
    last reading before and the first reading after it. No task ever holds a whole hot series.
@@ -44,7 +44,7 @@ def regular_grid(readings: DataFrame, max_gap_ms=None, block_slots: int = 2048)
     `missing` marks a slot without readings that lies strictly between two successive readings more
     than heartbeat_ms apart. A slot without readings between readings that are closer is known and
     gets the value of the last slot with readings carried forward. Rows with a null key, step or heartbeat, or a step below 1, are
-    left out; repeated rows change nothing but n. Empty input gives an empty result.
+    left out; a reading that is there again (same time and value) changes nothing but n. Empty input gives an empty result.
     """
     sound_unions(readings.sparkSession)
     r = readings.where(
@@ -53,8 +53,10 @@ def regular_grid(readings: DataFrame, max_gap_ms=None, block_slots: int = 2048)
     r = r.withColumn("block", F.floor(F.col("slot") / F.col("step_ms") / block_slots).cast("bigint"))
     carry = F.col(max_gap_ms) if isinstance(max_gap_ms, str) else F.lit(max_gap_ms).cast("bigint")
     gap = F.coalesce(carry, F.col("heartbeat_ms")) if max_gap_ms is not None else F.col("heartbeat_ms")
-    cells = r.groupBy("key", "block", "slot", "step_ms", "heartbeat_ms", gap.alias("carry_ms")).agg(
-        F.count("*").alias("n"), F.avg("value").alias("value"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms")
+    place = ["key", "block", "slot", "step_ms", "heartbeat_ms"]
+    once = r.withColumn("carry_ms", gap).groupBy(*place, "carry_ms", "ms", "value").agg(F.count("*").alias("n"))
+    cells = once.groupBy(*place, "carry_ms").agg(
+        F.sum("n").alias("n"), F.avg("value").alias("value"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms")
     )
     # both readers of the cells keep n, so that they have one shuffle in common
     cells = cells.where("n > 0")

@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 
 from ..names import clean_name, suffix
 from ..operators import grid, orphans, qdigest, rolling, spikes
-from ..session import finite, table
+from ..session import bounded_broadcast, cut, finite, table
 
 
 
+#: Keeps exact halves of the last digit from being rounded up by one engine and down by the other.
+NUDGE = 1 + 1.3e-14
+
+
 def _stable(c: str):
     """Sums in different orders differ in their last bits; 13 significant digits are compared."""
-    return F.when(F.col(c).isNotNull(), F.format_string("%.12e", c).cast("double")).alias(c)
+    return F.when(F.col(c).isNotNull(), F.format_string("%.12e", F.col(c) * NUDGE).cast("double")).alias(c)
+
+
+def _stable_sql(x: str) -> str:
+    return f"cast(printf('%.12e', ({x}) * {NUDGE!r}) as double)"
 
 
 # ---- p1
@@ -62,9 +70,11 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
 def points_grid(spark: SparkSession, d: str) -> DataFrame:
     """Regular series of all known sources in points, keyed by ds.id, with the name."""
     p = table(spark, d, "points")
-    u = grid.usable_readings(p.withColumn("name", clean_name("name")), "name", "ts", "value", "received_at")
-    src = _sources(spark, d)
-    r = u.withColumnRenamed("key", "name").join(src, "name").select(F.col("id").alias("key"), "step_ms", "heartbeat_ms", "ms", "value")
+    # names are cleaned and looked up once each, not reading by reading
+    raw = p.select(F.col("name").alias("raw")).distinct().withColumn("name", clean_name("raw"))
+    known = cut(raw.join(_sources(spark, d), "name").select("raw", "id", "step_ms", "heartbeat_ms"))
+    u = grid.usable_readings(p, "name", "ts", "value", "received_at").withColumnRenamed("key", "raw")
+    r = u.join(bounded_broadcast(known), "raw").select(F.col("id").alias("key"), "step_ms", "heartbeat_ms", "ms", "value")
     return grid.regular_grid(r)
 
 
@@ -133,12 +143,12 @@ def p3_ranks(spark: SparkSession, d: str) -> DataFrame:
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Days without readings among the rolling totals. The totals are asked for, which they always pass,
     since columns nobody asks for would be left out of the plan."""
-    days = rolling.rolling_totals(table(spark, d, "tv"), "ds_id", "t", "r", (7, 30))
+    days = rolling.rolling_totals(table(spark, d, "tv"), "ds_id", "t", "r", (7, 30), dedupe=["tv_id"])
     return days.where("n = 0 and n_7 <= n_30 and sum_7 is not null and sum_30 is not null").select(F.col("entity").alias("ds_id"), F.date_format("day", "yyyy-MM-dd").alias("calendar_day"))
 
 
 def p4_rolling(spark: SparkSession, d: str) -> DataFrame:
-    r = rolling.rolling_totals(table(spark, d, "tv"), "ds_id", "t", "r", (7, 30))
+    r = rolling.rolling_totals(table(spark, d, "tv"), "ds_id", "t", "r", (7, 30), dedupe=["tv_id"])
     r = r.select("entity", "day", "n_7", "n_30", _stable("sum_7"), _stable("sum_30"))
     mean = lambda w: F.when(F.col(f"n_{w}") > 0, F.col(f"sum_{w}") / F.col(f"n_{w}")).alias(f"mean_{w}")
     return r.select(F.col("entity").alias("ds_id"), F.date_format("day", "yyyy-MM-dd").alias("calendar_day"), *r.columns[2:], mean(7), mean(30))
@@ -148,10 +158,10 @@ _P4_DAYS = """
 with x as (select distinct * from tv), u as (
   select ds_id, cast(make_timestamp((epoch_ms(t) - 1) * 1000) as date) as day, r from x
   where r is not null and not isnan(r) and not isinf(r) and t is not null and ds_id is not null),
-a as (select ds_id, day, count(*) as n, sum(r) as total from u group by 1, 2),
+a as (select ds_id, day, count(*) as n, coalesce(sum(r) filter (where abs(r) < 1099511627776), 0) as small, coalesce(sum(r) filter (where abs(r) >= 1099511627776), 0) as large from u group by 1, 2),
 b as (select ds_id, min(day) as lo, max(day) as hi from a group by 1),
 c as (select ds_id, cast(unnest(generate_series(lo, hi, interval 1 day)) as date) as day from b),
-g as (select c.ds_id, c.day, coalesce(n, 0) as n, coalesce(total, 0) as total from c left join a using (ds_id, day))
+g as (select c.ds_id, c.day, coalesce(n, 0) as n, coalesce(small, 0) as small, coalesce(large, 0) as large from c left join a using (ds_id, day))
 """
 
 # ---- p5
@@ -202,20 +212,20 @@ ORACLES = {
     + """, n as (select *, lead(ms) over w as next_ms, lead(slot) over w as next_slot from u window w as (partition by name order by ms))
 select name, unnest(range(slot + step_ms, next_slot, step_ms)) as slot_ms from n where next_ms - ms > heartbeat_ms""",
     "p2_grid": _P2_BASE
-    + """, c as (select id, slot, step_ms, heartbeat_ms, count(*) as n, avg(value) as value, min(ms) as first_ms,
-       max(ms) as last_ms from u group by 1, 2, 3, 4),
+    + f""", o as (select id, slot, step_ms, heartbeat_ms, ms, value, count(*) as n from u group by all),
+c as (select id, slot, step_ms, heartbeat_ms, sum(n)::bigint as n, avg(value) as value, min(ms) as first_ms, max(ms) as last_ms from o group by 1, 2, 3, 4),
 s as (select *, lead(slot) over w as next_slot, lead(first_ms) over w as next_ms from c window w as (partition by id order by slot)),
 g as (select *, unnest(range(slot, coalesce(next_slot, slot + step_ms), step_ms)) as slot_ms from s)
 select id as ds_id, slot_ms, case when slot = slot_ms then n else 0 end as n,
-       cast(printf('%.12e', case when slot = slot_ms then value end) as double) as value,
-       cast(printf('%.12e', case when slot = slot_ms then value when next_ms - last_ms <= heartbeat_ms and slot_ms - last_ms <= heartbeat_ms then value end) as double) as filled,
+       {_stable_sql("case when slot = slot_ms then value end")} as value,
+       {_stable_sql("case when slot = slot_ms then value when next_ms - last_ms <= heartbeat_ms and slot_ms - last_ms <= heartbeat_ms then value end")} as filled,
        slot <> slot_ms and next_ms - last_ms > heartbeat_ms as missing from g""",
     "p3_ranks": """with v as (select distinct stat_id, name, coalesce(delta, false) as delta, value, ts from stats where value is not null and not isnan(value) and not isinf(value)),
 g as (select name, delta, count(*) as total from v group by 1, 2)
 select name, delta, made, quantile, total, true as within from g, (values ('tasks'), ('days')) m(made), (values (0.5::double), (0.9), (0.95), (0.99)) q(quantile)""",
     "p4_found": _P4_DAYS + "select ds_id, strftime(day, '%Y-%m-%d') as calendar_day from g where n = 0",
     "p4_rolling": _P4_DAYS
-    + """, w as (select ds_id, day, sum(n) over a as n_7, sum(n) over b as n_30, cast(printf('%.12e', sum(total) over a) as double) as s7, cast(printf('%.12e', sum(total) over b) as double) as s30
+    + f""", w as (select ds_id, day, sum(n) over a as n_7, sum(n) over b as n_30, {_stable_sql("sum(small) over a + sum(large) over a")} as s7, {_stable_sql("sum(small) over b + sum(large) over b")} as s30
   from g window a as (partition by ds_id order by day rows 6 preceding), b as (partition by ds_id order by day rows 29 preceding))
 select ds_id, strftime(day, '%Y-%m-%d') as calendar_day, cast(n_7 as bigint) as n_7, cast(n_30 as bigint) as n_30, s7 as sum_7, s30 as sum_30,
        case when n_7 > 0 then s7 / n_7 end as mean_7, case when n_30 > 0 then s30 / n_30 end as mean_30 from w""",
