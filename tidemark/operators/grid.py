@@ -49,20 +49,19 @@ def regular_grid(readings: DataFrame, max_gap_ms=None, block_slots: int = 2048)
     sound_unions(readings.sparkSession)
     r = readings.where(
         F.col("key").isNotNull() & F.col("step_ms").isNotNull() & F.col("heartbeat_ms").isNotNull() & (F.col("step_ms") > 0)
-    ).withColumn("slot", slot_end("ms", "step_ms"))
-    r = r.withColumn("block", F.floor(F.col("slot") / F.col("step_ms") / block_slots).cast("bigint"))
+    )
     carry = F.col(max_gap_ms) if isinstance(max_gap_ms, str) else F.lit(max_gap_ms).cast("bigint")
     gap = F.coalesce(carry, F.col("heartbeat_ms")) if max_gap_ms is not None else F.col("heartbeat_ms")
-    place = ["key", "block", "slot", "step_ms", "heartbeat_ms"]
-    once = r.withColumn("carry_ms", gap).groupBy(*place, "carry_ms", "ms", "value").agg(F.count("*").alias("n"))
-    cells = once.groupBy(*place, "carry_ms").agg(
+    fixed = ["step_ms", "heartbeat_ms", "carry_ms"]
+    once = r.withColumn("carry_ms", gap).groupBy("key", *fixed, "ms", "value").agg(F.count("*").alias("n"))
+    once = once.withColumn("slot", slot_end("ms", "step_ms")).withColumn("block", F.floor(F.col("slot") / F.col("step_ms") / block_slots).cast("bigint"))
+    cells = once.groupBy("key", "block", "slot", *fixed).agg(
         F.sum("n").alias("n"), F.avg("value").alias("value"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms")
     )
     # both readers of the cells keep n, so that they have one shuffle in common
     cells = cells.where("n > 0")
 
     # the neighbours of each block
-    fixed = ["step_ms", "heartbeat_ms", "carry_ms"]
     blocks = cells.groupBy("key", "block", *fixed).agg(
         F.min("slot").alias("lo"),
         F.max("slot").alias("hi"),

@@ -2,8 +2,9 @@
 
 Parent keys and child keys are united in one long table, grouped by (parent table, key) with map-side
 combining, and the groups without a parent flag (or whose earliest parent is younger than a child) are
-kept. The child rows of those keys are found again by a join on the key; a hot key is split over the
-salts of its child rows, so that no task holds all rows of one key.
+kept. The child rows of those keys are found again by a join on the key. Keys with more than HOT_ROWS
+children, of which there can be only so many, are joined apart by a broadcast, so that no task holds all
+rows of one key.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import sound_unions
+from ..session import bounded_broadcast, cut, sound_unions
 
-_SALTS = 16
+HOT_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -108,9 +109,11 @@ def orphan_rows(parents: list[Parent], children: list[Child]) -> DataFrame:
     row is later than the row itself. Missing times never make a row 'later'. Exact duplicates of a
     child row come out once. Empty tables give an empty result; extra columns are ignored.
     """
-    bad = orphan_keys(parents, children).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    c = _children(children).withColumn("salt", F.pmod(F.xxhash64("child_id", "child_at"), F.lit(_SALTS)).cast("int"))
-    j = c.join(bad, ["parent_table", "key", "salt"])
+    bad, c = cut(orphan_keys(parents, children)), _children(children)
+    hot = F.col("n_children") > HOT_ROWS
+    j = c.join(bad.where(~hot), ["parent_table", "key"])
+    if not bad.where(hot).isEmpty():
+        j = j.unionByName(c.join(bounded_broadcast(bad.where(hot)), ["parent_table", "key"]))
     later = F.coalesce(F.col("parent_at") > F.col("child_at"), F.lit(False))
     return (
         j.where(~F.col("has_parent") | later)
