@@ -6,12 +6,13 @@ products and differences are missing if any member is.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frame import COLUMNS, Frame, merge, quantile, regroup
+from ..frame import COLUMNS, Frame, merge, regroup
 from .registry import register
 
 HOW = {
@@ -59,9 +60,18 @@ def is_non_null(ctx, s):
 
 @register("percentileOfSeries", "seriesList:series n:number interpolate:bool=false")
 def percentile_of_series(ctx, s, n, _interpolate):
-    """Percentile across the series of a slot; missing values count as the lowest."""
-    values = F.transform(F.collect_list(F.struct(F.col("v"))), lambda x: x["v"])
-    return one(s, ctx.legend, quantile(values, n / 100))
+    """Percentile across the series of a slot; missing values count as the lowest. The two values next to
+    the position p * (n + 1) are picked by rank, so that no slot is collected."""
+    slot = Window.partitionBy("t")
+    d = s.df.select("t", "v", F.row_number().over(slot.orderBy(F.asc_nulls_first("v"))).alias("rank"), F.count("*").over(slot).alias("n"))
+    pos = F.lit(n / 100) * (F.col("n") + 1)
+    low = F.greatest(F.lit(1), F.least(F.col("n"), F.floor(pos)))
+    part = F.when((pos < 1) | (pos >= F.col("n")), 0.0).otherwise(pos - F.floor(pos))
+    d = d.withColumn("low", low).withColumn("part", part).where((F.col("rank") == F.col("low")) | ((F.col("part") > 0) & (F.col("rank") == F.col("low") + 1)))
+    a = F.max(F.when(F.col("rank") == F.col("low"), F.col("v")))
+    b = F.max(F.when(F.col("rank") > F.col("low"), F.col("v")))
+    f = F.max("part")
+    return one(replace(s, df=d), ctx.legend, F.when(f == 0, a).otherwise(a + f * (b - a)))
 
 
 @register("group", "seriesList:series*")

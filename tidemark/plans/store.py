@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..frame import Frame, gap_filled, points_step, regroup
 from ..names import glob_filter
+from ..session import bounded_broadcast
 
 
 @dataclass(frozen=True)
@@ -98,7 +99,7 @@ def find_response(names: DataFrame, pattern: str) -> DataFrame:
 
 def rra_view(rra: DataFrame, bundles: DataFrame, ds: DataFrame | None = None) -> DataFrame:
     """Archives with step and span of their bundle, and (with ds) of the source they belong to."""
-    v = rra.join(F.broadcast(bundles.select(F.col("id").alias("rra_bundle_id"), F.col("step_ms").alias("rra_step_ms"), "size")), "rra_bundle_id")
+    v = rra.join(bounded_broadcast(bundles.select(F.col("id").alias("rra_bundle_id"), F.col("step_ms").alias("rra_step_ms"), "size")), "rra_bundle_id")
     v = v.withColumn("span_ms", F.col("rra_step_ms") * F.col("size"))
     if ds is not None:
         v = v.join(ds.select(F.col("id").alias("ds_id"), "name", F.col("step_ms").alias("ds_step_ms"), "heartbeat_ms"), "ds_id")

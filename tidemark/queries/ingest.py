@@ -55,7 +55,7 @@ def _consolidate_sql(sp: spec.SeriesSpec) -> str:
     cfs = ", ".join(f"('{x}')" for x in dict.fromkeys(x.cf for x in sp.archives))
     steps = ", ".join(f"({x}::bigint)" for x in dict.fromkeys(x.step_ms for x in sp.archives))
     if hb:
-        head = f"""i0 as (select name, lag(ms) over (partition by name order by ms) as t0, ms as t1, value from p),
+        head = f"""i0 as (select name, lag(ms) over (partition by name order by ms, value desc) as t0, ms as t1, value from p),
 i as (select name, t0, t1, case when t1 - t0 <= {hb} then value end as v, (t0 + {s} - 1) // {s} * {s} as up, t1 // {s} * {s} as lo from i0 where t1 > t0),
 pieces as (select name, up as slot, v, least(up, t1) - t0 as d, t1 >= up as done from i where t0 <> up
   union all select name, lo + {s}, v, t1 - greatest(lo, t0), false from i where t1 > lo and not (t0 <> up and t1 < up)),

@@ -6,6 +6,7 @@ import pickle
 import struct
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,48 +17,90 @@ from ..plans.spec import DEFAULT, ArchiveSpec, SeriesSpec
 from ..session import DAY_MS, checkpoint_dir, cut, slot_end, table
 from ..sources import binary
 from ..streaming import pipeline
-from .ingest import _KIND_SQL, SHIFT, SPECS, _commands, _commands_sql, _consolidate_sql, _statsd_sql
+from .ingest import _KIND_SQL, _POINTS_SQL, SHIFT, SPECS, _commands, _commands_sql, _consolidate_sql, _statsd_sql
 from .language import HOUR, _frame_sql, event_points
 
-# ---- binary formats: small files with known contents
+# ---- binary formats: files made of the events, written to the shared folder and read back
+
+SIX, KEEP = 6 * HOUR, 10 * DAY_MS
 
 
 def _whisper(archives) -> bytes:
+    """A Whisper file of archives (step seconds, points); each has some unused slots."""
     head, body, off = struct.pack(">IIfI", 1, 100, 0.5, len(archives)), b"", 16 + 12 * len(archives)
     for step, pts in archives:
-        head += struct.pack(">III", off + len(body), step, len(pts))
-        body += b"".join(struct.pack(">Id", t, v) for t, v in pts)
+        head += struct.pack(">III", off + len(body), step, len(pts) + 3)
+        body += b"".join(struct.pack(">Id", t, v) for t, v in pts) + bytes(36)
     return head + body
 
 
-def _files(spark: SparkSession) -> DataFrame:
-    fine = [(1_000_000 + 10 * i, float(i)) for i in range(60)] + [(0, 0.0)] * 5
-    coarse = [(999_000 + 60 * i, 100.0 + i) for i in range(30)]
-    rows = [("a.b", bytearray(_whisper([(10, fine), (60, coarse)]))), ("a.old", bytearray(_whisper([(60, [(500_000, 1.0)])]))), ("a.bad", bytearray(b"xx"))]
-    return spark.createDataFrame(rows, "name string, content binary")
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    """(name, step, at, v): means by the hour of the last ten days and by six hours of all; series u2 end halfway."""
+    p = event_points(spark, d)
+    whole = p.select(F.min("ms").alias("lo"), F.max("ms").alias("hi")).first()
+    if whole["hi"] is None:
+        return spark.createDataFrame([], "name string, step bigint, at bigint, v double")
+    hour, six = (F.lit(x).cast("bigint") for x in (HOUR, SIX))
+    p = p.where(~F.col("name").endswith(".u2") | (F.col("ms") < (whole["lo"] + whole["hi"]) // 2))
+    p = p.withColumn("step", F.explode(F.when(F.col("ms") > whole["hi"] - KEEP, F.array(hour, six)).otherwise(F.array(six))))
+    return p.groupBy("name", "step", (F.col("ms") - F.pmod("ms", "step")).alias("at")).agg(F.avg("value").alias("v"))
+
+
+def _whisper_files(spark: SparkSession, d: str) -> DataFrame:
+    def file(pdf):
+        points = lambda step: sorted((int(t) // 1000, float(v)) for t, v, k in zip(pdf["at"], pdf["v"], pdf["step"], strict=True) if k == step)
+        return pd.DataFrame({"name": [pdf["name"].iloc[0]], "content": [_whisper([(HOUR // 1000, points(HOUR)), (SIX // 1000, points(SIX))])]})
+
+    at = _folder(spark, "whisper")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+    files = _cells(spark, d).groupBy("name").applyInPandas(file, "name string, content binary")
+    rows = ((r["name"].replace(".", "/"), r["content"]) for r in files.toLocalIterator())
+    for name, content in [*rows, ("bad", b"xx")]:
+        out = fs.create(jvm.Path(f"{at}/{name}.wsp"))
+        out.write(bytearray(content))
+        out.close()
+    return binary.read_whisper(spark, at)
 
 
 def whisper_points(spark: SparkSession, d: str) -> DataFrame:
-    return binary.whisper_points(_files(spark))
+    return _whisper_files(spark, d).withColumn("value", F.round("value", 9))
 
 
 def whisper_merge(spark: SparkSession, d: str) -> DataFrame:
-    return binary.merge_whisper(binary.whisper_points(_files(spark)))
+    return binary.merge_whisper(_whisper_files(spark, d)).withColumn("value", F.round("value", 9))
 
 
 def whisper_fresh(spark: SparkSession, d: str) -> DataFrame:
-    return binary.fresh_whisper(binary.whisper_points(_files(spark)), 1_002_000_000, 1).select("name").distinct()
+    """Series with a point in the last week of the data."""
+    p = cut(_whisper_files(spark, d))
+    return binary.fresh_whisper(p, p.agg(F.max("ms")).first()[0] or 0, 7).select("name").distinct()
+
+
+REPLAY = SeriesSpec(HOUR, 12 * HOUR, tuple(ArchiveSpec(cf, SIX, 10_000, 0.5) for cf in ("WMEAN", "MAX")))
 
 
 def whisper_replay(spark: SparkSession, d: str) -> DataFrame:
-    p = binary.whisper_points(_files(spark))
-    spec = SeriesSpec(10_000, 7_200_000, (ArchiveSpec("WMEAN", 60_000, 10_000),))
-    return binary.replay_whisper(p, spec).select("name", F.col("t").alias("t_ms"), F.round("v", 6).alias("v"))
+    """Imported into an archive of its own, twice: the second import finds nothing new."""
+    at, p = _folder(spark, "imported"), cut(_whisper_files(spark, d))
+    pipeline.import_whisper(p, REPLAY, at)
+    pipeline.import_whisper(p, REPLAY, at)
+    back = spark.read.schema("name string, t bigint, v double, step_ms bigint, cf string").parquet(at)
+    return back.select("name", "cf", "step_ms", F.col("t").alias("t_ms"), F.round(F.col("v") + SHIFT, 6).alias("v"))
 
 
 def pickle_points(spark: SparkSession, d: str) -> DataFrame:
-    body = pickle.dumps([("x.y", (100, 1.5)), ("x.z", (200, 3))], 2)
-    return binary.read_pickles(spark.createDataFrame([(bytearray(struct.pack(">I", len(body)) + body),)], "content binary"))
+    """All events as frames of up to 1,000 points."""
+
+    def frames(batches):
+        for b in batches:
+            for at in range(0, len(b), 1000):
+                x = b.iloc[at : at + 1000]
+                body = pickle.dumps([(n, (int(ms) // 1000, float(v))) for n, ms, v in zip(x["name"], x["ms"], x["value"], strict=True)], 2)
+                yield pd.DataFrame({"content": [struct.pack(">I", len(body)) + body]})
+
+    p = binary.read_pickles(event_points(spark, d).mapInPandas(frames, "content binary"))
+    return p.groupBy("name", "ms").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 # ---- streams, run to completion over files in the shared folder
@@ -166,8 +209,11 @@ QUERIES = {
     )
 }
 
-_WSP = """with p as (select 'a.b' as name, 0 as archive, 10000::bigint as step_ms, (1000000 + 10 * i) * 1000::bigint as ms, i::double as value from range(60) t(i)
-union all select 'a.b', 1, 60000, (999000 + 60 * i) * 1000::bigint, 100.0 + i from range(30) t(i) union all select 'a.old', 0, 60000, 500000000, 1.0)"""
+_WSP = f"""with e as (select 'events.' || event_type || '.u' || (user_id % 3) as name, epoch_us(ts) // 1000 as ms, value from events),
+w as (select min(ms) as lo, max(ms) as hi from e), x as (select e.*, hi from e, w where name not like '%.u2' or ms < (lo + hi) // 2),
+k as (select name, 0 as archive, {HOUR}::bigint as step_ms, ms // {HOUR} * {HOUR} as ms, avg(value) as value from x where ms > hi - {KEEP} group by 1, 4
+union all select name, 1, {SIX}, ms // {SIX} * {SIX}, avg(value) from x group by 1, 4),
+m as (select name, ms + step_ms as ms, value from k where archive = 0 or ms < coalesce((select min(f.ms) from k f where f.name = k.name and f.archive = 0), ms + 1))"""
 _P = "with p as (select 'events.' || event_type || '.u' || (user_id % 3) as name, epoch_us(ts) // 1000 as ms, value from events)"
 
 
@@ -180,10 +226,11 @@ def _closed(kind: str) -> str:
 
 
 ORACLES = {
-    "whisper_points": _WSP + " select * from p",
-    "whisper_merge": _WSP + " select name, ms + step_ms as ms, value from p where archive = 0 or ms < 1000000000",
-    "whisper_fresh": "select 'a.b' as name",
-    "pickle_points": "select * from (values ('x.y', 100000::bigint, 1.5::double), ('x.z', 200000, 3.0)) t(name, ms, value)",
+    "whisper_points": _WSP + " select name, archive, step_ms, ms, round(value, 9) as value from k",
+    "whisper_merge": _WSP + " select name, ms, round(value, 9) as value from m",
+    "whisper_fresh": _WSP + f" select name from k group by 1 having max(ms) >= (select max(ms) from k) - {7 * DAY_MS}",
+    "whisper_replay": "select * from (" + _consolidate_sql(REPLAY).replace(_POINTS_SQL, _WSP + " select * from m") + ") where v is not null",
+    "pickle_points": _P + " select name, ms // 1000 * 1000 as ms, count(*) as n, round(sum(value), 4) as total from p group by 1, 2",
     "stream_consolidate": "select * from (" + _consolidate_sql(STREAM) + ") where v is not null and step_ms > 0",
     "stream_counters": _P + f", c as (select name, ms // {DAY_MS} * {DAY_MS} + {DAY_MS} as t_ms, sum(value) as s from p group by 1, 2) select name, t_ms, round(s / 86400, 9) as value from c where t_ms <= (select max(ms) from p)",
     "stream_gauges": _closed("g"),

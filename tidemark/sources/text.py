@@ -26,8 +26,8 @@ def graphite_lines(lines: DataFrame, col: str = "value", now_ms=None) -> DataFra
     return d.where(finite("value") & F.col("ms").isNotNull())
 
 
-def statsd_lines(lines: DataFrame, col: str = "value", compat: bool = False) -> DataFrame:
-    """(name, value, metric, sample, delta) of statsd packets `name[:value|c|g|ms[|@rate]]`.
+def statsd_lines(lines: DataFrame, col: str = "value", *keep: str, compat: bool = False) -> DataFrame:
+    """(name, value, metric, sample, delta, keep...) of statsd packets `name[:value|c|g|ms[|@rate]]`.
 
     A bare name counts 1. A sign before a gauge's value makes it a change (under compat only +). Packets
     with a bad value, an unknown type or a rate outside 0..1 are left out, as are null and empty lines.
@@ -46,6 +46,7 @@ def statsd_lines(lines: DataFrame, col: str = "value", compat: bool = False) ->
         F.when(bare, F.lit("c")).otherwise(metric).alias("metric"),
         F.when(bare, F.lit(1.0)).otherwise(sample).alias("sample"),
         F.when(bare, F.lit(False)).otherwise(delta).alias("delta"),
+        *keep,
     )
     return d.where(F.col("value").isNotNull() & F.col("metric").isin("c", "g", "ms") & F.col("sample").between(0, 1))
 

@@ -1,0 +1,73 @@
+"""Lines from UDP datagrams as a streaming source."""
+
+from __future__ import annotations
+
+import socket
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+
+
+class _Reader(SimpleDataSourceStreamReader):
+    """Offsets number the lines. Lines are kept until the query has committed them, so that a batch can be
+    read again; what arrives while no query runs is lost, as is the way of datagrams."""
+
+    def __init__(self, host: str, port: int, most: int):
+        self.at, self.most = (host, port), most
+        self.sock: socket.socket | None = None
+        self.first, self.lines = 0, []
+
+    def initialOffset(self) -> dict:
+        return {"line": 0}
+
+    def _receive(self) -> None:
+        if self.sock is None:
+            self.sock = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+            self.sock.bind(self.at)
+            self.sock.setblocking(False)
+        while len(self.lines) < self.most:
+            try:
+                data = self.sock.recv(65_535)
+            except BlockingIOError:
+                return
+            self.lines += data.decode("utf-8", "replace").splitlines()
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        if not self.lines:
+            self.first = start["line"]
+        self._receive()
+        rows = self._rows(start["line"], self.first + len(self.lines))
+        return iter(rows), {"line": start["line"] + len(rows)}
+
+    def _rows(self, a: int, b: int) -> list[tuple]:
+        return [(self.lines[k - self.first], k) for k in range(max(a, self.first), min(b, self.first + len(self.lines)))]
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter(self._rows(start["line"], end["line"]))
+
+    def commit(self, end: dict) -> None:
+        self.lines = self.lines[max(0, end["line"] - self.first) :]
+        self.first = end["line"]
+
+
+class UdpLines(DataSource):
+    """spark.readStream.format("udp_lines"): options host, port and maxLines (held at a time; the rest waits
+    in the socket). Columns: value, a line, and line, its number."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "udp_lines"
+
+    def schema(self) -> str:
+        return "value string, line bigint"
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        o = self.options
+        return _Reader(o.get("host", "127.0.0.1"), int(o["port"]), int(o.get("maxLines", 1_000_000)))
+
+
+def udp_lines(spark, port: int, host: str = "127.0.0.1", max_lines: int = 1_000_000) -> DataFrame:
+    """Stream of (value, line): the lines of the datagrams sent to host and port, numbered."""
+    spark.dataSource.register(UdpLines)
+    return spark.readStream.format("udp_lines").option("host", host).option("port", port).option("maxLines", max_lines).load()

@@ -5,18 +5,22 @@ Contract: with no late points the streams give what the batch operators give on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.statsd import KINDS, THRESHOLDS
 from ..plans.spec import SeriesSpec
 from ..session import bounded_broadcast, cut, finite
-from ..sources.text import graphite_lines
+from ..sources.binary import replay_whisper
+from ..sources.text import graphite_lines, statsd_commands, statsd_lines
+from ..sources.udp import udp_lines
 
 
 def points_from_text(spark, path: str, max_files: int | None = None) -> DataFrame:
@@ -28,9 +32,30 @@ def points_from_text(spark, path: str, max_files: int | None = None) -> DataFram
     return graphite_lines(r.load(path))
 
 
+def socket_lines(spark, host: str, port: int) -> DataFrame:
+    """Stream of (value, timestamp): the lines of a TCP socket and when they came."""
+    return spark.readStream.format("socket").option("host", host).option("port", port).option("includeTimestamp", True).load()
+
+
 def points_from_socket(spark, host: str, port: int) -> DataFrame:
     """Stream of points from a TCP socket that sends Graphite lines."""
-    return graphite_lines(spark.readStream.format("socket").option("host", host).option("port", port).load())
+    return graphite_lines(socket_lines(spark, host, port))
+
+
+def points_from_udp(spark, port: int, host: str = "127.0.0.1") -> DataFrame:
+    """Stream of points from datagrams of Graphite lines."""
+    return graphite_lines(udp_lines(spark, port, host))
+
+
+def commands_from_lines(lines: DataFrame) -> DataFrame:
+    """Stream of statsd commands (cmd, name, value, ts, id) from lines (value) of a socket, datagrams or
+    files. Packets carry no time: theirs is that of their arrival, the `timestamp` of the lines if they have
+    one, else that of the trigger; ties are ordered by the number of the `line`, if there is one."""
+    ts = F.col("timestamp") if "timestamp" in lines.columns else F.current_timestamp()
+    number = F.col("line") if "line" in lines.columns else F.lit(0)
+    c = lines.select(F.struct(F.col("value").alias("line"), ts.alias("ts"), number.cast("bigint").alias("id")).alias("x"))
+    c = statsd_commands(statsd_lines(c.select("x.line", "x.ts", "x.id"), "line", "ts", "id"))
+    return c.select("cmd", "name", "value", "ts", "id")
 
 
 def counter_windows(commands: DataFrame, window_ms: int = 10_000, delay: str = "0 seconds") -> DataFrame:
@@ -43,7 +68,7 @@ def counter_windows(commands: DataFrame, window_ms: int = 10_000, delay: str = "
 
 def flush_window(cmds: list[tuple], window_ms: int, thresholds: tuple[int, ...] = THRESHOLDS) -> list[tuple[str, float]]:
     """(suffix of the name, value) of one name's commands (ms, id, cmd, value) in one window, one by one."""
-    cmds = sorted(cmds)
+    cmds = sorted(cmds, key=lambda c: c[:2])
     kind, value, values = KINDS[cmds[0][2]], 0.0, []
     for _, _, cmd, v in cmds:
         if cmd == "append":
@@ -179,26 +204,38 @@ class Consolidator:
         return out
 
 
-STATE = "last bigint, vd double, dur bigint, slots array<double>"
+STATE = "last bigint, vd double, dur bigint, slots array<double>, wait_ms array<bigint>, wait_value array<double>"
 SLOTS = "name string, cf string, step_ms bigint, t bigint, v double"
 
 
-def consolidate_stream(points: DataFrame, spec: SeriesSpec) -> DataFrame:
+def consolidate_stream(points: DataFrame, spec: SeriesSpec, delay: str | None = None) -> DataFrame:
     """Stream of finished archive slots (name, cf, step_ms, t, v) from a stream of points (name, ms,
     value). Points of a trigger are sorted per series; one not later than the series' last is dropped.
+    With a delay, points wait for others that come after them but belong before them, until the watermark
+    (`delay` behind the latest point) has passed them; what still waits when the stream ends is in its state.
     Slots without a value are put out as null. Retention is left to the table that receives them."""
     if spec.heartbeat_ms == 0:
         raise ValueError("heartbeat 0 is not available as a stream: a closed slot may be rewritten")
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        c = Consolidator.load(spec, state.get) if state.exists else Consolidator(spec)
-        p = pd.concat(list(batches)).sort_values(["ms", "value"], ascending=[True, False])
-        rows = [(key[0], *r) for ms, v in zip(p["ms"], p["value"], strict=True) if np.isfinite(v) for r in c.point(int(ms), float(v))]
-        state.update(c.state())
+        c = Consolidator.load(spec, state.get[:4]) if state.exists else Consolidator(spec)
+        p = list(zip(*state.get[4:], strict=True)) if state.exists else []
+        for b in batches:
+            p += [(ms, v) for ms, v in zip(b["ms"].tolist(), b["value"].tolist(), strict=True) if np.isfinite(v)]
+        mark = state.getCurrentWatermarkMs() if delay else None
+        waiting = [x for x in p if mark is not None and x[0] > mark]
+        ready = sorted((x for x in p if mark is None or x[0] <= mark), key=lambda x: (x[0], -x[1]))
+        rows = [(key[0], *r) for ms, v in ready for r in c.point(ms, v)]
+        state.update((*c.state(), [ms for ms, _ in waiting], [v for _, v in waiting]))
+        if waiting:
+            state.setTimeoutTimestamp(min(ms for ms, _ in waiting))
         yield pd.DataFrame(rows, columns=["name", "cf", "step_ms", "t", "v"]).astype({"v": "float64"})
 
     ok = points.where("name is not null and ms is not null and value is not null")
-    return ok.groupBy("name").applyInPandasWithState(run, SLOTS, STATE, "append", GroupStateTimeout.NoTimeout)
+    if delay:
+        ok = ok.withColumn("__ts", F.timestamp_millis("ms")).withWatermark("__ts", delay)
+    timeout = GroupStateTimeout.EventTimeTimeout if delay else GroupStateTimeout.NoTimeout
+    return ok.groupBy("name").applyInPandasWithState(run, SLOTS, STATE, "append", timeout)
 
 
 def write_archive(slots: DataFrame, path: str, checkpoint: str, once: bool = True):
@@ -232,3 +269,35 @@ def progress_points(progress: dict, prefix: str = "stats") -> list[tuple[str, in
     ms = int(pd.Timestamp(progress["timestamp"]).timestamp() * 1000)
     out = [(f"{prefix}.{k}", ms, float(progress[k])) for k in ("numInputRows", "inputRowsPerSecond", "processedRowsPerSecond") if progress.get(k) is not None]
     return out + [(f"{prefix}.duration_ms.{k}", ms, float(v)) for k, v in (progress.get("durationMs") or {}).items()]
+
+
+class ProgressPoints(StreamingQueryListener):
+    """Hands the progress of every streaming query of the session to sink as points. Register it with
+    spark.streams.addListener()."""
+
+    def __init__(self, sink: Callable[[list[tuple[str, int, float]]], None], prefix: str = "stats"):
+        self.sink, self.prefix = sink, prefix
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = json.loads(event.progress.json)
+        self.sink(progress_points(p, f"{self.prefix}.{p.get('name') or p['id']}"))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def import_whisper(points: DataFrame, spec: SeriesSpec, path: str) -> None:
+    """Write the archives of whisper_points() into the archive at path. Of a series that is there already only
+    what is later than its newest slot is taken, so an import can be repeated, and go on with newer files."""
+    spark = points.sparkSession
+    last = None
+    if _exists(spark, path):
+        last = spark.read.parquet(path).groupBy("name").agg(F.max("t").alias("last_ms"))
+    slots = replay_whisper(points, spec, last).where("v is not null")
+    merge_archive(slots.select("name", "cf", "step_ms", "t", "v"), path)
