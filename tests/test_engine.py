@@ -15,7 +15,7 @@ from tidemark.frame import literal_series, merge, regroup
 from tidemark.functions import register
 from tidemark.operators import consolidate as con
 from tidemark.operators import statsd
-from tidemark.plans import render
+from tidemark.plans import render, spec
 from tidemark.plans.spec import ArchiveSpec, SeriesSpec
 from tidemark.plans.store import Archive, Store
 from tidemark.sources import binary, text
@@ -103,6 +103,20 @@ def test_max_points_add_a_step(engine):
     assert {r.step_ms for r in s.fetch("foo.bar1.baz", TO - HOUR, TO, 61).df.collect()} == {60_000}
 
 
+def test_names_from_the_series_table(spark, engine):
+    series = spark.createDataFrame([("foo.bar1.baz",), ("foo.new.baz",), ("foo.new.baz",), ("x.y.z",), (None,)], "name string")
+    f = Store(engine.store.archive, engine.store.archives, series=series).fetch("foo.*.baz", TO - HOUR, TO)
+    rows = f.df.groupBy("name").agg({"t": "count", "v": "count"}).collect()
+    assert sorted((r.name, r["count(t)"], r["count(v)"]) for r in rows) == [("foo.bar1.baz", 60, 60), ("foo.new.baz", 60, 0)]
+
+
+def test_points_of_unknown_series_are_dropped(spark):
+    p = spark.createDataFrame([("a.x", 1, 1.0), ("b.x", 1, 1.0), ("c", 1, 1.0), (None, 1, 1.0)], "name string, ms long, value double")
+    rules = [SeriesSpec(10_000, HOUR, (), r"^b"), SeriesSpec(10_000, HOUR, (), r"[.]x$")]
+    assert sorted((r.name, r.rule_no) for r in spec.assigned(p, rules).collect()) == [("a.x", 1), ("b.x", 0)]
+    assert spec.assigned(p, []).count() == 0
+
+
 def test_render_request(spark, engine):
     rows, errors = render.render(spark, engine.store, ["foo.*.baz", "none.*", "scale(foo.bar1.baz)", "alias(foo.bar2.baz, 'say \\'b\\'')"], "-10min", "", 100, TO)
     body = json.loads(render.body(rows))

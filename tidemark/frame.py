@@ -49,9 +49,9 @@ def literal_series(spark, name: str, data: list[float | None], start_ms: int, st
     return Frame(spark.createDataFrame(rows, "name string, alias string, t bigint, v double, step_ms bigint"), frozenset([step_ms]))
 
 
-def gap_filled(cells: DataFrame, lo: int, hi: int, step_ms: int) -> Frame:
-    """Rows (name, t, v) made complete over the slots lo, lo + step, ..., hi."""
-    names = cells.select("name").distinct()
+def gap_filled(cells: DataFrame, lo: int, hi: int, step_ms: int, names: DataFrame | None = None) -> Frame:
+    """Rows (name, t, v) made complete over the slots lo, lo + step, ..., hi, for the given names or those there are."""
+    names = cells.select("name").distinct() if names is None else names
     grid = names.withColumn("t", F.explode(F.sequence(F.lit(lo).cast("bigint"), F.lit(hi).cast("bigint"), F.lit(step_ms).cast("bigint"))))
     df = grid.join(cells.where(F.col("t").between(lo, hi)), ["name", "t"], "left")
     return Frame(df.select("name", F.col("name").alias("alias"), "t", "v", F.lit(step_ms).cast("bigint").alias("step_ms")), frozenset([step_ms]))

@@ -48,10 +48,11 @@ def best_archive(archives: list[Archive], from_ms: int, to_ms: int, points: int
 
 
 class Store:
-    """fetch() of frames from an archive table."""
+    """fetch() of frames from an archive table. With a table of series (name), those that exist without a slot
+    in the range are there, too, all missing; and the archive is read once instead of also for its names."""
 
-    def __init__(self, archive: DataFrame, archives: list[Archive], compat: bool = False):
-        self.archive, self.archives, self.compat = archive, archives, compat
+    def __init__(self, archive: DataFrame, archives: list[Archive], compat: bool = False, series: DataFrame | None = None):
+        self.archive, self.archives, self.compat, self.series = archive, archives, compat, series
 
     def fetch(self, pattern: str, from_ms: int, to_ms: int, max_points: int = 0) -> Frame:
         a = best_archive(self.archives, from_ms, to_ms, max_points)
@@ -59,10 +60,11 @@ class Store:
         rows = self.archive.where(
             (F.col("step_ms") == a.step_ms) & (F.col("cf") == a.cf) & (F.col("t") > lo) & (F.col("t") <= to_ms)
         ).where(glob_filter("name", pattern, self.compat))
+        names = None if self.series is None else self.series.where(glob_filter("name", pattern, self.compat)).select("name").distinct()
         first, last = (lo // a.step_ms + 1) * a.step_ms, to_ms // a.step_ms * a.step_ms
         if first > last:
             return Frame(gap_filled(rows.select("name", "t", "v").limit(0), last, last, a.step_ms).df, frozenset([a.step_ms]))
-        f = gap_filled(rows.select("name", "t", "v"), first, last, a.step_ms)
+        f = gap_filled(rows.select("name", "t", "v"), first, last, a.step_ms, names)
         width = points_step(lo, to_ms, max_points, a.step_ms)
         return regroup(f, width) if width > a.step_ms else f
 

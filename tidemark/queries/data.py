@@ -167,16 +167,21 @@ g as (select c.ds_id, c.day, coalesce(n, 0) as n, coalesce(small, 0) as small, c
 # ---- p5
 
 
+#: Parameters of p5: how far a reading's time may lie after and before its receipt (ms), and the suffixes of
+#: names that are taken on a logarithmic scale.
+AHEAD, BEHIND = 7 * 86_400_000, 90 * 86_400_000
+LOG_SUFFIXES = ("latency_ms", "hits")
+
+
 def _measurements(spark: SparkSession, d: str) -> DataFrame:
     """Readings of the three tables in one form. The time of a reading is ts, however late it arrived, but
-    its receipt where ts is null or no late arrival explains it: more than seven days after the receipt or
-    more than 90 days before it."""
-    log = F.col("suffix").isin("latency_ms", "hits")
-    day = 86_400_000
+    its receipt where ts is null or no late arrival explains it: more than AHEAD after the receipt or more
+    than BEHIND before it."""
+    log = F.col("suffix").isin(*LOG_SUFFIXES)
 
     def time(t: DataFrame):
         ts, at = F.unix_millis("ts"), F.unix_millis("received_at")
-        return F.when(ts.isNull() | (ts > at + 7 * day) | (ts < at - 90 * day), at).otherwise(ts).alias("ms")
+        return F.when(ts.isNull() | (ts > at + AHEAD) | (ts < at - BEHIND), at).otherwise(ts).alias("ms")
 
     def cols(table_name: str, ident: str, source, ms, value: str):
         return [F.lit(table_name).alias("source_table"), source.alias("source"), F.col(ident).alias("row_id"), ms, F.col(value).alias("value")]

@@ -14,7 +14,7 @@ from ..operators import statsd
 from ..plans import render, spec, store
 from ..session import cut, slot_end, table
 from ..sources import text
-from .language import DAY, HOUR, _frame_sql, engine, event_points
+from .language import DAY, HOUR, SHIFT, _frame_sql, engine, event_points
 
 MIN = 60_000
 
@@ -39,10 +39,6 @@ SPECS = {
 }
 
 
-#: Keeps exact halves from being rounded up by one engine and down by the other.
-SHIFT = 3.3e-9
-
-
 def consolidated(spark: SparkSession, d: str, name: str) -> DataFrame:
     return con.consolidate(event_points(spark, d), SPECS[name]).select("name", "cf", "step_ms", F.col("t").alias("t_ms"), F.round(F.col("v") + SHIFT, 6).alias("v"))
 

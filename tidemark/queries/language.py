@@ -17,6 +17,8 @@ from ..plans.store import Archive, Store
 from ..session import slot_end, table
 
 HOUR, DAY = 3_600_000, 86_400_000
+#: Keeps exact halves from being rounded up by one engine and down by the other.
+SHIFT = 3.3e-9
 
 
 def _archive(points: DataFrame, step: int, how: str) -> tuple[DataFrame, Archive] | None:
@@ -84,7 +86,7 @@ def engine(spark: SparkSession, d: str, frame: str = "ev_1h", max_points: int =
 
 
 def output(f: Frame, digits: int = 6) -> DataFrame:
-    return f.df.select(F.coalesce("alias", "name").alias("target"), F.col("t").alias("t_ms"), F.round("v", digits).alias("v"))
+    return f.df.select(F.coalesce("alias", "name").alias("target"), F.col("t").alias("t_ms"), F.round(F.col("v") + SHIFT, digits).alias("v"))
 
 
 def run(spark: SparkSession, d: str, text: str, frame: str = "ev_1h", max_points: int = 0, compat: bool = False, digits: int = 6) -> DataFrame:
@@ -270,7 +272,7 @@ QUERIES = {k: partial(run, text=v[0], frame=v[2]) for k, v in SPECS.items()} | {
     "dsl_consolidate_by": _points_query(f"consolidateBy({E}, 'sum')", 100),
     "dsl_literal_series": dsl_literal_series,
 }
-ORACLES = {k: _frame_sql(v[2]) + v[1] for k, v in SPECS.items() if v[1]} | {
+_ORACLES = {k: _frame_sql(v[2]) + v[1] for k, v in SPECS.items() if v[1]} | {
     k: _holt_winters_sql(*v) for k, v in HOLT_WINTERS.items()
 } | {k: _frame_sql("ev_6h") + v[1] for k, v in COMPAT.items()} | {
     "dsl_sinusoid": _frame_sql("ev_1h") + f", w as (select lo - {HOUR} as a, (hi - lo + {HOUR}) // 60 as s from b) select 'sinusoid()' as target, a + s + i * s as t_ms, round(sin(2 * pi() / 60 * i), 6) as v from w, (select unnest(range(60)) as i)",
@@ -278,3 +280,4 @@ ORACLES = {k: _frame_sql(v[2]) + v[1] for k, v in SPECS.items() if v[1]} | {
     "dsl_consolidate_by": _frame_sql("ev_1h") + f", w as (select ((hi - lo + {HOUR}) // 100 // {HOUR} + 1) * {HOUR} as w from b) select name as target, ((t - 1) // w + 1) * w as t_ms, round(avg(v) * any_value((hi - lo + {HOUR}) / 1000 / 100), 6) as v from f, b, w group by 1, 2",
     "dsl_literal_series": "select 'lit' as target, t_ms::bigint as t_ms, v::double as v from (values (60000, 1.0), (120000, null), (180000, 3.5)) x(t_ms, v)",
 }
+ORACLES = {k: v.replace("round(", f"round({SHIFT} + ") for k, v in _ORACLES.items()}
