@@ -208,6 +208,20 @@ def test_batch_equals_sequential(spark, gap, xff, monkeypatch):
         assert got[k] == (None if v is None else pytest.approx(v)), k
 
 
+def test_heartbeat0_stream_equals_batch(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    sp = SeriesSpec(10_000, 0, tuple(ArchiveSpec(cf, r, 10**6, 0.5) for cf in ("WMEAN", "MIN", "MAX", "LAST") for r in (10_000, 30_000)))
+    ms = np.cumsum(rng.choice([500, 2_000, 9_000, 45_000], 80)) + 5
+    pts = [(f"s{i % 2}", int(t), float(v)) for i, (t, v) in enumerate(zip(ms, rng.normal(5, 1, 80).round(3), strict=True))]
+    for k in range(4):
+        spark.createDataFrame(pts[20 * k : 20 * k + 20], "name string, ms long, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("name string, ms long, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    pipeline.merge_stream(pipeline.consolidate_stream(s, sp), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {(r.name, r.cf, r.step_ms, r.t): r.v for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = slots(con.consolidate(spark.createDataFrame(pts, "name string, ms long, value double"), sp))
+    assert got.keys() == want.keys() and all(got[k] == (None if v is None else pytest.approx(v)) for k, v in want.items())
+
+
 def test_consolidate_edges(spark):
     sp = SeriesSpec(10_000, 60_000, (ArchiveSpec("WMEAN", 10_000, 3),))
     df = spark.createDataFrame([("a", 5, 1.0), (None, 5, 1.0), ("a", None, 1.0), ("a", 10, float("nan")), ("a", 11, float("inf")), ("a", 12, None)], "name string, ms long, value double")

@@ -138,6 +138,8 @@ class Consolidator:
     def point(self, ms: int, value: float) -> list[tuple[str, int, int, float | None]]:
         """Feed one point; (cf, step, slot end, value) of the archive slots that it completes. A point
         not later than the last one is rejected."""
+        if self.spec.heartbeat_ms == 0:
+            return self._owned(ms, value)
         last, self.last = self.last, ms
         if last is None:
             return []
@@ -160,6 +162,17 @@ class Consolidator:
             self._add(v, ms - max(lo, last))
         return out
 
+    def _owned(self, ms: int, value: float) -> list:
+        """Heartbeat 0: a value owns the whole step it falls into, skipped steps are unknown. A slot that was
+        put out may be put out again: the later value counts."""
+        s, last = self.spec.step_ms, self.last
+        if last is not None and ms < last:
+            return []
+        self.last, e, out = ms, ms // s * s + s, []
+        if last is not None and e - s > (prev := last // s * s + s):
+            out += self._update(prev, e - s, None, None)
+        return out + self._update(e - s, e, value, s)
+
     def _add(self, v: float | None, d: int) -> None:
         if v is not None and d > 0:
             self.vd += v * d
@@ -213,10 +226,8 @@ def consolidate_stream(points: DataFrame, spec: SeriesSpec, delay: str | None =
     value). Points of a trigger are sorted per series; one not later than the series' last is dropped.
     With a delay, points wait for others that come after them but belong before them, until the watermark
     (`delay` behind the latest point) has passed them; what still waits when the stream ends is in its state.
-    Slots without a value are put out as null. Retention is left to the table that receives them."""
-    if spec.heartbeat_ms == 0:
-        raise ValueError("heartbeat 0 is not available as a stream: a closed slot may be rewritten")
-
+    Slots without a value are put out as null. Retention is left to the table that receives them. With
+    heartbeat 0 a slot may come again with another value: such a stream is written by merge_stream()."""
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         c = Consolidator.load(spec, state.get[:4]) if state.exists else Consolidator(spec)
         p = list(zip(*state.get[4:], strict=True)) if state.exists else []
@@ -225,7 +236,9 @@ def consolidate_stream(points: DataFrame, spec: SeriesSpec, delay: str | None =
         mark = state.getCurrentWatermarkMs() if delay else None
         waiting = [x for x in p if mark is not None and x[0] > mark]
         ready = sorted((x for x in p if mark is None or x[0] <= mark), key=lambda x: (x[0], -x[1]))
-        rows = [(key[0], *r) for ms, v in ready for r in c.point(ms, v)]
+        # of a slot that comes again the last value counts
+        slots = {r[:3]: r[3] for ms, v in ready for r in c.point(ms, v)}
+        rows = [(key[0], *k, v) for k, v in slots.items()]
         state.update((*c.state(), [ms for ms, _ in waiting], [v for _, v in waiting]))
         if waiting:
             state.setTimeoutTimestamp(min(ms for ms, _ in waiting))
@@ -264,6 +277,12 @@ def merge_archive(new: DataFrame, path: str) -> None:
     cut(new).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("step_ms", "cf").parquet(path)
 
 
+def merge_stream(slots: DataFrame, path: str, checkpoint: str, once: bool = True):
+    """Merge slots, missing ones too, into an archive: what comes later replaces what is there."""
+    w = slots.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: merge_archive(df, path))
+    return (w.trigger(availableNow=True) if once else w).outputMode("append").start()
+
+
 def progress_points(progress: dict, prefix: str = "stats") -> list[tuple[str, int, float]]:
     """(name, ms, value) rows of a streaming query's progress: rates, rows and durations."""
     ms = int(pd.Timestamp(progress["timestamp"]).timestamp() * 1000)
