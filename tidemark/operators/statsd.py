@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +9,8 @@ from ..session import finite, sound_unions
 
 #: Thresholds of timers, in percent.
 THRESHOLDS = (90,)
+COUNTER, GAUGE, TIMER = range(3)
+NO_BUCKET = -(2**40)
 #: What a first command makes of its name in a window: counter, gauge or timer.
 KINDS = {"add": "c", "addgauge": "g", "setgauge": "g", "append": "t"}
 
@@ -32,56 +32,66 @@ def aggregate(commands: DataFrame, window_ms: int = 10_000, thresholds: tuple[in
     finite are ignored; nothing in gives nothing out.
     """
     sound_unions(commands.sparkSession)
-    c = commands.where(finite("value") & F.col("name").isNotNull() & F.col("ms").isNotNull())
-    kind = reduce(lambda w, k: w.when(F.col("cmd") == k, KINDS[k]), KINDS, F.when(F.lit(False), ""))
-    c = c.select("name", "cmd", "value", kind.alias("kind"), F.struct("ms", "id").alias("at"), flush_end(F.col("ms"), window_ms).alias("end")).where("kind is not null")
-    is_set, append = F.col("cmd") == "setgauge", F.col("cmd") == "append"
+    c = commands.where(finite("value") & F.col("name").isNotNull() & F.col("ms").isNotNull() & F.col("cmd").isin(*KINDS))
+    # numbers for kinds and places in time keep the grouping a hash aggregate
+    kind = F.when(F.col("cmd") == "add", COUNTER).when(F.col("cmd") == "append", TIMER).otherwise(GAUGE)
+    wide = F.lit(str(2**64)).cast("decimal(20,0)")
+    at = F.col("ms").cast("decimal(20,0)") * wide + F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(0))
+    c = c.select("name", flush_end(F.col("ms"), window_ms).alias("end"), kind.alias("does"), (F.col("cmd") == "setgauge").alias("sets"), "value", at.alias("at"))
     g = c.groupBy("name", "end").agg(
-        F.min_by("kind", "at").alias("kind"),
-        F.sum(F.when(~is_set & ~append, F.col("value"))).alias("added"),
-        F.max(F.when(is_set, F.col("at"))).alias("set_at"),
-        F.max_by(F.when(is_set, F.col("value")), F.when(is_set, F.col("at"))).alias("set_to"),
-    )
-    # what was added after the last value set, where one was
-    known = g.where("kind <> 't' and set_at is not null").select("name", "end", "set_at")
-    later = c.where(~is_set & ~append).join(known, ["name", "end"]).where(F.col("at") > F.col("set_at")).groupBy("name", "end").agg(F.sum("value").alias("later"))
-    v = g.where("kind <> 't'").join(later, ["name", "end"], "left")
-    value = F.when(F.col("set_at").isNull(), F.coalesce("added", F.lit(0.0))).otherwise(F.col("set_to") + F.coalesce("later", F.lit(0.0)))
-    values = v.select("name", F.col("end").alias("ms"), F.when(F.col("kind") == "c", value / (window_ms / 1000)).otherwise(value).alias("value"))
-    others = g.where("kind <> 't'").select("name", "end")
-    return values.unionByName(_timers(c.where(append).join(others, ["name", "end"], "left_anti"), thresholds, compat))
-
-
-def _timers(c: DataFrame, thresholds: tuple[int, ...], compat: bool) -> DataFrame:
-    """Equal values are counted together; the k smallest of a window are found by its buckets of values about
-    a hundredth apart first and then in one bucket, so that no task sorts all values of a hot timer."""
+        F.min_by("does", "at").alias("kind"), F.max(F.when(F.col("sets"), F.col("at"))).alias("set_at"),
+        F.max_by(F.when(F.col("sets"), F.col("value")), F.when(F.col("sets"), F.col("at"))).alias("set_to"),
+    )
+    timer = F.col("kind") == TIMER
+    after = ~timer & ~F.col("sets") & (F.col("does") != TIMER) & (F.col("set_at").isNull() | (F.col("at") > F.col("set_at")))
+    j = c.join(g, ["name", "end"]).where(~timer | (F.col("does") == TIMER))
+    # values of a timer about a hundredth apart share a bucket; what is no timer is one row of a bucket of its own
     size = F.floor(F.log(2.0, F.abs("value")) * 64).cast("bigint") + 100_000
-    bucket = F.when(F.col("value") == 0, 0).otherwise(F.signum("value").cast("bigint") * size)
-    v = c.groupBy("name", "end", bucket.alias("bucket"), (F.col("value") + 0.0).alias("value")).agg(F.count("*").alias("n"))
-    b = v.groupBy("name", "end", "bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("value")).alias("total"), F.min("value").alias("lower"), F.max("value").alias("upper"))
+    bucket = F.when(timer, F.when(F.col("value") == 0, 0).otherwise(F.signum("value").cast("bigint") * size))
+    v = j.groupBy("name", "end", "kind", F.coalesce(bucket, F.lit(NO_BUCKET)).alias("bucket"), F.when(timer, F.col("value") + 0.0).alias("value")).agg(
+        F.count("*").alias("n"), F.max("set_to").alias("set_to"), F.sum(F.when(after, F.col("value"))).alias("added")
+    )
+    return _flushed(v, window_ms, thresholds, compat)
+
+
+def _flushed(v: DataFrame, window_ms: int, thresholds: tuple[int, ...], compat: bool) -> DataFrame:
+    """Equal values of timers are counted together (v); the k smallest of a window are found by its buckets
+    first and then in one bucket, so that no task sorts all values of a hot timer."""
+    b = v.groupBy("name", "end", "kind", "bucket").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("value")).alias("total"), F.min("value").alias("lower"), F.max("value").alias("upper"), F.max("set_to").alias("set_to"), F.sum("added").alias("added")
+    )
     whole = Window.partitionBy("name", "end")
     before = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     b = b.withColumn("count", F.sum("n").over(whole)).withColumn("n_before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("before", F.coalesce(F.sum("total").over(before), F.lit(0.0)))
-    g = b.groupBy("name", "end").agg(F.max("count").alias("n"), F.min("lower").alias("lower"), F.max("upper").alias("upper"), F.sum("total").alias("sum"))
+    g = b.groupBy("name", "end", "kind").agg(
+        F.max("count").alias("n"), F.min("lower").alias("lower"), F.max("upper").alias("upper"), F.sum("total").alias("sum"), F.max("set_to").alias("set_to"), F.sum("added").alias("added")
+    )
+    value = F.coalesce("set_to", F.lit(0.0)) + F.coalesce("added", F.lit(0.0))
+    value = F.when(F.col("kind") == COUNTER, value / (window_ms / 1000)).otherwise(value)
     total = F.col("upper") if compat else F.col("sum")
-    rows = _rows(g, [(".count", F.col("n").cast("double")), (".lower", F.col("lower")), (".upper", F.col("upper")), (".sum", total), (".mean", total / F.col("n"))])
+    timer = _rows([(".count", F.col("n").cast("double")), (".lower", F.col("lower")), (".upper", F.col("upper")), (".sum", total), (".mean", total / F.col("n"))])
+    rows = _put_out(g, F.when(F.col("kind") == TIMER, timer).otherwise(_rows([("", value)])))
     if not thresholds:
         return rows
     ks = F.array(*(F.struct(F.lit(t).alias("t"), F.greatest(F.round(F.lit(t / 100) * F.col("count"), 0).cast("bigint"), F.lit(1)).alias("k")) for t in thresholds))
-    hit = b.withColumn("x", F.explode(ks)).select("name", "end", "bucket", "n_before", "before", "n", "x.*").where((F.col("n_before") < F.col("k")) & (F.col("k") <= F.col("n_before") + F.col("n")))
-    i = v.join(hit.drop("n"), ["name", "end", "bucket"])
+    hit = b.where(F.col("kind") == TIMER).withColumn("x", F.explode(ks)).select("name", "end", "bucket", "n_before", "before", F.col("n").alias("here"), "x.*")
+    hit = hit.where((F.col("n_before") < F.col("k")) & (F.col("k") <= F.col("n_before") + F.col("here")))
+    i = v.join(hit, ["name", "end", "bucket"])
     w = Window.partitionBy("name", "end", "t").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     i = i.withColumn("a", F.col("n_before") + F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("s", F.col("before") + F.coalesce(F.sum(F.col("n") * F.col("value")).over(w), F.lit(0.0)))
     i = i.where((F.col("a") < F.col("k")) & (F.col("k") <= F.col("a") + F.col("n")))
     part = F.col("value") if compat else F.col("s") + (F.col("k") - F.col("a")) * F.col("value")
     tag = F.lpad(F.col("t").cast("string"), 2, "0")
-    at = _rows(i, [(F.concat(F.lit(".sum_"), tag), part), (F.concat(F.lit(".mean_"), tag), part / F.col("k")), (F.concat(F.lit(".upper_"), tag), F.col("value"))])
-    return rows.unionByName(at)
+    at = _rows([(F.concat(F.lit(".sum_"), tag), part), (F.concat(F.lit(".mean_"), tag), part / F.col("k")), (F.concat(F.lit(".upper_"), tag), F.col("value"))])
+    return rows.unionByName(_put_out(i, at))
+
+
+def _rows(named: list):
+    return F.array(*(F.struct((F.lit(a) if isinstance(a, str) else a).alias("tag"), b.alias("value")) for a, b in named))
 
 
-def _rows(g: DataFrame, named: list) -> DataFrame:
-    m = F.explode(F.array(*(F.struct((F.lit(a) if isinstance(a, str) else a).alias("tag"), b.alias("value")) for a, b in named)))
-    return g.select("name", F.col("end").alias("ms"), m.alias("m")).select(F.concat("name", "m.tag").alias("name"), "ms", "m.value")
+def _put_out(g: DataFrame, rows) -> DataFrame:
+    return g.select("name", F.col("end").alias("ms"), F.explode(rows).alias("m")).select(F.concat("name", "m.tag").alias("name"), "ms", "m.value")
 
 
 def paced_sums(commands: DataFrame, every_ms: int = 1000) -> DataFrame:
