@@ -242,7 +242,7 @@ def statsd_table(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "stats").distinct().where("name is not null and name <> ''")
     c = text.statsd_commands(s).select("cmd", "name", "value", F.unix_millis("ts").alias("ms"), F.col("stat_id").alias("id"))
     a = statsd.aggregate(c, 6 * HOUR, (50, 90))
-    return a.select("name", F.col("ms").alias("t_ms"), F.format_string("%.11e", "value").cast("double").alias("value"))
+    return a.select("name", F.col("ms").alias("t_ms"), F.format_string("%.11e", F.col("value") * (1 + 1.3e-13)).cast("double").alias("value"))
 
 
 def _statsd_sql(commands: str, window_ms: int, value: str = "round({}, 9)", thresholds: tuple[int, ...] = (90,)) -> str:
@@ -357,7 +357,7 @@ select ds_id, slots, count(*) as n from v group by 1, 2""",
 select name, day, round(sum(value * d) filter (where d > 0) / nullif(sum(d) filter (where d > 0), 0), 9) as v, coalesce(sum(d) filter (where d > 0), 0)::bigint as dur from q group by 1, 2""",
     "statsd_windows": _statsd_sql(_commands_sql(_KIND_SQL), 6 * HOUR),
     "statsd_mixed": _statsd_sql(_commands_sql(""), HOUR),
-    "statsd_table": _statsd_sql(_STATS_SQL, 6 * HOUR, "cast(printf('%.11e', {}) as double)", (50, 90)),
+    "statsd_table": _statsd_sql(_STATS_SQL, 6 * HOUR, "cast(printf('%.11e', ({}) * (1 + 1.3e-13)) as double)", (50, 90)),
     "statsd_paced": "select * from (" + _statsd_sql(_commands_sql(_KIND_SQL), 6 * HOUR) + ") where name like '%.c'",
     "paced_gauge": f"""with p as ({_POINTS_SQL}), q as (select *, ms // {DAY} * {DAY} + {DAY} as t_ms from p),
 z as (select *, coalesce(lead(ms) over (partition by name, t_ms order by ms), t_ms) - ms as d from q)
