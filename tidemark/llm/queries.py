@@ -116,7 +116,7 @@ a{k} as (select x, 'line' as kind from n{k} union all select word, 'mark' from z
 
 _LEVELS = 3
 _CUT = (
-    "with d as (select doc_id, source, coalesce(text, '') as t from documents), b as (select greatest(5, floor(1e-4 * count(*)))::bigint as least from d where t <> ''),"
+    "with d as (select doc_id, source, coalesce(text, '') as t from documents), b as (select greatest(5, floor(1e-4 * count(*)))::bigint as least from d),"
     " s as (select trim(x.s) as sentence, count(*) as n, sum(x.f::int) as runs from (select unnest(list_transform(s, lambda x, i: {'s': x, 'f': i = 1 or x <> s[i - 1]})) as x from (select " + _SENTENCES.format("text") + " as s from documents where text is not null)) group by 1),"
     " w as (select " + _WORDS.format("sentence") + """ as w, n from s),
 g as (select w[i - 2] as w1, w[i - 1] as w2, w[i] as w3, i = len(w) as e, n from (select w, n, unnest(range(3, len(w) + 1)) as i from w)),

@@ -135,33 +135,31 @@ def _occurrences(lines: list[str], marks: list[str], counted: DataFrame, counts:
 def learn_trailers(docs: DataFrame, text: str, counted: DataFrame, counts: DataFrame, mostly: float = 0.5, goes_on: float = 0.02) -> tuple[list[str], list[str]]:
     """Final lines and final words that were added behind texts.
 
-    Each is final in max(SHARED, SHARE * texts) texts or more and in at least `mostly` of its occurrences; for
+    Each is final in max(SHARED, SHARE * rows) texts or more and in at least `mostly` of its occurrences; for
     at most `goes_on` of these does something go on from it: words behind its last trigram (a line) or longer
     words that begin with it. (counted, counts: sentence_counts() and trigram_counts() of the texts.)"""
     lines: list[str] = []
     marks: list[str] = []
-    refused: set[tuple[bool, str, int]] = set()
+    known: dict[tuple[bool, str], tuple[int, int]] = {}
     texts = docs.where(F.col(text) != "")
-    least = max(SHARED, int(SHARE * texts.count()))
-    while True:
-        by_line, by_word = _final(texts, text, trailer_pattern(lines, marks), least)
-        ask = [(True, x, n) for x, n in by_line.items()] + [(False, x, n) for x, n in by_word.items()]
-        ask = [a for a in ask if a not in refused]
-        if not ask:
-            return lines, marks
-        seen = _occurrences([x for k, x, _ in ask if k], [x for k, x, _ in ask if not k], counted, counts)
+    least = max(SHARED, int(SHARE * docs.count()))
 
-        def added(is_line: bool, x: str, n: int) -> bool:
-            total, on = seen.get((is_line, x), (0, 0))  # noqa: B023
-            return 0 < total <= n / mostly and on <= goes_on * n
+    def added(is_line: bool, x: str, n: int) -> bool:
+        total, on = known.get((is_line, x), (0, 0))
+        return 0 < total <= n / mostly and on <= goes_on * n
 
-        new_lines = [x for k, x, n in ask if k and added(k, x, n)]
+    while True:
+        by_line, by_word = _final(texts, text, trailer_pattern(lines, marks), least)
+        # how often a line or word occurs is asked once
+        new = ([x for x in by_line if (True, x) not in known], [x for x in by_word if (False, x) not in known])
+        if new[0] or new[1]:
+            known |= {(True, x): (0, 0) for x in new[0]} | {(False, x): (0, 0) for x in new[1]} | _occurrences(*new, counted, counts)
+        new_lines = [x for x, n in by_line.items() if added(True, x, n)]
         # words of lines that were found don't count as final words
-        left = dict(by_word)
         for x in new_lines:
-            left[x.split()[-1]] = left.get(x.split()[-1], 0) - by_line[x]
-        new_marks = [x for k, x, _ in ask if not k and left[x] >= least and added(k, x, left[x])]
-        refused |= set(ask)
+            if (w := x.split()[-1]) in by_word:
+                by_word[w] -= by_line[x]
+        new_marks = [x for x, n in by_word.items() if n >= least and added(False, x, n)]
         if not new_lines and not new_marks:
             return lines, marks
         lines += new_lines
