@@ -388,14 +388,14 @@ def test_udp_lines_and_progress(spark, tmp_path):
     import socket
     import time
 
-    from tidemark.sources.udp import _Reader
+    from tidemark.sources.network import _Udp
 
     free = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
     free.bind(("127.0.0.1", 0))
     port = free.getsockname()[1]
     free.close()
     out = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
-    r = _Reader("127.0.0.1", port, 100)
+    r = _Udp("127.0.0.1", port, 100)
     assert list(r.read({"line": 0})[0]) == []
     out.sendto(b"a 1 100\nb 2 200\n", ("127.0.0.1", port))
     time.sleep(0.2)
@@ -425,6 +425,54 @@ def test_udp_lines_and_progress(spark, tmp_path):
     assert any(n == "stats.udp.numInputRows" and v > 0 for n, _, v in seen)
 
 
+def test_tcp_lines_and_frames(spark, tmp_path):
+    import socket
+    import time
+
+    from tidemark.sources.network import MAX_FRAME, _TcpFrames, _TcpLines
+
+    def port():
+        with socket.socket() as s:
+            s.bind(("127.0.0.1", 0))
+            return s.getsockname()[1]
+
+    def sent(reader, *parts):
+        """What the reader has after each part of one connection, and after its end."""
+        got, list_ = [], lambda: [x for x, _ in reader.read({"line": 0})[0]]
+        list_()
+        with socket.create_connection(reader.at) as c:
+            for p in parts:
+                c.sendall(p)
+                time.sleep(0.1)
+                got.append(list_())
+        time.sleep(0.1)
+        return [*got, list_()]
+
+    lines = _TcpLines("127.0.0.1", port())
+    assert sent(lines, b"a 1 1\r\nb 2", b" 2\nc 3 3") == [["a 1 1"], ["a 1 1", "b 2 2"], ["a 1 1", "b 2 2", "c 3 3"]]
+    lines.sock.close()
+    frame = lambda x: struct.pack(">I", len(x)) + x
+    frames = _TcpFrames("127.0.0.1", port())
+    assert sent(frames, frame(b"one")[:5], frame(b"one")[5:] + frame(b""), struct.pack(">I", MAX_FRAME + 1)) == [[], [frame(b"one"), frame(b"")], [frame(b"one"), frame(b"")], [frame(b"one"), frame(b"")]]
+    frames.sock.close()
+
+    p = port()
+    q = pipeline.points_from_pickles(spark, p).writeStream.format("memory").queryName("pickles").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="200 milliseconds").start()
+    try:
+        for _ in range(150):
+            try:
+                with socket.create_connection(("127.0.0.1", p), 1) as c:
+                    c.sendall(frame(pickle.dumps([("a.b", (7, 1.5))], 2)))
+            except OSError:
+                pass
+            time.sleep(0.2)
+            if spark.sql("select * from pickles").count():
+                break
+    finally:
+        q.stop()
+    assert {tuple(r) for r in spark.sql("select * from pickles").collect()} == {("a.b", 7_000, 1.5)}
+
+
 def test_commands_from_lines(spark, tmp_path):
     (tmp_path / "a.txt").write_text("a:3|c|@0.5\nb:-2|g\nbad:x|c\n")
     c = pipeline.commands_from_lines(spark.readStream.format("text").load(str(tmp_path)))

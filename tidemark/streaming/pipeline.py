@@ -18,9 +18,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.statsd import KINDS, THRESHOLDS
 from ..plans.spec import SeriesSpec
 from ..session import bounded_broadcast, cut, finite
-from ..sources.binary import replay_whisper
+from ..sources.binary import read_pickles, replay_whisper
+from ..sources.network import TcpFrames, TcpLines, UdpLines, listen
 from ..sources.text import graphite_lines, statsd_commands, statsd_lines
-from ..sources.udp import udp_lines
 
 
 def points_from_text(spark, path: str, max_files: int | None = None) -> DataFrame:
@@ -32,19 +32,29 @@ def points_from_text(spark, path: str, max_files: int | None = None) -> DataFram
     return graphite_lines(r.load(path))
 
 
-def socket_lines(spark, host: str, port: int) -> DataFrame:
-    """Stream of (value, timestamp): the lines of a TCP socket and when they came."""
-    return spark.readStream.format("socket").option("host", host).option("port", port).option("includeTimestamp", True).load()
-
-
-def points_from_socket(spark, host: str, port: int) -> DataFrame:
-    """Stream of points from a TCP socket that sends Graphite lines."""
-    return graphite_lines(socket_lines(spark, host, port))
+def points_from_tcp(spark, port: int, host: str = "127.0.0.1") -> DataFrame:
+    """Stream of points from connections that send Graphite lines."""
+    return graphite_lines(listen(spark, TcpLines, port, host))
 
 
 def points_from_udp(spark, port: int, host: str = "127.0.0.1") -> DataFrame:
     """Stream of points from datagrams of Graphite lines."""
-    return graphite_lines(udp_lines(spark, port, host))
+    return graphite_lines(listen(spark, UdpLines, port, host))
+
+
+def points_from_pickles(spark, port: int, host: str = "127.0.0.1") -> DataFrame:
+    """Stream of points from connections that send pickled frames."""
+    return read_pickles(listen(spark, TcpFrames, port, host))
+
+
+def statsd_from_tcp(spark, port: int, host: str = "127.0.0.1") -> DataFrame:
+    """Stream of statsd commands from connections that send packets, one a line."""
+    return commands_from_lines(listen(spark, TcpLines, port, host))
+
+
+def statsd_from_udp(spark, port: int, host: str = "127.0.0.1") -> DataFrame:
+    """Stream of statsd commands from datagrams."""
+    return commands_from_lines(listen(spark, UdpLines, port, host))
 
 
 def commands_from_lines(lines: DataFrame) -> DataFrame:
