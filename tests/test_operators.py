@@ -146,6 +146,19 @@ def test_digests_of_many_tasks(spark, monkeypatch):
         qdigest.partial_digest(df.withColumnRenamed("group", "n"), ["n"], "v")
 
 
+def test_tasks_of_a_scan_are_counted(spark, tmp_path):
+    spark.range(1000).selectExpr("'a' as g", "cast(id as double) as v").repartition(6).write.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(2**40))
+    try:
+        t = spark.read.parquet(str(tmp_path / "t"))
+        d = qdigest.partial_digest(t, ["g"], "v", 0.5)
+        assert qdigest._partitions(d) == d.select("part").distinct().count() == 6
+        assert qdigest._partitions(t.unionByName(t).distinct()) > 0
+        assert [r.n for r in qdigest.percentiles(d, ["g"], [0.5], 0.5, fan_in=2).collect()] == [1000]
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_merging_holds_few_digests(monkeypatch):
     """500 digests of one group reach one task: it works them off in blocks."""
     monkeypatch.setattr(qdigest, "BLOCK_ROWS", 8_000)

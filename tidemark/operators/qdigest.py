@@ -185,8 +185,15 @@ def merge(digests: DataFrame, keys: list[str], eps: float = 0.005, fan_in: int =
 
 
 def _partitions(df: DataFrame) -> int:
-    """Number of tasks of df's last stage, as planned."""
-    return df._jdf.queryExecution().executedPlan().outputPartitioning().numPartitions()
+    """Number of tasks of df's last stage, as planned; nothing is run for it. Of a scan, which doesn't say, it
+    is that of its splits; of other plans that don't say, what the session makes of a shuffle."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if (n := plan.outputPartitioning().numPartitions()) > 0:
+        return n
+    if plan.getClass().getSimpleName() != "AdaptiveSparkPlanExec":
+        return plan.execute().getNumPartitions()
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def _grouped(d: DataFrame, keys: list[str], *more: str) -> DataFrame:
